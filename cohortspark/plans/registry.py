@@ -372,3 +372,167 @@ def q_count_histogram(spark, sf_dir):
 @register("useful_readings", CSQL.with_("useful") + "select * from useful")
 def q_useful_readings(spark, sf_dir):
     return plan(spark, sf_dir).useful()
+
+
+# --------------------------------------------------------------------------
+# Waves
+
+from cohortspark.operators import waves as W  # noqa: E402
+from cohortspark.operators import staging as S  # noqa: E402
+
+NB_PTS = W.DEFAULT_NB_PTS
+GAP = W.DEFAULT_GAP_LIMIT
+ID_BLOCKS = 6
+
+_ROUTE_ROWS = ", ".join(
+    f"('{v}', {i}, {c})" for i, v in enumerate(VOIS) for c in K.codes_of(v)
+)
+_WAVE_CTES = {
+    "route": f"select * from (values {_ROUTE_ROWS}) t(voi, voi_idx, code)",
+    "vlist": "select distinct voi, voi_idx from route",
+    "ranges": (
+        "select id_nda, j1, min(dt_min) as dt_min, min(dt_max) as dt_max, "
+        "bool_or(dt_deces is not null) as dead from cohort group by id_nda, j1"
+    ),
+    "steps": (
+        "select * from (select *, cast(60000000 * round_even(floor(date_diff('microsecond', dt_min, dt_max) / 1000) "
+        f"/ 1000.0 / {float(NB_PTS)} / 60.0, 0) as bigint) as step_us from ranges) where step_us > 0"
+    ),
+    "rr": (
+        "select u.id_nda, u.dt_deb as j1, r.voi, r.voi_idx, u.dt_insert, u.value_numeric "
+        "from useful u join route r on u.id_measure_type = r.code"
+    ),
+    "wf": "select id_nda, j1, voi, min(dt_insert) as t_first from rr group by id_nda, j1, voi",
+    "b1": (
+        "select s.id_nda, s.j1, v.voi, v.voi_idx, s.step_us, s.dead, least(s.dt_min, wf.t_first) as st "
+        "from steps s cross join vlist v left join wf on wf.id_nda = s.id_nda and wf.j1 = s.j1 and wf.voi = v.voi"
+    ),
+    "bases": (
+        "select *, date_trunc('day', st) as origin, "
+        "floor(date_diff('microsecond', date_trunc('day', st), st) / step_us) as b0 from b1"
+    ),
+    "pts": (
+        "select * from (select b.id_nda, b.j1, b.voi, b.voi_idx, b.dead, "
+        "cast(floor(date_diff('microsecond', b.origin, rr.dt_insert) / b.step_us) - b.b0 as int) as i, "
+        "rr.value_numeric as v from rr join bases b on rr.id_nda = b.id_nda and rr.j1 = b.j1 and rr.voi = b.voi) "
+        f"where i >= 0 and i < {NB_PTS}"
+    ),
+    "grid": (
+        "select b.id_nda, b.j1, b.voi, b.voi_idx, b.dead, cast(g.i as int) as i "
+        f"from bases b cross join range(0, {NB_PTS}) g(i)"
+    ),
+    "binned": (
+        "select g.id_nda, g.j1, g.voi, g.voi_idx, g.dead, g.i, avg(p.v) as y_mean, count(p.v) as n_readings "
+        "from grid g left join pts p on g.id_nda = p.id_nda and g.j1 = p.j1 and g.voi = p.voi and g.i = p.i "
+        "group by g.id_nda, g.j1, g.voi, g.voi_idx, g.dead, g.i"
+    ),
+    "f1": (
+        "select *, "
+        "last_value(case when y_mean is not null then i end ignore nulls) over wb as p, "
+        "last_value(y_mean ignore nulls) over wb as vp, "
+        "first_value(case when y_mean is not null then i end ignore nulls) over wa as nn, "
+        "first_value(y_mean ignore nulls) over wa as vn from binned "
+        "window wb as (partition by id_nda, j1, voi order by i rows between unbounded preceding and current row), "
+        "wa as (partition by id_nda, j1, voi order by i rows between current row and unbounded following)"
+    ),
+    "filled": (
+        "select *, case when y_mean is not null then y_mean "
+        f"when p is not null and nn is not null then vp + (vn - vp) * (least(i, p + {GAP}) - p) / (nn - p) "
+        "when p is not null then vp else vn end as y from f1"
+    ),
+}
+_WAVE_WITH = CSQL.with_("useful", _WAVE_CTES)
+
+
+def _wave_inputs(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return p, p.cohort_readings(), p.cohort()
+
+
+@register("cohort_readings", CSQL.with_("useful") + (
+    f"select s.id_nda, s.dt_deb as j1, {_key_sql('s.id_nda', 's.dt_deb')} as id_case, s.id_measure_type, "
+    "s.dt_insert, s.value_numeric from useful s"
+))
+def q_cohort_readings(spark, sf_dir):
+    return plan(spark, sf_dir).cohort_readings()
+
+
+@register("case_ranges", CSQL.with_("useful") + (
+    "select n.id_nda, n.j1, min(s.dt_insert) as dt_min, max(s.dt_insert) as dt_max "
+    "from (select distinct id_nda, j1 from cohort) n join useful s on n.id_nda = s.id_nda and n.j1 = s.dt_deb "
+    "group by n.id_nda, n.j1"
+))
+def q_case_ranges(spark, sf_dir):
+    return plan(spark, sf_dir).case_ranges()
+
+
+@register("dt_ranges", CSQL.with_("useful", {
+    "rng": "select s.id_nda, s.dt_deb as j1, min(s.dt_insert) as dt_min, max(s.dt_insert) as dt_max "
+    "from useful s group by s.id_nda, s.dt_deb"
+}) + (
+    "select t1.id_nda, t1.j1, t1.dt_min, t1.dt_max, t2.dt_deces from rng t1 join cohort t2 "
+    "on t1.id_nda = t2.id_nda and t1.j1 = t2.j1"
+))
+def q_dt_ranges(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return p.case_ranges().join(p.cohort().select("id_nda", "j1", "dt_deces"), ["id_nda", "j1"]).select(
+        "id_nda", "j1", "dt_min", "dt_max", "dt_deces"
+    )
+
+
+@register("wave_resample", _WAVE_WITH + (
+    f"select id_nda, j1, voi, i, {d6('y_mean')} as y_mean, n_readings from binned"
+))
+def q_wave_resample(spark, sf_dir):
+    _, readings, ranges = _wave_inputs(spark, sf_dir)
+    g = W.resample(spark, readings, ranges, VOIS, NB_PTS)
+    return g.select("id_nda", "j1", "voi", "i", r6("y_mean").alias("y_mean"), "n_readings")
+
+
+@register("wave_fill", _WAVE_WITH + f"select id_nda, j1, voi, i, {d6('y')} as y from filled")
+def q_wave_fill(spark, sf_dir):
+    _, readings, ranges = _wave_inputs(spark, sf_dir)
+    f = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP)
+    return f.select("id_nda", "j1", "voi", "i", r6("y").alias("y"))
+
+
+_PACK_SQL = (
+    "select id_nda, j1, list(wave order by voi_idx) as series, bool_or(dead) as dead from "
+    f"(select id_nda, j1, voi_idx, bool_or(dead) as dead, list({d6('y')} order by i) as wave "
+    "from filled group by id_nda, j1, voi_idx) group by id_nda, j1"
+)
+
+
+def round_series(col: str = "series") -> Column:
+    return F.transform(col, lambda w: F.transform(w, lambda x: F.round(x, 6)))
+
+
+@register("wave_matrix", _WAVE_WITH + _PACK_SQL)
+def q_wave_matrix(spark, sf_dir):
+    _, readings, ranges = _wave_inputs(spark, sf_dir)
+    ds = W.build_dataset(spark, readings, ranges, VOIS, NB_PTS, GAP)
+    return ds.select("id_nda", "j1", round_series().alias("series"), "dead")
+
+
+@register("wave_cubic")
+def q_wave_cubic(spark, sf_dir):
+    _, readings, ranges = _wave_inputs(spark, sf_dir)
+    f = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP, method="cubic")
+    return f.select("id_nda", "j1", "voi", "i", r6("y").alias("y"))
+
+
+@register("id_blocks")
+def q_id_blocks(spark, sf_dir):
+    cases = plan(spark, sf_dir).cohort().select("id_nda", "j1").distinct()
+    return W.id_blocks(cases, ID_BLOCKS)
+
+
+@register("wave_plot_points", _WAVE_WITH + (
+    "select r.id_nda, r.j1, r.voi, case r.voi "
+    + " ".join(f"when '{v}' then '{K.voi_label(v)}'" for v in VOIS)
+    + " end as label, r.dt_insert as t, r.value_numeric as value from rr r"
+))
+def q_wave_plot_points(spark, sf_dir):
+    _, readings, _ = _wave_inputs(spark, sf_dir)
+    routed = W.route_to_voi(spark, readings.select("id_nda", "j1", "id_measure_type", "dt_insert", "value_numeric"), VOIS)
+    return W.plot_points(routed, "value_numeric", "dt_insert")
