@@ -536,3 +536,140 @@ def q_wave_plot_points(spark, sf_dir):
     _, readings, _ = _wave_inputs(spark, sf_dir)
     routed = W.route_to_voi(spark, readings.select("id_nda", "j1", "id_measure_type", "dt_insert", "value_numeric"), VOIS)
     return W.plot_points(routed, "value_numeric", "dt_insert")
+
+
+# --------------------------------------------------------------------------
+# Score forms
+
+from cohortspark.operators import metrics as M  # noqa: E402
+from cohortspark.operators import scores as SC  # noqa: E402
+from cohortspark.sources import stand_ins as SI  # noqa: E402
+
+FIELDS = list(SI.FORM_FIELDS)
+_FIELD_SQL = "champ_formulaire like 'int_esc%' or champ_formulaire in ('int_maladies_chronique', 'int_igs2')"
+_DATE_FIELD_SQL = "champ_formulaire like 'int_esc%' or champ_formulaire = 'int_maladies_chronique'"
+_FORM_CTES = {
+    "forms": DUCK["forms"],
+    "movements": DUCK["movements"],
+    "patients": DUCK["patients"],
+    "q1": f"select id_form, id_nda, champ_formulaire, cast(value_field as varchar) as value_field, j1 from forms where {_FIELD_SQL}",
+    "q2": f"select distinct id_form, id_nda, dt_ins, j1 from forms where {_DATE_FIELD_SQL}",
+    "q2e": "select id_form, coalesce(j1, dt_ins) as dt_eff from q2",
+    "lng": (
+        "select concat(q1.id_nda, strftime(q2e.dt_eff, '%Y-%m-%d'), '_', cast(q1.id_form as varchar)) as id_form_ndaj1, "
+        "champ_formulaire, value_field from q1 join q2e on q1.id_form = q2e.id_form"
+    ),
+    "mat": (
+        "select *, regexp_extract(id_form_ndaj1, '(.*)_.*', 1) as id_ndaj1 from (select id_form_ndaj1, "
+        + ", ".join(f"max(value_field) filter (where champ_formulaire = '{f}') as {f}" for f in FIELDS)
+        + " from lng group by id_form_ndaj1)"
+    ),
+    "pmap": (
+        "select distinct i.id_ndaj1, n.ids_pat from (select distinct id_ndaj1 from mat) i join movements n "
+        "on n.id_nda = substr(i.id_ndaj1, 1, length(i.id_ndaj1) - 10)"
+    ),
+    "resultf": (
+        "select m.*, d.dt_deces from mat m join (select pm.id_ndaj1, p.dt_deces from pmap pm "
+        "join patients p on pm.ids_pat = p.ids_pat) d on m.id_ndaj1 = d.id_ndaj1"
+    ),
+    "scored": (
+        "select *, exp(logit) / (1.0 + exp(logit)) as pr, "
+        f"exp(logit) / (1.0 + exp(logit)) > {SC.SCORE_THRESHOLD} as y_pred, dt_deces is not null as y_true from "
+        f"(select *, {SC.SCORE_A} + {SC.SCORE_B} * cast(int_igs2 as double) "
+        f"+ {SC.SCORE_C} * ln(cast(int_igs2 as double) + 1.0) as logit from resultf)"
+    ),
+    "g": (
+        "select cast(pr as double) as score, sum(case when y_true then 1 else 0 end) as pos, "
+        "sum(case when y_true then 0 else 1 end) as neg from scored group by cast(pr as double)"
+    ),
+    "g2": (
+        "select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) "
+        "as neg_before, coalesce(sum(pos) over (order by score rows between unbounded preceding and 1 preceding), 0) "
+        "as pos_before from g"
+    ),
+}
+_FORM_WITH = "with " + ",\n".join(f"{k} as ({v})" for k, v in _FORM_CTES.items()) + "\n"
+
+
+def _score_inputs(spark, sf_dir):
+    forms = SI.forms(spark, sf_dir)
+    mat = SC.form_matrix(forms, FIELDS)
+    pmap = SC.patient_map(mat, SI.movements(spark, sf_dir))
+    resultf = SC.with_death(mat, pmap, SI.patients(spark, sf_dir))
+    return forms, mat, pmap, resultf
+
+
+@register("form_matrix", _FORM_WITH + "select * from mat")
+def q_form_matrix(spark, sf_dir):
+    return _score_inputs(spark, sf_dir)[1]
+
+
+@register("patient_map", _FORM_WITH + "select * from pmap")
+def q_patient_map(spark, sf_dir):
+    return _score_inputs(spark, sf_dir)[2]
+
+
+@register("case_key_split", CSQL.with_("cohort") + (
+    "select nullif(regexp_extract(k, '^([0-9]+)([0-9]{4}-[0-9]{2}-[0-9]{2})$', 1), '') as id_nda, "
+    "nullif(regexp_extract(k, '^([0-9]+)([0-9]{4}-[0-9]{2}-[0-9]{2})$', 2), '') as j1 "
+    f"from (select {_key_sql('id_nda', 'j1')} as k from cohort)"
+))
+def q_case_key_split(spark, sf_dir):
+    from cohortspark.functions import scalar as FX
+
+    keys = plan(spark, sf_dir).cohort().select(P.case_key("id_nda", "j1").alias("k"))
+    return keys.select(*FX.split_case_key("k", id_digits=None))
+
+
+@register("severity_score", _FORM_WITH + (
+    f"select id_form_ndaj1, id_ndaj1, int_igs2, dt_deces, {d6('logit')} as logit, {d6('pr')} as pr, "
+    "y_pred, y_true from scored"
+))
+def q_severity_score(spark, sf_dir):
+    s = SC.severity_score(_score_inputs(spark, sf_dir)[3])
+    return s.select(
+        "id_form_ndaj1", "id_ndaj1", "int_igs2", "dt_deces", r6("logit").alias("logit"), r6("pr").alias("pr"),
+        "y_pred", "y_true",
+    )
+
+
+@register("accuracy_auc", _FORM_WITH + (
+    "select (select count(*) from scored) as n, "
+    f"(select {d6('avg(case when y_pred = y_true then 1.0 else 0.0 end)')} from scored) as accuracy, "
+    f"{d6('case when sum(pos) * sum(neg) > 0 then sum(pos * (neg_before + 0.5 * neg)) / (sum(pos) * sum(neg)) end')} "
+    "as auc from g2"
+))
+def q_accuracy_auc(spark, sf_dir):
+    s = SC.severity_score(_score_inputs(spark, sf_dir)[3])
+    r = M.accuracy_auc(s, "y_pred", "pr", "y_true")
+    return r.select("n", r6("accuracy").alias("accuracy"), r6("auc").alias("auc"))
+
+
+@register("roc_points", _FORM_WITH + (
+    f"select {d6('score')} as threshold, "
+    f"{d6('((select sum(neg) from g) - neg_before) / nullif((select sum(neg) from g), 0)')} as fpr, "
+    f"{d6('((select sum(pos) from g) - pos_before) / nullif((select sum(pos) from g), 0)')} as tpr from g2"
+))
+def q_roc_points(spark, sf_dir):
+    s = SC.severity_score(_score_inputs(spark, sf_dir)[3])
+    r = M.roc_points(s, "pr", "y_true")
+    return r.select(r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+_ENC_LONG = " union all ".join(
+    f"select id_form_ndaj1, '{f}' as PARENT, {f} as label from mat" for f in FIELDS
+)
+
+
+@register("label_encode", _FORM_WITH[:-1] + (
+    ",\ncat as (select PARENT, label, cast(dense_rank() over (partition by PARENT order by label) - 1 as int) as code "
+    "from (select distinct champ_formulaire as PARENT, value_field as label from lng)),\n"
+    f"el as ({_ENC_LONG})\n"
+    "select el.id_form_ndaj1, "
+    + ", ".join(f"max(cat.code) filter (where el.PARENT = '{f}') as {f}" for f in FIELDS)
+    + " from el left join cat on el.PARENT = cat.PARENT and el.label = cat.label group by el.id_form_ndaj1"
+))
+def q_label_encode(spark, sf_dir):
+    forms, mat, _, _ = _score_inputs(spark, sf_dir)
+    catalogue = SC.catalogue_from_values(SC.form_long(forms))
+    return SC.label_encode(mat, "id_form_ndaj1", FIELDS, catalogue)
