@@ -673,3 +673,72 @@ def q_label_encode(spark, sf_dir):
     forms, mat, _, _ = _score_inputs(spark, sf_dir)
     catalogue = SC.catalogue_from_values(SC.form_long(forms))
     return SC.label_encode(mat, "id_form_ndaj1", FIELDS, catalogue)
+
+
+# --------------------------------------------------------------------------
+# Features and folds (embedding stand-in: 4 VOIs x 16 points per case)
+
+from cohortspark.operators import features as FE  # noqa: E402
+from cohortspark.operators import folds as FO  # noqa: E402
+
+ALPHA = 1.0
+K_FOLDS = 5
+K_SPLIT = 3
+N_SAMPLES = 6
+
+_SERIES_CTES = {
+    "sl": DUCK["series_long"],
+    "mm": (
+        "select *, min(y) over (partition by case_id, i) as mn, max(y) over (partition by case_id, i) as mx from sl"
+    ),
+    "sc": "select case_id, v, i, dead, case when mx > mn then (y - mn) / (mx - mn) else y - mn end as y from mm",
+}
+_SERIES_WITH = "with " + ",\n".join(f"{k} as ({v})" for k, v in _SERIES_CTES.items()) + "\n"
+
+
+def _series(spark, sf_dir):
+    return SI.embedding_series(spark, sf_dir)
+
+
+@register("point_minmax", _SERIES_WITH + f"select case_id, v, i, {d6('y')} as y from sc")
+def q_point_minmax(spark, sf_dir):
+    s = FE.scale_points(_series(spark, sf_dir)).select("case_id", "scaled")
+    long = FE.matrix_long(s, ["case_id"], "scaled", ("v", "i", "y"))
+    return long.select("case_id", F.col("v").cast("int").alias("v"), F.col("i").cast("int").alias("i"), r6("y").alias("y"))
+
+
+@register("case_covariance", _SERIES_WITH + (
+    f"select a.case_id, a.v as v1, b.v as v2, {d6(f'covar_pop(a.y, b.y) + case when a.v = b.v then {ALPHA} else 0.0 end')} "
+    "as cov from sc a join sc b on a.case_id = b.case_id and a.i = b.i group by a.case_id, a.v, b.v"
+))
+def q_case_covariance(spark, sf_dir):
+    s = FE.add_covariance(FE.scale_points(_series(spark, sf_dir)), "scaled", "cov", 0, ALPHA).select("case_id", "cov")
+    long = FE.matrix_long(s, ["case_id"], "cov", ("v1", "v2", "cov"))
+    return long.select(
+        "case_id", F.col("v1").cast("int").alias("v1"), F.col("v2").cast("int").alias("v2"), r6("cov").alias("cov")
+    )
+
+
+@register("stratified_folds", (
+    f"select case_id, dead, cast(ntile({K_FOLDS}) over (partition by dead order by case_id) - 1 as int) as fold "
+    f"from (select vec_id as case_id, label < {SI.SERIES_TARGET_BELOW} as dead from embeddings)"
+))
+def q_stratified_folds(spark, sf_dir):
+    d = _series(spark, sf_dir).select("case_id", "dead")
+    return FO.stratified_folds(d, "dead", ["case_id"], K_FOLDS).select("case_id", "dead", "fold")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    d = _series(spark, sf_dir).select("case_id", "dead")
+    return FO.stratified_split(d, "dead", "case_id", K_SPLIT).select("case_id", "dead", "fold", "is_valid")
+
+
+@register("sample_cases")
+def q_sample_cases(spark, sf_dir):
+    return FE.sample_cases(_series(spark, sf_dir).select("case_id", "dead"), "case_id", N_SAMPLES)
+
+
+@register("covariance_samples")
+def q_covariance_samples(spark, sf_dir):
+    return FE.covariance_samples(_series(spark, sf_dir), "case_id", N_SAMPLES, alpha=ALPHA)
