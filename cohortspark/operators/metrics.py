@@ -22,12 +22,19 @@ def accuracy(df: DataFrame, pred: str | Column, label: str | Column) -> DataFram
     return df.agg(F.avg((_col(pred) == _col(label)).cast("double")).alias("accuracy"))
 
 
-def score_counts(df: DataFrame, score: str | Column, label: str | Column) -> DataFrame:
-    """Positives and negatives per distinct score (partial aggregation, any skew)."""
+def score_counts(df: DataFrame, score: str | Column, label: str | Column, pred: str | Column | None = None) -> DataFrame:
+    """Positives, negatives (and correct predictions) per distinct score (partial aggregation, any skew)."""
     y = _col(label).cast("boolean")
-    return df.groupBy(_col(score).cast("double").alias("score")).agg(
-        F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")
-    )
+    aggs = [F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")]
+    if pred is not None:
+        aggs.append(F.sum((_col(pred).cast("boolean") == y).cast("long")).alias("correct"))
+    return df.groupBy(_col(score).cast("double").alias("score")).agg(*aggs)
+
+
+def _auc_expr() -> Column:
+    num = F.sum(F.col("pos") * (F.col("neg_before") + F.lit(0.5) * F.col("neg")))
+    den = F.sum("pos") * F.sum("neg")
+    return F.when(den > 0, num / den)
 
 
 def roc_auc(df: DataFrame, score: str | Column, label: str | Column) -> DataFrame:
@@ -36,18 +43,18 @@ def roc_auc(df: DataFrame, score: str | Column, label: str | Column) -> DataFram
     AUC = Σ_s pos(s)·(neg below s + ½·neg at s) / (P·N); null when a class is absent.
     """
     g = prefix_sums(score_counts(df, score, label), ["score"], ["neg"])
-    num = F.sum(F.col("pos") * (F.col("neg_before") + F.lit(0.5) * F.col("neg")))
-    den = F.sum("pos") * F.sum("neg")
-    return g.agg(F.when(den > 0, num / den).alias("auc"))
+    return g.agg(_auc_expr().alias("auc"))
 
 
 def accuracy_auc(df: DataFrame, pred: str | Column, score: str | Column, label: str | Column) -> DataFrame:
-    """M6 metrics on a scored validation set: n, accuracy and ROC-AUC in one row."""
-    acc = df.agg(
-        F.count(F.lit(1)).alias("n"), F.avg((_col(pred) == _col(label)).cast("double")).alias("accuracy")
+    """M6 metrics on a scored set: n, accuracy and ROC-AUC in one row, from one pass over ``df``."""
+    g = prefix_sums(score_counts(df, score, label, pred), ["score"], ["neg"])
+    n = F.sum(F.col("pos") + F.col("neg"))
+    return g.agg(
+        n.alias("n"),
+        (F.sum("correct") / n).alias("accuracy"),
+        _auc_expr().alias("auc"),
     )
-    auc = roc_auc(df, score, label)
-    return acc.select("n", "accuracy", auc.select("auc").scalar().alias("auc"))
 
 
 def roc_points(df: DataFrame, score: str | Column, label: str | Column) -> DataFrame:
