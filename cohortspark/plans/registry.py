@@ -742,3 +742,73 @@ def q_sample_cases(spark, sf_dir):
 @register("covariance_samples")
 def q_covariance_samples(spark, sf_dir):
     return FE.covariance_samples(_series(spark, sf_dir), "case_id", N_SAMPLES, alpha=ALPHA)
+
+
+# --------------------------------------------------------------------------
+# Models (rows-only checks: library optimisers differ from any SQL statement)
+
+from cohortspark.operators import models as MO  # noqa: E402
+
+N_VOI_SERIES = SI.SERIES_VOIS
+FORM_FEATURES = [f for f in FIELDS if f != SI.FORM_SCORE_FIELD]
+
+
+def _form_dataset(spark, sf_dir):
+    """Label-encoded form fields with the death target, split 2/3 train, 1/3 validation."""
+    forms, mat, pmap, resultf = _score_inputs(spark, sf_dir)
+    catalogue = SC.catalogue_from_values(SC.form_long(forms))
+    enc = SC.label_encode(resultf, "id_form_ndaj1", FORM_FEATURES, catalogue)
+    target = resultf.select("id_form_ndaj1", F.col("dt_deces").isNotNull().alias("dead"))
+    data = enc.join(target, "id_form_ndaj1")
+    split = FO.stratified_split(data, "dead", "id_form_ndaj1", K_SPLIT)
+    feats = MO.materialise(MO.assemble(split, FORM_FEATURES, "dead"))
+    return feats.where(~F.col("is_valid")), feats.where(F.col("is_valid"))
+
+
+def _model_query(make):
+    def q(spark, sf_dir):
+        train, valid = _form_dataset(spark, sf_dir)
+        return MO.validate(make(train.count()), train, valid)
+
+    return q
+
+
+register("model_logistic")(_model_query(lambda n: MO.logistic(0.9, n)))
+register("model_tree")(_model_query(lambda n: MO.decision_tree(50)))
+register("model_forest")(_model_query(lambda n: MO.random_forest(200, 50)))
+register("model_boosting")(_model_query(lambda n: MO.boosting(200, 50)))
+register("model_svm")(_model_query(lambda n: MO.CalibratedSVC(0.78, n)))
+
+
+@register("cross_validation")
+def q_cross_validation(spark, sf_dir):
+    train, _ = _form_dataset(spark, sf_dir)
+    folded = FO.stratified_folds(train.drop("fold"), "dead", ["id_form_ndaj1"], K_FOLDS)
+    return MO.cross_val_accuracy(MO.logistic(0.9, train.count()), folded, "fold", K_FOLDS)
+
+
+def _cov_dataset(spark, sf_dir):
+    s = FE.add_covariance(FE.scale_points(_series(spark, sf_dir)), "scaled", "cov", 0, ALPHA)
+    return MO.materialise(FO.stratified_split(s.select("case_id", "dead", "cov"), "dead", "case_id", K_SPLIT))
+
+
+@register("tangent_features")
+def q_tangent_features(spark, sf_dir):
+    t, _ = MO.tangent_space(_cov_dataset(spark, sf_dir), "cov", N_VOI_SERIES)
+    return t.select("case_id", "dead", "tangent")
+
+
+@register("tangent_logistic")
+def q_tangent_logistic(spark, sf_dir):
+    t, _ = MO.tangent_space(_cov_dataset(spark, sf_dir), "cov", N_VOI_SERIES)
+    feats = MO.array_features(t, "tangent", "dead")
+    train, valid = feats.where(~F.col("is_valid")), feats.where(F.col("is_valid"))
+    return MO.validate(MO.logistic(1.0, train.count()), train, valid)
+
+
+@register("nearest_mean")
+def q_nearest_mean(spark, sf_dir):
+    d = _cov_dataset(spark, sf_dir)
+    train, valid = d.where(~F.col("is_valid")), d.where(F.col("is_valid"))
+    pred = MO.nearest_mean(train, valid, "cov", "dead", N_VOI_SERIES)
+    return pred.select("case_id", "dead", "prediction", "p1")
