@@ -77,7 +77,7 @@ def patient_info(icu_moves: DataFrame, patients: DataFrame, staged: DataFrame) -
     Grouped by stay, age, sex and death date as the reference does, so a stay
     with two patient rows gives two rows.
     """
-    stays = staged.select("id_nda")
+    stays = staged.select("id_nda").distinct()  # partial distinct: one row per stay and task before the shuffle
     moves = icu_moves.select(
         F.col("id_nda").cast("string").alias("id_nda"), "ids_pat", "dt_deb_mouv_ufr", "dt_fin_mouv_ufr"
     ).join(stays, "id_nda", "left_semi")
@@ -100,11 +100,9 @@ def useful_readings(staged: DataFrame, cohort: DataFrame) -> DataFrame:
     return staged.where(not_cancelled()).join(cases, ["id_nda", "dt_deb"], "left_semi")
 
 
-def cohort_readings(useful: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Readings of the cohort with their case columns (id_nda, j1, id_case)."""
-    cases = cohort.select("id_nda", F.col("j1").alias("dt_deb"))
-    r = useful.join(cases, ["id_nda", "dt_deb"], "left_semi")
-    return r.select(
+def cohort_readings(useful: DataFrame) -> DataFrame:
+    """Readings of the cohort (``useful`` is already restricted to it) with case columns."""
+    return useful.select(
         "id_nda",
         F.col("dt_deb").alias("j1"),
         F.concat(F.col("id_nda"), F.col("dt_deb").cast("string")).alias("id_case"),

@@ -18,6 +18,7 @@ from cohortspark.functions import codes as K
 from cohortspark.operators import cohort as C
 from cohortspark.operators import profile as P
 from cohortspark.operators import staging as S
+from cohortspark.session import ensure_checkpoint_dir
 from cohortspark.sources import stand_ins as SI
 
 # Parameters used on the test tables. Readings there are sparse, hence the
@@ -41,6 +42,9 @@ class CohortPlan:
     min_measures: int = 10
     age_min: int = 18
     stay_hours: float = 6.0
+    # Persist the selected cohort (a reliable checkpoint in the shared checkpoint
+    # folder) before plans that use it several times, as the wave build does.
+    persist_cohort: bool = False
     _cache: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -89,12 +93,16 @@ class CohortPlan:
 
     def cohort(self) -> DataFrame:
         """nda_j1_deces: the selected cases with counts, death date and bounds."""
-        return self._memo(
-            "cohort",
-            lambda: C.select_cohort(
+        def build():
+            c = C.select_cohort(
                 self.profile(), self.demographics(), self.vois, self.min_measures, self.age_min, self.stay_hours
-            ),
-        )
+            )
+            if self.persist_cohort:
+                ensure_checkpoint_dir(c.sparkSession)
+                c = c.checkpoint(eager=True)
+            return c
+
+        return self._memo("cohort", build)
 
     def funnel(self) -> DataFrame:
         return C.cohort_funnel(
@@ -106,7 +114,7 @@ class CohortPlan:
         return self._memo("useful", lambda: S.useful_readings(self.staged(), self.cohort()))
 
     def cohort_readings(self) -> DataFrame:
-        return S.cohort_readings(self.useful(), self.cohort())
+        return S.cohort_readings(self.useful())
 
     def case_ranges(self) -> DataFrame:
         """First and last useful reading per selected case (all types)."""

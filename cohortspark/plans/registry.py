@@ -445,7 +445,7 @@ _WAVE_WITH = CSQL.with_("useful", _WAVE_CTES)
 
 
 def _wave_inputs(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = CS.CohortPlan.from_test_tables(spark, sf_dir, persist_cohort=True)
     return p, p.cohort_readings(), p.cohort()
 
 
@@ -812,3 +812,85 @@ def q_nearest_mean(spark, sf_dir):
     train, valid = d.where(~F.col("is_valid")), d.where(F.col("is_valid"))
     pred = MO.nearest_mean(train, valid, "cov", "dead", N_VOI_SERIES)
     return pred.select("case_id", "dead", "prediction", "p1")
+
+
+# --------------------------------------------------------------------------
+# SQL path, previews, checks and row statistics
+
+from cohortspark.sources import io as IO  # noqa: E402
+
+PREVIEW_N = 10
+LOW_DENSITY_BELOW = 10.0
+
+
+@register("sql_measure_counts", _MEASURE_WITH + _COUNTS_SQL)
+def q_sql_measure_counts(spark, sf_dir):
+    """The measure counts as an SQL text over DataFrame parameters (lazy, no collect)."""
+    p = plan(spark, sf_dir)
+    return IO.run_sql(
+        spark,
+        "select count(*) as counter, s.id_measure_type, r.label from {staged} s join {ref} r "
+        "on s.id_measure_type = try_cast(r.code as int) where s.dt_cancel = :valid "
+        "group by s.id_measure_type, r.label",
+        args={"valid": ""},
+        staged=p.staged(),
+        ref=p.measure_ref,
+    )
+
+
+@register("preview_cases", CSQL.with_("profile") + (
+    f"select id_nda, dt_deb, {_key_sql()} as id_ndaj1, "
+    + ", ".join(f"nullif(n_{c}, 0) as n_{c}" for c in CODES)
+    + f" from profile order by id_nda desc, dt_deb desc limit {PREVIEW_N}"
+))
+def q_preview_cases(spark, sf_dir):
+    """Last rows of the counter matrix by case key (top-k, no full sort)."""
+    return IO.preview(P.counter_matrix(plan(spark, sf_dir).profile(), CODES), ["id_nda", "dt_deb"], PREVIEW_N, last=True)
+
+
+@register("frame_shape", CSQL.with_("profile") + (
+    f"select count(*) as n_rows, {3 + len(CODES)} as n_cols from profile"
+))
+def q_frame_shape(spark, sf_dir):
+    """Size of the counter matrix."""
+    return P.frame_shape(P.counter_matrix(plan(spark, sf_dir).profile(), CODES))
+
+
+@register("form_duplicates", _FORM_WITH + (
+    "select id_form_ndaj1, champ_formulaire, count(*) as n from lng group by id_form_ndaj1, champ_formulaire "
+    "having count(*) > 1"
+))
+def q_form_duplicates(spark, sf_dir):
+    """Form fields holding more than one value (a pivot would be ambiguous)."""
+    return SC.form_duplicates(SC.form_long(SI.forms(spark, sf_dir)))
+
+
+_RMM_SQL = (
+    "select id_nda, dt_deb, round_even(avg(x), 0) as mean_nb_pts, round_even(median(x), 0) as median_nb_pts "
+    "from (select distinct id_nda, j1 as dt_deb from cohort) k join rl using (id_nda, dt_deb) group by id_nda, dt_deb"
+)
+
+
+def _row_stats(spark, sf_dir):
+    return QUERIES["row_mean_median"](spark, sf_dir)
+
+
+@register("point_count_stats", CSQL.with_("cohort", {"rl": _RMM_LONG, "rmm": _RMM_SQL}) + (
+    "select " + ", ".join(
+        f"{d6(f'avg({c})')} as {c}_mean, {d6(f'median({c})')} as {c}_median, "
+        f"{d6(f'min({c})')} as {c}_min, {d6(f'max({c})')} as {c}_max"
+        for c in ("mean_nb_pts", "median_nb_pts")
+    ) + " from rmm"
+))
+def q_point_count_stats(spark, sf_dir):
+    """Mean, median, min, max of the per-case mean and median numbers of points."""
+    s = P.column_stats(_row_stats(spark, sf_dir), ["mean_nb_pts", "median_nb_pts"])
+    return s.select(*[r6(c).alias(c) for c in s.columns])
+
+
+@register("low_density_cases", CSQL.with_("cohort", {"rl": _RMM_LONG, "rmm": _RMM_SQL}) + (
+    f"select id_nda, dt_deb, mean_nb_pts, median_nb_pts from rmm where mean_nb_pts < {LOW_DENSITY_BELOW}"
+))
+def q_low_density_cases(spark, sf_dir):
+    """Cases whose mean number of points is low."""
+    return P.low_density(_row_stats(spark, sf_dir), LOW_DENSITY_BELOW)

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference processes batch tables only: no stream source, watermark,
+streaming window or state appears in it, so no streaming operator is
+built. The batch operators take any DataFrame; a caller with readings
+arriving as files can run the same functions on each new partition.
+"""

@@ -12,7 +12,7 @@ def test_entry_runs(spark):
 def test_registry_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 55
+    assert len(q) >= 60
 
 
 @pytest.mark.parametrize("name", ["cohort_funnel", "wave_matrix", "accuracy_auc", "case_covariance", "label_encode"])
