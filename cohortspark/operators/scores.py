@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.ordering import positions
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for right results).
 # Severity score → death probability: logit = A + B*s + C*ln(s + 1).
@@ -93,11 +95,22 @@ def case_prefix(key: str | Column = "id_form_ndaj1") -> Column:
 
 
 def form_matrix(forms: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """M12 + A13: one row per form key, one text column per field (explicit list), plus id_ndaj1."""
-    long = form_long(forms)
+    """M12 + A13: one row per form key, one text column per field (explicit list), plus id_ndaj1.
+
+    The key is a one-to-one function of (form id, stay id, effective date): the
+    numeric form id follows the last '_' and the date has a fixed width. So the
+    pivot groups by those columns, which keeps the join's partitioning on the
+    form id (no second shuffle), and the text key is built once per form.
+    (A null stay id or date gives a null key per form, where a grouping on the
+    text key would merge such forms.)
+    """
+    v = form_values(forms)
+    d = form_dates(forms).select("id_form", F.col("dt_ins").alias("dt_eff"))
+    j = v.join(d, "id_form")
     aggs = [F.max(F.when(F.col("champ_formulaire") == F.lit(f), F.col("value_field"))).alias(f) for f in fields]
-    m = long.groupBy("id_form_ndaj1").agg(*aggs)
-    return m.select("id_form_ndaj1", *fields, case_prefix().alias("id_ndaj1"))
+    m = j.groupBy("id_form", "id_nda", "dt_eff").agg(*aggs)
+    key = form_key(F.col("id_nda"), F.col("dt_eff"), F.col("id_form"))
+    return m.select(key.alias("id_form_ndaj1"), *fields).select("id_form_ndaj1", *fields, case_prefix().alias("id_ndaj1"))
 
 
 def stay_of_case_key(key: str | Column = "id_ndaj1") -> Column:
@@ -150,8 +163,9 @@ def rename_fields(df: DataFrame, mapping: Sequence[tuple[str, str]] = FORM_FIELD
 def catalogue_codes(catalogue: DataFrame) -> DataFrame:
     """Code of each category = rank in the sorted distinct texts of its parent − 1."""
     cats = catalogue.select(F.col("PARENT"), F.col("saps2weight").cast("string").alias("label")).distinct()
-    w = Window.partitionBy("PARENT").orderBy("label")
-    return cats.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    # position among the distinct texts of the parent = dense rank − 1, without one task per parent
+    ranked = positions(cats, ["label"], ["PARENT"])
+    return ranked.select("PARENT", "label", F.col("pos").cast("int").alias("code"))
 
 
 def label_encode(matrix: DataFrame, key: str, fields: Sequence[str], catalogue: DataFrame) -> DataFrame:
