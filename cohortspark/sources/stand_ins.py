@@ -99,23 +99,24 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     j1 = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("date"))
     dt_ins = (F.col("o_orderdate") + F.lit(timedelta(days=1))).cast("date")
     keys = ["l_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
-    fields = j.groupBy(*keys, "l_linenumber").agg(F.max("l_quantity").alias("q")).select(
-        F.col("l_orderkey").alias("id_form"),
-        F.col("o_custkey").cast("string").alias("id_nda"),
-        F.concat(F.lit("int_esc_"), F.col("l_linenumber").cast("string")).alias("champ_formulaire"),
-        F.col("q").cast("int").cast("string").alias("value_field"),
-        j1.alias("j1"),
-        dt_ins.alias("dt_ins"),
+    # Both levels in one aggregate: per order line (max quantity) and per order
+    # (summed quantity, the score field) as two grouping sets of one shuffle.
+    both = j.groupingSets([[*keys, "l_linenumber"], keys], *keys, "l_linenumber").agg(
+        F.max("l_quantity").alias("q_line"),
+        F.sum("l_quantity").alias("q_order"),
+        F.grouping("l_linenumber").alias("order_level"),
     )
-    score = j.groupBy(*keys).agg(F.sum("l_quantity").alias("q")).select(
+    is_order = F.col("order_level") == 1
+    return both.select(
         F.col("l_orderkey").alias("id_form"),
         F.col("o_custkey").cast("string").alias("id_nda"),
-        F.lit("int_igs2").alias("champ_formulaire"),
-        F.col("q").cast("int").cast("string").alias("value_field"),
+        F.when(is_order, F.lit("int_igs2"))
+        .otherwise(F.concat(F.lit("int_esc_"), F.col("l_linenumber").cast("string")))
+        .alias("champ_formulaire"),
+        F.when(is_order, F.col("q_order")).otherwise(F.col("q_line")).cast("int").cast("string").alias("value_field"),
         j1.alias("j1"),
         dt_ins.alias("dt_ins"),
     )
-    return fields.unionByName(score)
 
 
 # Field names produced by ``forms``: one per order line number, then the score.
