@@ -120,3 +120,12 @@ def test_cubic_keeps_known_points_and_length(spark):
     # a smooth curve: cubic error at the gaps is small
     err = max(abs(r.y - np.sin(r.i / 5.0)) for r in f if r.i < 94)
     assert err < 0.01
+
+
+def test_not_a_knot_spline_reproduces_cubics():
+    rnd = np.random.default_rng(4)
+    x = np.sort(rnd.choice(np.arange(0, 96), size=12, replace=False)).astype(float)
+    c = rnd.normal(size=4)
+    poly = lambda t: c[0] + c[1] * t + c[2] * t**2 + c[3] * t**3
+    xs = np.linspace(x[0], x[-1], 200)
+    np.testing.assert_allclose(W._not_a_knot_spline(x, poly(x), xs), poly(xs), rtol=1e-8, atol=1e-6)
