@@ -182,7 +182,8 @@ def _flat(df: DataFrame, col: str) -> DataFrame:
 def _elementwise_mean(df: DataFrame, col: str, by: str | None = None) -> dict:
     """Average of an array column element by element (partial aggregation) → {group: np.array}."""
     keys = [by] if by else []
-    ex = df.select(*keys, F.posexplode(col).alias("_k", "_x"))
+    # outer form: no inferred size() filter that would evaluate the producing UDF twice
+    ex = df.select(*keys, F.posexplode_outer(col).alias("_k", "_x")).where(F.col("_k").isNotNull())
     res = ex.groupBy(*keys, "_k").agg(F.avg("_x").alias("_m")).collect()  # groups × VOI² rows
     out: dict = {}
     for r in res:
