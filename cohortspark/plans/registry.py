@@ -894,3 +894,43 @@ def q_point_count_stats(spark, sf_dir):
 def q_low_density_cases(spark, sf_dir):
     """Cases whose mean number of points is low."""
     return P.low_density(_row_stats(spark, sf_dir), LOW_DENSITY_BELOW)
+
+
+# --------------------------------------------------------------------------
+# Exploration without staging (J4): readings x movements x units (x reference),
+# no cancel rule, counted by type and by stay and type.
+
+_UNSTAGED_SQL = (
+    "select cast(r.id_nda as varchar) as id_nda, r.id_measure_type from readings r "
+    "join movements n on cast(r.id_nda as varchar) = n.id_nda "
+    "join icu_units u on u.ids_ufr = n.ids_ufr "
+    "where r.dt_insert >= n.dt_deb_mouv_ufr "
+    f"and r.dt_insert <= n.dt_deb_mouv_ufr + to_microseconds({CSQL.window_us})"
+)
+
+
+def _unstaged(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return S.unstaged_window_readings(p.readings, p.movements, p.units, p.window)
+
+
+@register("unstaged_measure_counts", CSQL.with_("staged", {"measure_ref": DUCK["measure_ref"], "uj": _UNSTAGED_SQL}) + (
+    "select count(*) as co, uj.id_measure_type, r.label from uj join measure_ref r "
+    "on uj.id_measure_type = try_cast(r.code as int) group by uj.id_measure_type, r.label"
+))
+def q_unstaged_measure_counts(spark, sf_dir):
+    """J4 + A1: readings per type and label over the four-way join, no cancel rule."""
+    p = plan(spark, sf_dir)
+    per_type = _unstaged(spark, sf_dir).groupBy("id_measure_type").agg(F.count(F.lit(1)).alias("n"))
+    ref = p.measure_ref.select(F.col("code").try_cast("int").alias("id_measure_type"), "label")
+    return per_type.join(ref, "id_measure_type").groupBy("id_measure_type", "label").agg(F.sum("n").alias("co"))
+
+
+@register("unstaged_stay_type_counts", CSQL.with_("staged", {"uj": _UNSTAGED_SQL}) + (
+    "select id_nda, id_measure_type, count(*) as co from uj "
+    f"where id_measure_type in {K.codes_in_list_text(XCODES)} group by id_nda, id_measure_type"
+))
+def q_unstaged_stay_type_counts(spark, sf_dir):
+    """J4 + A2: readings per stay and type (exploration codes) over the three-way join."""
+    u = _unstaged(spark, sf_dir).where(F.col("id_measure_type").isin(XCODES))
+    return u.groupBy("id_nda", "id_measure_type").agg(F.count(F.lit(1)).alias("co"))
