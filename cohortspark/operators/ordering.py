@@ -36,7 +36,15 @@ def prefix_sums(
     """
     n = _partitions(df, num_partitions)
     keys = [*group, *order]
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *keys)
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        # Totals and rows must see the same range boundaries. Spark normally
+        # reuses the one range exchange for both; without reuse, materialise it.
+        from cohortspark.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        ranged = ranged.checkpoint(eager=True)
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     totals = ranged.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -92,3 +92,13 @@ def test_stratified_split_repeatable(spark):
     b = {r.id: r.is_valid for r in FO.stratified_split(df, "y", "id").collect()}
     assert a == b
     assert sum(a.values()) == 100
+
+
+def test_positions_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame([(i, i % 2) for i in range(500)], "id long, g int")
+        got = sorted((r.g, r.pos, r.id) for r in positions(df, ["id"], ["g"], num_partitions=5).collect())
+        assert [p for g, p, _ in got if g == 0] == list(range(250))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
