@@ -71,16 +71,21 @@ def unstaged_window_readings(
     return window_readings(readings, icu_movements(movements, units), window)
 
 
-def patient_info(icu_moves: DataFrame, patients: DataFrame, staged: DataFrame) -> DataFrame:
+def patient_info(icu_moves: DataFrame, patients: DataFrame, staged: DataFrame | None) -> DataFrame:
     """J5 + A9: per stay with staged readings, entry/exit bounds with age, sex and death date.
 
     Grouped by stay, age, sex and death date as the reference does, so a stay
-    with two patient rows gives two rows.
+    with two patient rows gives two rows. ``staged=None`` skips the "stay has
+    staged readings" restriction, for callers that join the result to cases
+    (which have staged readings by construction) and so need not run the
+    readings join a second time.
     """
-    stays = staged.select("id_nda").distinct()  # partial distinct: one row per stay and task before the shuffle
     moves = icu_moves.select(
         F.col("id_nda").cast("string").alias("id_nda"), "ids_pat", "dt_deb_mouv_ufr", "dt_fin_mouv_ufr"
-    ).join(stays, "id_nda", "left_semi")
+    )
+    if staged is not None:
+        stays = staged.select("id_nda").distinct()  # partial distinct: one row per stay and task before the shuffle
+        moves = moves.join(stays, "id_nda", "left_semi")
     pats = patients.select("ids_pat", "age", "cd_sex_tr", "dt_deces")
     return (
         moves.join(pats, "ids_pat")

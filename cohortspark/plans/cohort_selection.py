@@ -89,7 +89,11 @@ class CohortPlan:
         return self._memo("pat", lambda: S.patient_info(self.icu_movements(), self.patients, self.staged()))
 
     def demographics(self) -> DataFrame:
-        return self._memo("demo", lambda: C.case_demographics(self.patient_info()))
+        """Stay demographics for joining to cases: the patient summary without the
+        staged-readings restriction, which any case satisfies already."""
+        return self._memo(
+            "demo", lambda: C.case_demographics(S.patient_info(self.icu_movements(), self.patients, None))
+        )
 
     def cohort(self) -> DataFrame:
         """nda_j1_deces: the selected cases with counts, death date and bounds."""
