@@ -5,8 +5,8 @@ of SPD matrices, tangent space, minimum distance to class mean) run as
 distributed iterations: each iteration maps every matrix with vectorised
 numpy inside an Arrow-batched pandas UDF and reduces to a [VOI × VOI]
 average; only that small average comes back to the driver. Inputs of an
-iteration loop are checkpointed to the session's checkpoint folder, so a
-lost executor recomputes from the checkpoint, not from the raw tables.
+iteration loop are written once as a table in the session's checkpoint
+folder, so a lost executor re-reads that table, not the raw inputs.
 
 Not built: k-nearest neighbours under the Riemannian metric (all train ×
 test pairs; see README).
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as M
-from cohortspark.session import ensure_checkpoint_dir
+from cohortspark.session import materialise as _materialise
 
 LABEL = "label"
 FEATURES = "features"
@@ -42,11 +42,10 @@ FEATURES = "features"
 # Feature frames
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage before iterative fitting: a reliable checkpoint in the session's
-    checkpoint folder (shared storage on a cluster), so repeated passes and lost
-    executors read it instead of recomputing the upstream plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage before iterative fitting: the frame is written once as a table in
+    the session's checkpoint folder (shared storage on a cluster), so repeated
+    passes and lost executors read it instead of recomputing the upstream plan."""
+    return _materialise(df, "model-input")
 
 
 def assemble(df: DataFrame, cols: Sequence[str], label: str, missing: float = -1.0) -> DataFrame:

@@ -43,6 +43,7 @@ def prefix_sums(
         from cohortspark.session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(df.sparkSession)
+        ranged = ranged.persist()  # so writing the checkpoint does not recompute the shuffle
         ranged = ranged.checkpoint(eager=True)
     ranged = ranged.withColumn("_pid", F.spark_partition_id())
     totals = ranged.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

@@ -18,7 +18,7 @@ from cohortspark.functions import codes as K
 from cohortspark.operators import cohort as C
 from cohortspark.operators import profile as P
 from cohortspark.operators import staging as S
-from cohortspark.session import ensure_checkpoint_dir
+from cohortspark.session import materialise
 from cohortspark.sources import stand_ins as SI
 
 # Parameters used on the test tables. Readings there are sparse, hence the
@@ -42,7 +42,7 @@ class CohortPlan:
     min_measures: int = 10
     age_min: int = 18
     stay_hours: float = 6.0
-    # Persist the selected cohort (a reliable checkpoint in the shared checkpoint
+    # Persist the selected cohort (a table written in the shared checkpoint
     # folder) before plans that use it several times, as the wave build does.
     persist_cohort: bool = False
     _cache: dict = field(default_factory=dict, repr=False)
@@ -102,8 +102,7 @@ class CohortPlan:
                 self.profile(), self.demographics(), self.vois, self.min_measures, self.age_min, self.stay_hours
             )
             if self.persist_cohort:
-                ensure_checkpoint_dir(c.sparkSession)
-                c = c.checkpoint(eager=True)
+                c = materialise(c, "nda_j1_deces")
             return c
 
         return self._memo("cohort", build)
