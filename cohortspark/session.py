@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="cohortspark-wh-", dir=os.environ.get("TMPDIR", "/tmp")))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

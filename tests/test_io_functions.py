@@ -45,3 +45,28 @@ def test_latin1_and_case_lookup(spark):
     cases = spark.createDataFrame([("7603491", "2015-09-06"), ("1", "2015-09-07")], "id_nda string, j1 string")
     hit = C.case_lookup(cases, "76034912015-09-06").collect()
     assert len(hit) == 1 and hit[0].id_nda == "7603491"
+
+
+def test_tables_and_saved_outputs(spark):
+    from datetime import date
+
+    from cohortspark.plans.cohort_selection import CohortPlan
+
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    IO.drop_table(spark, "cs_test_t")
+    IO.create_table_as(df, "cs_test_t")  # S6
+    assert IO.table_exists(spark, "cs_test_t") and IO.scan(spark, "cs_test_t").count() == 1
+    assert not IO.create_if_absent(spark, "cs_test_t", df)
+    IO.drop_table(spark, "cs_test_t")
+    assert not IO.table_exists(spark, "cs_test_t")
+
+    base = tempfile.mkdtemp(prefix="cohortspark-io-", dir="/tmp")
+    p = CohortPlan.from_test_tables(spark, "/root/testdata/sf0.001")
+    IO.save_cohort(p.cohort(), base + "/nda_j1_deces", list(p.vois))  # S11
+    back = IO.scan(spark, base + "/nda_j1_deces")
+    assert back.count() == p.cohort().count()
+    assert back.columns == ["id_nda", "j1", *p.vois, "dt_deces", "dt_min", "dt_max", "stay_len"]
+    ds = spark.createDataFrame([("1", date(2024, 1, 1), [[1.0, None], [2.0, 3.0]], True)],
+                               "id_nda string, j1 date, series array<array<double>>, dead boolean")
+    IO.save_dataset(ds, base + "/dataset")  # S12
+    assert IO.scan(spark, base + "/dataset").first().series == [[1.0, None], [2.0, 3.0]]
