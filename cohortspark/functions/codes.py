@@ -37,7 +37,7 @@ DICTIONARY_SCHEMA = T.StructType(
     [
         T.StructField("code", T.StringType(), False),
         T.StructField("label", T.StringType(), False),
-        T.StructField("aphp_codes", T.ArrayType(T.IntegerType(), False), False),
+        T.StructField("measure_codes", T.ArrayType(T.IntegerType(), False), False),
     ]
 )
 
@@ -86,7 +86,7 @@ def codes_in_list_text(codes: Sequence[int]) -> str:
 
 
 def dictionary_frame(spark: SparkSession) -> DataFrame:
-    """The VOI dictionary as a DataFrame (code, label, aphp_codes)."""
+    """The VOI dictionary as a DataFrame (code, label, measure_codes)."""
     rows = [(c, label, list(codes)) for c, label, codes in VOI_DICTIONARY]
     return spark.createDataFrame(rows, DICTIONARY_SCHEMA)
 

@@ -36,7 +36,7 @@ def test_codes_and_in_list(spark):
     with pytest.raises(KeyError):
         K.voi_codes(["XX"])
     d = K.dictionary_frame(spark).where("code = 'BT'").first()
-    assert d.aphp_codes == [4]
+    assert d.measure_codes == [4]
 
 
 def test_latin1_and_case_lookup(spark):
