@@ -162,14 +162,24 @@ def resample_and_interpolate(
     nb_pts: int = DEFAULT_NB_PTS,
     gap_limit: int = DEFAULT_GAP_LIMIT,
     method: str = "time",
+    order: int = 3,
 ) -> DataFrame:
-    """T10 for all waves: (id_nda, j1, voi, voi_idx, i, y_mean, n_readings, dead, y)."""
+    """T10 for all waves: (id_nda, j1, voi, voi_idx, i, y_mean, n_readings, dead, y).
+
+    ``method``: ``'time'`` (linear in time), or ``'cubic'`` / ``'polynomial'``
+    with ``order=3`` (interpolating not-a-knot cubic, T8). The smoothing
+    ``'spline'`` (automatic knots) is not offered.
+    """
+    if method == "polynomial":
+        if order != 3:
+            raise ValueError("only order 3 is offered for the polynomial method")
+        method = "cubic"
+    if method == "spline":
+        raise NotImplementedError("the smoothing spline is not built; use method='cubic' (interpolating)")
+    if method not in ("time", "cubic"):
+        raise ValueError(f"unknown interpolation method {method!r} (use 'time', 'cubic' or 'polynomial')")
     grid = resample(spark, readings, ranges, vois, nb_pts)
-    if method == "time":
-        return fill(grid, gap_limit)
-    if method == "cubic":
-        return cubic_fill(grid, gap_limit)
-    raise ValueError(f"unknown interpolation method {method!r} (use 'time' or 'cubic')")
+    return fill(grid, gap_limit) if method == "time" else cubic_fill(grid, gap_limit)
 
 
 def pack(filled: DataFrame, y: str = "y") -> DataFrame:
@@ -194,9 +204,10 @@ def build_dataset(
     nb_pts: int = DEFAULT_NB_PTS,
     gap_limit: int = DEFAULT_GAP_LIMIT,
     method: str = "time",
+    order: int = 3,
 ) -> DataFrame:
     """The dataset of all cases in one plan (id_nda, j1, series, dead)."""
-    return pack(resample_and_interpolate(spark, readings, ranges, vois, nb_pts, gap_limit, method))
+    return pack(resample_and_interpolate(spark, readings, ranges, vois, nb_pts, gap_limit, method, order))
 
 
 def id_blocks(cases: DataFrame, nb_splits: int, seed: int = 42) -> DataFrame:
