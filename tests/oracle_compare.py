@@ -39,8 +39,6 @@ def norm(v):
             return "nan"
         r = round(f, 6)
         return 0.0 if r == 0 else r
-    if isinstance(v, int):
-        return float(v) if False else v
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat(sep=" ")
     if isinstance(v, dt.date):
