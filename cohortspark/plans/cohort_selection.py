@@ -119,6 +119,20 @@ class CohortPlan:
     def cohort_readings(self) -> DataFrame:
         return S.cohort_readings(self.useful())
 
+    def wave_readings(self) -> DataFrame:
+        """Valid staged readings with case columns, for the wave build.
+
+        The wave build joins readings to the per-(case, VOI) bases of the
+        cohort (an inner join), which already keeps only cohort cases; feeding
+        it these readings instead of ``cohort_readings`` saves the semi-join's
+        full shuffle of the staged readings.
+        """
+        from pyspark.sql import functions as F
+
+        return self.staged().where(S.not_cancelled()).select(
+            "id_nda", F.col("dt_deb").alias("j1"), "id_measure_type", "dt_insert", "value_numeric"
+        )
+
     def case_ranges(self) -> DataFrame:
         """First and last useful reading per selected case (all types)."""
         from pyspark.sql import functions as F

@@ -452,7 +452,7 @@ _WAVE_WITH = CSQL.with_("useful", _WAVE_CTES)
 
 def _wave_inputs(spark, sf_dir):
     p = CS.CohortPlan.from_test_tables(spark, sf_dir, persist_cohort=True)
-    return p, p.cohort_readings(), p.cohort()
+    return p, p.wave_readings(), p.cohort()
 
 
 @register("cohort_readings", CSQL.with_("useful") + (
@@ -539,7 +539,7 @@ def q_id_blocks(spark, sf_dir):
     + " end as label, r.dt_insert as t, r.value_numeric as value from rr r"
 ))
 def q_wave_plot_points(spark, sf_dir):
-    _, readings, _ = _wave_inputs(spark, sf_dir)
+    readings = plan(spark, sf_dir).cohort_readings()
     routed = W.route_to_voi(spark, readings.select("id_nda", "j1", "id_measure_type", "dt_insert", "value_numeric"), VOIS)
     return W.plot_points(routed, "value_numeric", "dt_insert")
 
