@@ -160,6 +160,11 @@ def rename_fields(df: DataFrame, mapping: Sequence[tuple[str, str]] = FORM_FIELD
     return df.withColumnsRenamed(present)
 
 
+def sorted_catalogue(catalogue: DataFrame) -> DataFrame:
+    """The category catalogue ordered by parent field, then index (output order only)."""
+    return catalogue.orderBy("PARENT", "index")
+
+
 def catalogue_codes(catalogue: DataFrame) -> DataFrame:
     """Code of each category = rank in the sorted distinct texts of its parent − 1."""
     cats = catalogue.select(F.col("PARENT"), F.col("saps2weight").cast("string").alias("label")).distinct()

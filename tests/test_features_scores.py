@@ -60,6 +60,7 @@ def test_severity_and_label_order(spark):
     cat = spark.createDataFrame([("X", 1, "0"), ("X", 2, "10"), ("X", 3, "2")], "PARENT string, index int, saps2weight string")
     codes = {x.label: x.code for x in SC.catalogue_codes(cat).collect()}
     assert codes == {"0": 0, "10": 1, "2": 2}  # text order
+    assert [r["index"] for r in SC.sorted_catalogue(cat).collect()] == [1, 2, 3]
 
 
 def test_case_key_split_rules(spark):
