@@ -129,3 +129,16 @@ def test_not_a_knot_spline_reproduces_cubics():
     poly = lambda t: c[0] + c[1] * t + c[2] * t**2 + c[3] * t**3
     xs = np.linspace(x[0], x[-1], 200)
     np.testing.assert_allclose(W._not_a_knot_spline(x, poly(x), xs), poly(xs), rtol=1e-8, atol=1e-6)
+
+
+def test_all_readings_past_the_cut_leave_a_null_wave(spark):
+    dmin = datetime(2024, 1, 1, 0, 0)
+    dmax = dmin + timedelta(hours=24)
+    rs_hr = [(10102, dmin + timedelta(hours=h), 60.0 + h) for h in (1, 5, 20)]
+    rs_rr = [(10120, dmin + timedelta(hours=h), 15.0) for h in (30, 31)]  # bins 120 and 124: cut
+    got = run_spark(spark, {"c": (dmin, dmax, rs_hr + rs_rr)}, vois=("HR", "RR"))["c"]
+    want_rr = pandas_wave([t for _, t, _ in rs_rr], [v for _, _, v in rs_rr], dmin, dmax)
+    assert np.isnan(want_rr).all()
+    assert all(v is None for v in got[1])
+    want_hr = pandas_wave([t for _, t, _ in rs_hr], [v for _, _, v in rs_hr], dmin, dmax)
+    np.testing.assert_allclose(np.array(got[0], dtype=float), want_hr, atol=1e-9)
