@@ -51,3 +51,10 @@ def test_cross_val_and_validate(spark):
     assert len(accs) == 5 and min(r.accuracy for r in accs) > 0.8
     r = MO.validate(MO.logistic(1.0, 160), feats.where("fold != 0"), feats.where("fold = 0")).first()
     assert r.n == 40 and r.auc > 0.9
+
+
+def test_identity_matrices(spark):
+    df = _diag_frame(spark, np.ones((8, 3)))
+    t, ref = MO.tangent_space(df, "cov", 3)
+    np.testing.assert_allclose(ref, np.eye(3), atol=1e-12)
+    assert all(np.allclose(r.tangent, 0.0) for r in t.collect())
