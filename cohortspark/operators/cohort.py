@@ -91,6 +91,12 @@ def case_demographics(pat_info: DataFrame) -> DataFrame:
     return pat_info.select("id_nda", "age", "dt_deces").distinct()
 
 
+def demographic_duplicates(demographics: DataFrame) -> DataFrame:
+    """Report for P13: stays with more than one (age, death date) row; the age join
+    repeats their cases once per row, as the reference's merge does."""
+    return demographics.groupBy("id_nda").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def age_filter(cases: DataFrame, demographics: DataFrame, age_min: int = 18) -> DataFrame:
     """Inner join with demographics aged ``>= age_min`` (may multiply rows)."""
     return cases.join(demographics.where(F.col("age") >= F.lit(age_min)), "id_nda")

@@ -933,3 +933,12 @@ def q_unstaged_stay_type_counts(spark, sf_dir):
     """J4 + A2: readings per stay and type (exploration codes) over the three-way join."""
     u = _unstaged(spark, sf_dir).where(F.col("id_measure_type").isin(XCODES))
     return u.groupBy("id_nda", "id_measure_type").agg(F.count(F.lit(1)).alias("co"))
+
+
+@register("demographic_duplicates", CSQL.with_("pat_info") + (
+    "select id_nda, count(*) as n from (select distinct id_nda, age, dt_deces from pat_info) "
+    "group by id_nda having count(*) > 1"
+))
+def q_demographic_duplicates(spark, sf_dir):
+    """P13 report: stays whose demographics would multiply their cases."""
+    return C.demographic_duplicates(C.case_demographics(plan(spark, sf_dir).patient_info()))
