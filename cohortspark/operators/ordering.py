@@ -5,6 +5,11 @@ all rows, a global rank) runs in one task. These helpers give the same
 results with range partitioning: each range partition computes its local
 running values, partition totals (one row per partition) give offsets, and
 the offsets table, bounded by the partition count, is broadcast back.
+
+Totals and rows must see the same range boundaries. Spark reuses the one
+range exchange for both consumers (and a recomputed map task re-assigns
+rows by the same stored bounds); if a session turns exchange reuse off,
+the range-partitioned frame is checkpointed first.
 """
 
 from __future__ import annotations
