@@ -6,7 +6,13 @@ import __spark_entry__ as E
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 1 and "n_cases" in df.columns
+    assert len(rows) == 1
+    assert df.schema.simpleString() == (
+        "struct<n_cases:bigint,n_present:bigint,n_counted:bigint,n_aged:bigint,n_dead_aged:bigint,"
+        "n_long:bigint,n_dead_long:bigint,pct_dead_aged:double,pct_dead_long:double>"
+    )
+    r = rows[0]
+    assert r.n_cases >= r.n_present >= r.n_counted and r.n_long <= r.n_aged
 
 
 def test_registry_keys():
