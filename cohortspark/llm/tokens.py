@@ -6,6 +6,10 @@ a single space that a non-blank follows, so a text may be cut there and each
 unit encoded alone: the ids joined are those of the whole text. Units repeat a
 lot, so a worker keeps their ids. The special strings of a vocabulary hold no
 blank, so a cut never splits one.
+
+A new unit that is a plain word, perhaps with a punctuation mark, or two such
+around a line break, falls into known pieces, which go straight to the
+library's BPE model. All other units and texts take its whole encoder.
 """
 
 from __future__ import annotations
@@ -16,8 +20,13 @@ from array import array
 from functools import lru_cache
 
 UNIT = re.compile(r"(?<=\S)(?= \S)")
-CACHED_UNITS = 400_000  # at most about 100 MB per Python worker
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
+PLAIN = re.compile(rf"([{LETTERS}]+)([.,;:!?]?)(?:(\n)([{LETTERS}]+)([.,;:!?]?))?")
+CACHED_UNITS = 1_200_000  # at most about 250 MB per Python worker
 CACHED_CHARS = 64
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -35,22 +44,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._units: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self._units: dict[str, bytes] = {}  # what stands between two single spaces, encoded with the first of them
+        self._marks = {x: self._piece(x) for x in ".,;:!?\n"} | {"": b"", None: b""}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text that is one piece."""
+        if text.isascii() and text[0] == " ":
+            coded = self.model.tokenize("\u0120" + text[1:])
+        else:
+            coded = self.model.tokenize(text.encode().decode("latin-1").translate(BYTES))
+        return array("I", [t.id for t in coded]).tobytes()
+
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        out, rest, marks = {}, [], self._marks
+        for u in units:
+            m = PLAIN.fullmatch(u)
+            if m is None:
+                rest.append(u)
+                continue
+            word, mark, line, word2, mark2 = m.groups()
+            ids = self._piece(" " + word) + marks[mark]
+            out[u] = ids + marks[line] + self._piece(word2) + marks[mark2] if line else ids
+        out.update(zip(rest, self._encoded([" " + u for u in rest])))
+        return out
+
+    def _first(self, unit: str) -> bytes:
+        m = PLAIN.fullmatch(unit)
+        if m is None or m[3]:
+            return self._encoded([unit])[0]
+        return self._piece(m[1]) + self._marks[m[2]]
 
     def ids(self, text: str) -> bytes:
-        units, known = UNIT.split(text), self._units
+        units, known = text.split(" "), self._units
+        first = units.pop(0)
+        if not units or not first or first[-1].isspace():
+            return self._by_boundary(text)
+        head = self._first(first)
         try:
-            return b"".join([known[u] for u in units])
+            return head + b"".join([known[u] for u in units])
         except KeyError:
             pass
         new = [u for u in set(units) if u not in known]
+        if any(not u or u[0].isspace() or u[-1].isspace() for u in new):
+            return self._by_boundary(text)  # blanks next to each other
         if len(known) + len(new) > CACHED_UNITS:
             known.clear()
             new = list(set(units))
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        here = {u: array("I", e.ids).tobytes() for u, e in zip(new, coded)}
+        here = self._learn(new)
         known.update((u, b) for u, b in here.items() if len(u) <= CACHED_CHARS)
-        return b"".join([here[u] if u in here else known[u] for u in units])
+        return head + b"".join([here[u] if u in here else known[u] for u in units])
+
+    def _by_boundary(self, text: str) -> bytes:
+        units = UNIT.split(text)
+        distinct = list(set(units))
+        here = dict(zip(distinct, self._encoded(distinct)))
+        return b"".join([here[u] for u in units])
 
 
 @lru_cache(maxsize=2)
