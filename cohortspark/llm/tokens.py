@@ -59,18 +59,20 @@ class Encoder:
             coded = self.model.tokenize(text.encode().decode("latin-1").translate(BYTES))
         return array("I", [t.id for t in coded]).tobytes()
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        out, rest, marks = {}, [], self._marks
+    def _learn(self, units: set[str]) -> bool:
+        """Keep the ids of new units; False if one starts or ends with a blank, or there is none between two spaces."""
+        known, rest, marks, piece = self._units, [], self._marks, self._piece
         for u in units:
             m = PLAIN.fullmatch(u)
             if m is None:
                 rest.append(u)
                 continue
             word, mark, line, word2, mark2 = m.groups()
-            ids = self._piece(" " + word) + marks[mark]
-            out[u] = ids + marks[line] + self._piece(word2) + marks[mark2] if line else ids
-        out.update(zip(rest, self._encoded([" " + u for u in rest])))
-        return out
+            known[u] = piece(" " + word) + marks[mark] + marks[line] + piece(word2) + marks[mark2] if line else piece(" " + word) + marks[mark]
+        if any(not u or u[0].isspace() or u[-1].isspace() for u in rest):
+            return False
+        known.update(zip(rest, self._encoded([" " + u for u in rest])))
+        return True
 
     def _first(self, unit: str) -> bytes:
         m = PLAIN.fullmatch(unit)
@@ -85,18 +87,18 @@ class Encoder:
             return self._by_boundary(text)
         head = self._first(first)
         try:
-            return head + b"".join([known[u] for u in units])
+            return head + b"".join(map(known.__getitem__, units))
         except KeyError:
             pass
-        new = [u for u in set(units) if u not in known]
-        if any(not u or u[0].isspace() or u[-1].isspace() for u in new):
-            return self._by_boundary(text)  # blanks next to each other
-        if len(known) + len(new) > CACHED_UNITS:
+        distinct = set(units)
+        if len(known) + len(distinct) > CACHED_UNITS:
             known.clear()
-            new = list(set(units))
-        here = self._learn(new)
-        known.update((u, b) for u, b in here.items() if len(u) <= CACHED_CHARS)
-        return head + b"".join([here[u] if u in here else known[u] for u in units])
+        if not self._learn(distinct.difference(known)):
+            return self._by_boundary(text)  # blanks next to each other
+        out = head + b"".join(map(known.__getitem__, units))
+        for u in [u for u in distinct if len(u) > CACHED_CHARS]:
+            del known[u]
+        return out
 
     def _by_boundary(self, text: str) -> bytes:
         units = UNIT.split(text)
