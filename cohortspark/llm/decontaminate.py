@@ -35,7 +35,7 @@ from cohortspark.llm.common import utf8, written
 
 WINDOW, K = 10, 5
 FILTER_HASHES = 4_000_000  # benchmark hashes sent to every task, at most 32 MB; with more, no filter before the join
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: A-Z to a-z; what is no word character (ASCII but for digits and letters) to a blank.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+|[^\w\s]+")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ class Settings:
     passes: int = 4
     max_rows: int = 100_000
     shard_rows: int = 16_000
-    block: int = 20_000_000
+    block: int = 4_000_000
 
 
 class Features:
@@ -87,7 +87,7 @@ class Features:
         idx = np.append(idx, 2**self.s.bits).astype(np.int32)
         if not self.s.counts:
             return idx, 1.0
-        return idx, np.append(times / max(1.0, math.sqrt(float(times @ times))), 1.0)
+        return idx, np.append(times / max(1.0, math.sqrt(float(times @ times))), 1.0).astype(np.float32)
 
 
 class Learner:
