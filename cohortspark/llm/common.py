@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,14 @@ def utf8(col: Column) -> Column:
     return F.coalesce(col.cast("string").cast("binary"), F.lit(b""))
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches (or arrays) in slices, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, len(b) if isinstance(b, pa.Array) else b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

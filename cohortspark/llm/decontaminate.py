@@ -31,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import utf8, written
+from cohortspark.llm.common import slices, utf8, written
 
 WINDOW, K = 10, 5
 FILTER_HASHES = 4_000_000  # benchmark hashes sent to every task, at most 32 MB; with more, no filter before the join
@@ -150,29 +150,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, known = Hashes(short), sent.value
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                out = {"n_words": [], "h": [], "p": [], "text": []}
-                some = b.slice(at, 256)
-                for t in some.column("t"):
-                    text = t.as_py()
-                    found = words(text)
-                    hashes, places = make.winnowed(make.of_words(found), short, True)
-                    hashes = hashes.view(np.int64)
-                    if known is not None:
-                        near = np.searchsorted(known, hashes)
-                        near[near == len(known)] = 0
-                        there = known[near] == hashes if len(known) else np.zeros(len(hashes), bool)
-                        hashes, places = hashes[there], places[there]
-                    out["n_words"].append(len(found))
-                    out["h"].append(hashes)
-                    out["p"].append(places)
-                    out["text"].append(text if len(hashes) else None)
-                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(v, t) for v, t in zip(out.values(), types))],
-                    names=["doc_id", "k1", "k2", *out],
-                )
+        for some in slices(batches):
+            out = {"n_words": [], "h": [], "p": [], "text": []}
+            for t in some.column("t"):
+                text = t.as_py()
+                found = words(text)
+                hashes, places = make.winnowed(make.of_words(found), short, True)
+                hashes = hashes.view(np.int64)
+                if known is not None:
+                    near = np.searchsorted(known, hashes)
+                    near[near == len(known)] = 0
+                    there = known[near] == hashes if len(known) else np.zeros(len(hashes), bool)
+                    hashes, places = hashes[there], places[there]
+                out["n_words"].append(len(found))
+                out["h"].append(hashes)
+                out["p"].append(places)
+                out["text"].append(text if len(hashes) else None)
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(v, t) for v, t in zip(out.values(), types))],
+                names=["doc_id", "k1", "k2", *out],
+            )
 
     k1, k2 = _keys(docs)
     source = docs.select(docs["doc_id"], k1.alias("k1"), k2.alias("k2"), utf8(docs["text"]).alias("t"))

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.common import slices
+
 WORD = re.compile(r"\w+|[^\w\s]+")
 CACHED_WORDS = 300_000
 
@@ -49,7 +50,7 @@ class Settings:
     passes: int = 4
     max_rows: int = 100_000
     shard_rows: int = 16_000
-    block: int = 4_000_000
+    block: int = 2_000_000
 
 
 class Features:
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, s: Sett
             idx, w = learner.sparse()
             return pa.RecordBatch.from_pydict({"idx": pa.array(idx, pa.int64()), "w": pa.array(w, pa.float64())})
 
-        for b in batches:
+        for b in slices(batches):
             for text, y, k in zip(b.column("_text").to_pylist(), b.column("_y").to_pylist(), b.column("_shard").to_pylist()):
                 if k != shard:
                     if shard is not None:
@@ -174,16 +175,17 @@ def scorer(spark, weights: tuple[np.ndarray, np.ndarray], s: Settings):
     """A column function: text to the probability of label 1 (whole text; null counts as empty)."""
     sent = spark.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))  # at most 2**bits + 1 pairs
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = np.zeros(2**s.bits + 1)
         dense[sent.value[0]] = sent.value[1]
         features = Features(s)
         for texts in parts:
-            out = np.empty(len(texts))
-            for i, text in enumerate(texts):
-                idx, value = features.row(text)
-                out[i] = (dense[idx] * value).sum()
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
+            out = []
+            for some in slices([texts]):
+                for text in some.to_pylist():
+                    idx, value = features.row(text)
+                    out.append(float((dense[idx] * value).sum()))
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(np.array(out, float), -35, 35))))
 
     return lambda text: score(text.cast("string"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import remainder, written
+from cohortspark.llm.common import remainder, slices, written
 
 BITS = 13
 ORDERS = (1, 2, 3)
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Mod
     rows = rows.join(share, "lang").where(F.pmod("o", F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * per_language))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for lang, o, text in zip(b.column("lang").to_pylist(), b.column("o").to_pylist(), b.column("text").to_pylist()):
                 if has_letter(text):
                     tf = np.log1p(counts(text)).astype(np.float32)
@@ -143,11 +143,12 @@ def language(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (cosine), rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            rows = [sent.value.nearest(t) for t in texts]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
+            rows = [sent.value.nearest(t) for some in slices([texts]) for t in some.to_pylist()]
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.StructArray.from_arrays(cols, names=["lang_pred", "score", "rejected"])
 
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
     return out.select("doc_id", "held_out", "p.*")

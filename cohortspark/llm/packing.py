@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import written
+from cohortspark.llm.common import slices, written
 from cohortspark.llm.tokens import encoder, vocabulary
 
 CAPACITY, END_ID = 2048, 0
@@ -60,16 +60,14 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = []
-                some = b.slice(at, 256)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids = encoder(path).ids(text or "") + end
-                    for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        rows.append((part, seen[n], doc_id, k, start, n, ids[4 * start : 4 * (start + n)]))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+        for some in slices(batches):
+            rows = []
+            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                ids = encoder(path).ids(text or "") + end
+                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    rows.append((part, seen[n], doc_id, k, start, n, ids[4 * start : 4 * (start + n)]))
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return written(rows.mapInArrow(make, PIECES), "pieces")

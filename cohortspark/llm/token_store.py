@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import partitions
+from cohortspark.llm.common import partitions, slices
 from cohortspark.llm.tokens import encoder, vocabulary
 
 END_ID = 0
@@ -71,7 +71,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
     rows = rows.select("_text").limit(2 * DICTIONARY_DOCS).coalesce(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [_serialised(path, t, width)[1] for b in batches for t in b.column(0).to_pylist()]
+        samples = [_serialised(path, t, width)[1] for b in slices(batches) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([_dictionary(samples)], pa.binary())})
 
     found = rows.mapInArrow(train, "dictionary binary").collect()  # one row of at most DICTIONARY_BYTES
@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, store: str, path: str | None = None) -> None:
             }
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, data = _serialised(path, text, width)
                 ids.append(doc_id)

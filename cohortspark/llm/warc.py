@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import utf8, written
+from cohortspark.llm.common import slices, utf8, written
 
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 3
@@ -108,11 +108,9 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     rows = rows.select("page_id", "url", "payload", to.alias("refers_to"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                made = [member(p, u, x.as_py(), r)[:-1] for p, u, x, r in zip(some[0].to_pylist(), some[1].to_pylist(), some[2], some[3].to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+        for some in slices(batches):
+            made = [member(p, u, x.as_py(), r)[:-1] for p, u, x, r in zip(some[0].to_pylist(), some[1].to_pylist(), some[2], some[3].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     lines = rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\0").option("compression", "none").text(path)
