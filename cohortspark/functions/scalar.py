@@ -63,3 +63,8 @@ def in_list_text_to_codes(text: str) -> list[int]:
     """Parse an SQL in-list text such as ``(11,12,14)`` back to codes."""
     inner = text.strip().removeprefix("(").removesuffix(")")
     return [int(t) for t in inner.split(",") if t.strip()]
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """A pseudo-random text for ``key``: the md5 of key and seed, equal in every engine."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))

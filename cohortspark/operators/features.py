@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.scalar import seeded
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -103,8 +105,8 @@ def matrix_long(df: DataFrame, keys: list[str], matrix: str, names: tuple[str, s
 
 
 def sample_cases(df: DataFrame, key: str, n: int = 6, seed: int = 42) -> DataFrame:
-    """A repeatable pseudo-random sample of ``n`` cases (top-k by a seeded hash)."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key)).limit(n)
+    """A repeatable pseudo-random sample of ``n`` cases (top-k by a seeded md5)."""
+    return df.orderBy(seeded(F.col(key), seed), F.col(key)).limit(n)
 
 
 def covariance_samples(df: DataFrame, key: str, n: int = 6, seed: int = 42, alpha: float = 1.0) -> DataFrame:

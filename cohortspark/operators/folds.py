@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.scalar import seeded
 from cohortspark.operators.ordering import positions
 
 
@@ -25,16 +26,17 @@ def stratified_folds(df: DataFrame, label: str, order: list[str | Column], k: in
     """Add ``fold`` in ``0..k-1``, balanced per class, contiguous in ``order``."""
     with_pos = positions(df, order, [label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per class: a bounded broadcast
-    out = with_pos.join(F.broadcast(sizes), label)
+    # a row per class; Spark broadcasts it if it is small
+    sizes = sizes.withColumnRenamed(label, "_class")
+    out = with_pos.join(sizes, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
     return out.withColumn("fold", _ntile(F.col("pos"), F.col("_n"), k)).drop("_n", "pos")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, k: int = 3, seed: int = 42) -> DataFrame:
     """M4 / U4: shuffled stratified folds; fold 0 is the validation set (``is_valid``).
 
-    The shuffle is a seeded hash of the key, so the split is repeatable.
+    The shuffle is by the md5 text of key and seed, so the split is repeatable in any engine.
     """
-    shuffled = df.withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    shuffled = df.withColumn("_h", seeded(F.col(key), seed))
     f = stratified_folds(shuffled, label, ["_h", key], k)
     return f.withColumn("is_valid", F.col("fold") == 0).drop("_h")

@@ -6,10 +6,9 @@ results with range partitioning: each range partition computes its local
 running values, partition totals (one row per partition) give offsets, and
 the offsets table, bounded by the partition count, is broadcast back.
 
-Totals and rows must see the same range boundaries. Spark reuses the one
-range exchange for both consumers (and a recomputed map task re-assigns
-rows by the same stored bounds); if a session turns exchange reuse off,
-the range-partitioned frame is checkpointed first.
+Totals and rows must see the same range boundaries, which Spark samples anew
+for every range exchange. So the rows are tagged with their range partition
+once and written to the shared folder; both are derived from that one table.
 """
 
 from __future__ import annotations
@@ -19,11 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.session import materialise
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+BROADCAST_OFFSETS = 1_000_000  # rows (partitions x groups) up to which the offsets are broadcast
 
 
 def prefix_sums(
@@ -36,33 +33,30 @@ def prefix_sums(
     """Add ``<v>_before``: sum of ``v`` over earlier rows (same ``group``) in ``order``.
 
     ``order`` must be unique within a group (ties would make "earlier"
-    ambiguous). ``group`` columns must have few distinct values (classes,
-    labels): the offsets table has partitions × groups rows.
+    ambiguous); null groups count as a group. Without ``num_partitions`` the
+    number of ranges follows the data's size (adaptive coalescing).
     """
-    n = _partitions(df, num_partitions)
     keys = [*group, *order]
-    ranged = df.repartitionByRange(n, *keys)
-    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        # Totals and rows must see the same range boundaries. Spark normally
-        # reuses the one range exchange for both; without reuse, materialise it.
-        from cohortspark.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(df.sparkSession)
-        ranged = ranged.persist()  # so writing the checkpoint does not recompute the shuffle
-        ranged = ranged.checkpoint(eager=True)
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    totals = ranged.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    tagged = materialise(ranged.withColumn("_pid", F.spark_partition_id()), "ranges")
+    totals = tagged.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_pid", *group, *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values]
+        F.col("_pid").alias("_p"),
+        *[F.col(g).alias(f"_g_{g}") for g in group],
+        *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values],
     )
+    offsets = materialise(offsets, "range-offsets")
+    if offsets.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    same = F.col("_pid") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     local = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), ["_pid", *group])
-    out = out.select(
+    return tagged.join(offsets, same).select(
         *df.columns,
         *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(local), F.lit(0))).alias(f"{v}_before") for v in values],
     )
-    return out
 
 
 def positions(

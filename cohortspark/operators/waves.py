@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions import codes as K
+from cohortspark.functions.scalar import seeded
 
 CASE = ["id_nda", "j1"]
 DEFAULT_NB_PTS = 96
@@ -211,13 +212,13 @@ def build_dataset(
 
 
 def id_blocks(cases: DataFrame, nb_splits: int, seed: int = 42) -> DataFrame:
-    """Stable block number per case (hash of the case key), no driver loop.
+    """Stable block number per case (first eight hex digits of a seeded md5), no driver loop.
 
     Blocks only label cases; ``build_dataset`` handles all cases at once, so
     a block is just a filter a caller may apply.
     """
     key = F.concat(F.col("id_nda"), F.col("j1").cast("string"))
-    return cases.select(*CASE, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(nb_splits)).cast("int").alias("block"))
+    return cases.select(*CASE, (F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("long") % nb_splits).cast("int").alias("block"))
 
 
 def plot_points(routed_or_filled: DataFrame, value: str, time_col: str) -> DataFrame:

@@ -527,7 +527,10 @@ def q_wave_cubic(spark, sf_dir):
     return f.select("id_nda", "j1", "voi", "i", r6("y").alias("y"))
 
 
-@register("id_blocks")
+@register("id_blocks", CSQL.with_("cohort") + (
+    "select distinct id_nda, j1, cast(cast('0x' || substr(md5(concat(id_nda, cast(j1 as varchar), ':42')), 1, 8) as bigint) "
+    f"% {ID_BLOCKS} as int) as block from cohort"
+))
 def q_id_blocks(spark, sf_dir):
     cases = plan(spark, sf_dir).cohort().select("id_nda", "j1").distinct()
     return W.id_blocks(cases, ID_BLOCKS)
@@ -729,20 +732,34 @@ def q_stratified_folds(spark, sf_dir):
     return FO.stratified_folds(d, "dead", ["case_id"], K_FOLDS).select("case_id", "dead", "fold")
 
 
-@register("stratified_split")
+_LABELLED = f"(select vec_id as case_id, label < {SI.SERIES_TARGET_BELOW} as dead from embeddings)"
+_SEEDED = "md5(concat(cast(case_id as varchar), ':42')), case_id"
+
+
+@register("stratified_split", (
+    f"select *, fold = 0 as is_valid from (select case_id, dead, cast(ntile({K_SPLIT}) over "
+    f"(partition by dead order by {_SEEDED}) - 1 as int) as fold from {_LABELLED})"
+))
 def q_stratified_split(spark, sf_dir):
     d = _series(spark, sf_dir).select("case_id", "dead")
     return FO.stratified_split(d, "dead", "case_id", K_SPLIT).select("case_id", "dead", "fold", "is_valid")
 
 
-@register("sample_cases")
+@register("sample_cases", f"select case_id, dead from {_LABELLED} order by {_SEEDED} limit {N_SAMPLES}")
 def q_sample_cases(spark, sf_dir):
     return FE.sample_cases(_series(spark, sf_dir).select("case_id", "dead"), "case_id", N_SAMPLES)
 
 
-@register("covariance_samples")
+@register("covariance_samples", _SERIES_WITH + (
+    f"select a.case_id, a.dead, a.v as v1, b.v as v2, {d6(f'covar_pop(a.y, b.y) + case when a.v = b.v then {ALPHA} else 0.0 end')} "
+    f"as cov from sc a join sc b on a.case_id = b.case_id and a.i = b.i where a.case_id in "
+    f"(select case_id from {_LABELLED} order by {_SEEDED} limit {N_SAMPLES}) group by a.case_id, a.dead, a.v, b.v"
+))
 def q_covariance_samples(spark, sf_dir):
-    return FE.covariance_samples(_series(spark, sf_dir), "case_id", N_SAMPLES, alpha=ALPHA)
+    long = FE.covariance_samples(_series(spark, sf_dir), "case_id", N_SAMPLES, alpha=ALPHA)
+    return long.select(
+        "case_id", "dead", F.col("v1").cast("int").alias("v1"), F.col("v2").cast("int").alias("v2"), r6("cov").alias("cov")
+    )
 
 
 # --------------------------------------------------------------------------

@@ -94,11 +94,54 @@ def test_stratified_split_repeatable(spark):
     assert sum(a.values()) == 100
 
 
-def test_positions_without_exchange_reuse(spark):
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        df = spark.createDataFrame([(i, i % 2) for i in range(500)], "id long, g int")
-        got = sorted((r.g, r.pos, r.id) for r in positions(df, ["id"], ["g"], num_partitions=5).collect())
-        assert [p for g, p, _ in got if g == 0] == list(range(250))
-    finally:
-        spark.conf.unset("spark.sql.exchange.reuse")
+@pytest.fixture(scope="module")
+def million(spark):
+    """A million rows with a further column, on which range boundaries are sampled."""
+    h = F.xxhash64("id")
+    return spark.range(1_000_000).select(
+        "id", (F.pmod(h, F.lit(7)) == 0).alias("y"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("note"), (F.pmod(h, F.lit(100_003)) / 100_003.0).alias("score")
+    )
+
+
+def test_positions_at_size_with_extra_columns(million):
+    got = positions(million, ["id"], ["y"], num_partitions=8)
+    want = million.select("id", (F.row_number().over(Window.partitionBy("y").orderBy("id")) - 1).alias("p"))
+    both = got.join(want, "id")
+    assert got.count() == 1_000_000
+    assert both.where("pos != p or note is null").count() == 0
+
+
+def test_folds_at_size_with_extra_columns(million):
+    sizes = FO.stratified_folds(million, "y", ["id"], 5).groupBy("y", "fold").count().collect()
+    assert sum(r["count"] for r in sizes) == 1_000_000
+    assert {r.fold for r in sizes} == set(range(5))
+    for y in (True, False):
+        of = [r["count"] for r in sizes if r.y == y]
+        assert max(of) - min(of) <= 1
+
+
+def test_auc_at_size_equals_rank_formula(million):
+    got = M.accuracy_auc(million.withColumn("p", F.col("score") > 0.5), "p", "score", "y").first()
+    pdf = million.select("score", "y").toPandas()
+    ranks, y = pdf["score"].rank().to_numpy(), pdf["y"].to_numpy()
+    pos, neg = int(y.sum()), int((~y).sum())
+    want = (ranks[y].sum() - pos * (pos + 1) / 2) / (pos * neg)
+    assert got.n == 1_000_000
+    assert got.auc == pytest.approx(want, abs=1e-9)
+
+
+def test_null_groups_are_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(100)], "id long, g int")
+    got = positions(df, ["id"], ["g"], num_partitions=3).collect()
+    assert sorted(r.pos for r in got if r.g is None) == list(range(50))
+
+
+def test_form_folds_on_larger_data(spark):
+    from cohortspark.plans import registry
+
+    train, valid = registry._form_dataset(spark, "/root/testdata/sf0.1")
+    sizes = train.unionByName(valid).groupBy("dead", "fold").count().collect()
+    assert {r.fold for r in sizes} == set(range(registry.K_SPLIT))
+    for dead in (True, False):
+        of = [r["count"] for r in sizes if r.dead == dead]
+        assert max(of) - min(of) <= 1
