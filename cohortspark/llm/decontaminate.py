@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +34,8 @@ from cohortspark.llm.common import slices, utf8, written
 
 WINDOW, K = 10, 5
 FILTER_HASHES = 4_000_000  # benchmark hashes sent to every task, at most 32 MB; with more, no filter before the join
-CACHED_WORDS = 300_000
+CACHED_WORDS = 60_000
+DOCS_AT_ONCE = 64  # documents whose words are hashed in one array
 #: A-Z to a-z; what is no word character (ASCII but for digits and letters) to a blank.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,22 +72,27 @@ class Hashes:
             out ^= out >> np.uint64(29)
         return out
 
-    def winnowed(self, h: np.ndarray, lengths: list[int], whole: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, word positions): winnowed if ``whole``, and all of the given lengths."""
-        hashes, places = [], []
-        g = self.grams(h, K)
-        span = WINDOW - K + 1
-        if whole and len(g) >= span:
-            view = sliding_window_view(g[::-1], span)[::-1]
-            at = np.unique(np.arange(len(view)) + span - 1 - view.argmin(axis=1))
-            hashes.append(g[at])
+    def winnowed(self, h: np.ndarray, doc: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) kept of the words ``h`` of the documents ``doc``: winnowed, and all of the given lengths."""
+        g, span = self.grams(h, K), WINDOW - K + 1
+        n = len(g) - span + 1
+        kept = np.zeros(len(g), bool)
+        if n > 0:
+            least = g[:n].copy()
+            for o in range(1, span):
+                np.minimum(least, g[o : o + n], out=least)
+            open_ = doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]  # windows inside one document
+            for o in reversed(range(span)):  # the last of equal ones
+                here = open_ & (g[o : o + n] == least)
+                kept[o : o + n] |= here
+                open_ &= ~here
+        places = [np.flatnonzero(kept)]
+        hashes = [g[places[0]]]
+        for size in lengths:
+            g = self.grams(h, size) ^ np.uint64(0x5851F42D4C957F2D + size)
+            at = np.flatnonzero(doc[: len(g)] == doc[size - 1 : size - 1 + len(g)])
             places.append(at)
-        for n in lengths:
-            g = self.grams(h, n) ^ np.uint64(0x5851F42D4C957F2D + n)
-            hashes.append(g)
-            places.append(np.arange(len(g)))
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            hashes.append(g[at])
         return np.concatenate(hashes), np.concatenate(places)
 
 
@@ -139,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for b in batches:
             for cls, joined in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = make.of_words(joined.split())
-                hashes, at = make.winnowed(h, [len(h)] if len(h) < WINDOW else [], True)
+                hashes, at = make.winnowed(h, np.zeros(len(h), int), [len(h)] if len(h) < WINDOW else [])
                 cols = [pa.array([cls] * len(at), pa.string()), pa.array(hashes.view(np.int64)), pa.array(at, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=["cls", "h", "q"])
 
@@ -150,22 +155,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, known = Hashes(short), sent.value
-        for some in slices(batches):
-            out = {"n_words": [], "h": [], "p": [], "text": []}
-            for t in some.column("t"):
-                text = t.as_py()
-                found = words(text)
-                hashes, places = make.winnowed(make.of_words(found), short, True)
-                hashes = hashes.view(np.int64)
-                if known is not None:
-                    near = np.searchsorted(known, hashes)
-                    near[near == len(known)] = 0
-                    there = known[near] == hashes if len(known) else np.zeros(len(hashes), bool)
-                    hashes, places = hashes[there], places[there]
-                out["n_words"].append(len(found))
-                out["h"].append(hashes)
-                out["p"].append(places)
-                out["text"].append(text if len(hashes) else None)
+        for some in slices(batches, DOCS_AT_ONCE):
+            texts = [t.as_py() for t in some.column("t")]
+            found = [words(t) for t in texts]
+            n = np.array([len(f) for f in found])
+            doc, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            hashes, places = make.winnowed(make.of_words([w for f in found for w in f]), doc, short)
+            hashes = hashes.view(np.int64)
+            if known is not None:
+                near = np.searchsorted(known, hashes)
+                near[near == len(known)] = 0
+                there = known[near] == hashes if len(known) else np.zeros(len(hashes), bool)
+                hashes, places = hashes[there], places[there]
+            order = np.argsort(places, kind="stable")
+            hashes, places = hashes[order], places[order]
+            cuts = np.searchsorted(places, first[1:])
+            out = {"n_words": n, "h": np.split(hashes, cuts), "p": [p - f for p, f in zip(np.split(places, cuts), first)]}
+            out["text"] = [t if len(h) else None for t, h in zip(texts, out["h"])]
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [*(some.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(v, t) for v, t in zip(out.values(), types))],
