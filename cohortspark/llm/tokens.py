@@ -22,7 +22,7 @@ from functools import lru_cache
 UNIT = re.compile(r"(?<=\S)(?= \S)")
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
 PLAIN = re.compile(rf"([{LETTERS}]+)([.,;:!?]?)(?:(\n)([{LETTERS}]+)([.,;:!?]?))?")
-CACHED_UNITS = 800_000  # at most about 170 MB per Python worker
+CACHED_UNITS = 600_000  # at most about 130 MB per Python worker
 CACHED_CHARS = 64
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
