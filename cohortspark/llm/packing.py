@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import slices, written
-from cohortspark.llm.tokens import encoder, vocabulary
+from cohortspark.llm.tokens import CACHED_UNITS, encoder, vocabulary
 
 CAPACITY, END_ID = 2048, 0
 GROUPS = 96
@@ -53,17 +53,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cached_units: int = CACHED_UNITS) -> DataFrame:
     """Pieces of every document, written once: task, rank among the task's pieces of that length, ids."""
     path = path or vocabulary()
     end = END_ID.to_bytes(4, "little")
+    code = lambda text: encoder(path, cached_units).ids(text)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for some in slices(batches):
             rows = []
             for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                ids = encoder(path).ids(text or "") + end
+                ids = code(text or "") + end
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((part, seen[n], doc_id, k, start, n, ids[4 * start : 4 * (start + n)]))
                     seen[n] += 1
@@ -193,10 +194,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return runs, sequences
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (little-endian 32-bit), sequence_id, offset."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, cached_units: int = CACHED_UNITS) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids (little-endian 32-bit), sequence_id, offset.
+
+    ``cached_units``: text units whose ids a Python worker keeps; fewer take less memory and more time.
+    """
     spark = docs.sparkSession
-    pieces = token_pieces(docs, path, capacity)
+    pieces = token_pieces(docs, path, capacity, cached_units)
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = plan(histogram, capacity, groups)

@@ -22,7 +22,7 @@ from functools import lru_cache
 UNIT = re.compile(r"(?<=\S)(?= \S)")
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
 PLAIN = re.compile(rf"([{LETTERS}]+)([.,;:!?]?)(?:(\n)([{LETTERS}]+)([.,;:!?]?))?")
-CACHED_UNITS = 600_000  # at most about 130 MB per Python worker
+CACHED_UNITS = 1_000_000  # at most about 200 MB per Python worker
 CACHED_CHARS = 64
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -39,7 +39,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """``ids(text)``: little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_units: int = CACHED_UNITS):
+        self.cached_units = cached_units
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -91,7 +92,7 @@ class Encoder:
         except KeyError:
             pass
         distinct = set(units)
-        if len(known) + len(distinct) > CACHED_UNITS:
+        if len(known) + len(distinct) > self.cached_units:
             known.clear()
         if not self._learn(distinct.difference(known)):
             return self._by_boundary(text)  # blanks next to each other
@@ -108,6 +109,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached_units: int = CACHED_UNITS) -> Encoder:
     """One encoder per worker process and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, cached_units)

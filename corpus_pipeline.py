@@ -17,6 +17,9 @@ from cohortspark.llm import decontaminate, packing, quality, simhash, toxicity
 from cohortspark.llm.common import table, written
 
 
+CACHED_UNITS = 150_000  # fewer than in a job of its own: the workers have run the earlier stages
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
@@ -39,7 +42,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, placed in sequences."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    packed = packing.pack(docs, cached_units=CACHED_UNITS)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [
