@@ -37,7 +37,7 @@ from cohortspark.llm.common import utf8, written
 from cohortspark.llm.components import components, forest
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
-SHARD = 16_384  # fingerprints that live in one shard, about
+SHARD = 65_536  # fingerprints that live in one shard, about
 SAMPLE = 20_000  # fingerprints the tree is built on
 BLOCK = 1 << 17  # pairs compared at once
 CHUNK = 1 << 16  # shingle hashes counted at once
