@@ -3,15 +3,20 @@
 A filter is a direction; a vector falls into it if their inner product
 exceeds a threshold. Directions are structured: after a random rotation the
 space is cut in two halves, each with a random code of unit vectors, and every
-pair of code words is a direction. A vector's filters are list-decoded: with
-both halves' products sorted, each first word needs only the second words that
-still reach the threshold, so the cost follows the code's size and the
-filters found, not the number of directions. Vectors that share a filter are
-compared exactly, in double precision.
+pair of code words is a direction. ``CODES`` such codes, each over another
+split of the coordinates, are used side by side, since the directions of one
+code hang on few words. A vector's filters are list-decoded: only words that
+reach the threshold with the best word of the other half are paired, so the
+cost follows the code's size and the filters found, not the number of
+directions. Vectors that share a filter are compared exactly, in double
+precision.
 
-The threshold follows from the number of vectors: a filter should hold
-``BUCKET`` of them if they were spread evenly, and there are so many filters
-that two vectors at the least cosine share ``SHARED`` on average.
+The threshold follows from the number of vectors of a length and the law of
+spherical caps in that dimension: a filter should hold ``BUCKET`` of them if
+they were spread evenly. The number of filters is measured: it grows until at
+most ``MISS`` of ``PAIRS`` synthetic pairs at the least cosine share none. Up
+to ``BLOCK`` vectors of a length share one filter, so none of their links is
+missed.
 
 Equal vectors form one class before anything else, so copies cost nothing. A
 filter with many classes is dealt into blocks, a task for each pair of
@@ -31,7 +36,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,10 @@ from cohortspark.llm.common import partitions, written
 from cohortspark.llm.components import components
 
 COSINE = 0.9
-BUCKET, SHARED = 48, 24
+BUCKET, SHARED = 48, 18  # vectors a filter should hold; filters a pair should share, to begin with
+CODES = 8  # pairs of half codes, each over another split of the space
+MISS = 0.001  # most synthetic pairs at the least cosine that may share no filter
+PAIRS = 4000  # synthetic pairs that this is measured on
 LEAST_DIMENSION = 16  # shorter vectors get zeros behind, which changes no cosine
 BLOCK = 512  # classes of a filter compared in one task
 SEED = 20
@@ -54,43 +61,90 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def family(total: int, cosine: float, bucket: int = BUCKET, shared: float = SHARED) -> tuple[float, int]:
-    """(threshold in standard deviations, code words a half) for ``total`` vectors."""
-    normal = NormalDist()
+def _above(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending values and the share of the unit sphere on which a coordinate exceeds each."""
+    angle = np.linspace(math.pi, 0, 200_001)
+    share = np.cumsum(np.sin(angle[::-1]) ** (dimension - 2))[::-1]
+    return np.cos(angle), share / share[0]
+
+
+def cap(total: int, dimension: int, cosine: float, bucket: int = BUCKET) -> tuple[float, float, float]:
+    """(least inner product, share of vectors in a filter, share of those whose mate at ``cosine`` is in it too)."""
+    dimension = max(dimension, LEAST_DIMENSION)
     share = min(0.05, bucket / max(1, total))
-    cut = normal.inv_cdf(1 - share)
-    # how likely a vector at this cosine to one in the filter is in it too
-    x = np.linspace(cut, cut + 8, 4001)
-    density = np.exp(-x * x / 2)
-    both = np.array([1 - normal.cdf((cut - cosine * v) / math.sqrt(1 - cosine * cosine)) for v in x])
-    also = float((density * both).sum() / density.sum())
-    return cut, math.ceil(math.sqrt(shared / also / share))
+    values, above = _above(dimension)
+    cut = float(np.interp(-share, -above, values))
+    x = np.linspace(cut, 1, 4002)[:-1]
+    density = (1 - x * x) ** ((dimension - 3) / 2)
+    need = (cut - cosine * x) / np.maximum(np.sqrt((1 - cosine * cosine) * (1 - x * x)), 1e-12)
+    both = np.interp(need, *_above(dimension - 1))
+    return cut, share, float((density * both).sum() / density.sum())
+
+
+def missed(dimension: int, cosine: float, cut: float, size: int, pairs: int = PAIRS, seed: int = SEED) -> float:
+    """Share of synthetic pairs at ``cosine`` that have no filter in common."""
+    rng = np.random.default_rng([seed, dimension])
+    lost = 0
+    for n in [512] * (pairs // 512) + [pairs % 512] * (pairs % 512 > 0):
+        x = unit(rng.standard_normal((n, dimension)))
+        z = rng.standard_normal((n, dimension))
+        if dimension > 1:
+            z -= (z * x).sum(axis=1, keepdims=True) * x
+            y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(z)
+        else:
+            y = x
+        lost += sum(not len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(decoded(x, cut, size), decoded(y, cut, size)))
+    return lost / pairs
+
+
+@lru_cache(maxsize=64)
+def family(total: int, dimension: int, cosine: float) -> tuple[float, int]:
+    """(least inner product, code words a half) for ``total`` vectors: pairs miss all filters in at most ``MISS`` of the cases."""
+    cut, share, also = cap(total, dimension, cosine)
+    shared = SHARED
+    while True:
+        size = math.ceil(math.sqrt(shared / also / share / CODES))
+        if missed(dimension, cosine, cut, size) <= MISS:
+            return cut, size
+        shared *= 1.25
 
 
 @lru_cache(maxsize=4)
-def codes(dimension: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation and the two halves' code words, the same in every task."""
+def codes(dimension: int, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Rotation, and each code's order of coordinates and two halves' words, the same in every task."""
     rng = np.random.default_rng([SEED, dimension, size])
     rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
     half = (dimension + 1) // 2
-    words = [rng.standard_normal((size, n)) for n in (half, dimension - half)]
-    return rotation, *(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300) for w in words)
+    made = []
+    for _ in range(CODES):
+        words = [rng.standard_normal((size, n)) for n in (half, dimension - half)]
+        made.append((rng.permutation(dimension), *(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300) for w in words)))
+    return rotation, made
 
 
-def decoded(rows: np.ndarray, cut: float, size: int) -> Iterator[np.ndarray]:
+def decoded(rows: np.ndarray, cut: float, size: int) -> list[np.ndarray]:
     """Ascending numbers of all filters of each unit vector."""
     rows = np.pad(rows, ((0, 0), (0, max(0, LEAST_DIMENSION - rows.shape[1]))))
-    rotation, one, two = codes(rows.shape[1], size)
+    rotation, made = codes(rows.shape[1], size)
     turned = rows @ rotation
-    first, second = turned[:, : one.shape[1]] @ one.T, turned[:, one.shape[1] :] @ two.T
-    least = cut * math.sqrt(2 / rows.shape[1])
-    for a, b in zip(first, second):
-        order = np.argsort(-b)
-        many = np.searchsorted(-b[order], a - least, side="right")  # second words that reach it with each first word
-        words = np.flatnonzero(many)
-        many = many[words]
-        upto = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        yield np.sort(np.repeat(words, many) * size + order[upto]).astype(np.int32)
+    least = cut * math.sqrt(2)  # a direction is a pair of unit words, so of length sqrt(2)
+    owners, numbers = [], []
+    for k, (places, one, two) in enumerate(made):
+        first, second = turned[:, places[: one.shape[1]]] @ one.T, turned[:, places[one.shape[1] :]] @ two.T
+        # words that reach the threshold with the other half's best
+        row, word = np.nonzero(first >= least - second.max(axis=1, keepdims=True))
+        other, mate = np.nonzero(second >= least - first.max(axis=1, keepdims=True))
+        many = np.bincount(other, minlength=len(rows))
+        mates = many[row]
+        own = np.repeat(np.arange(len(row)), mates)
+        at = np.arange(len(own)) + np.repeat((np.cumsum(many) - many)[row] - (np.cumsum(mates) - mates), mates)
+        hit = first[row, word][own] + second[other, mate][at] >= least
+        own, at = own[hit], at[hit]
+        owners.append(row[own])
+        numbers.append((k * size + word[own]) * size + mate[at])
+    owner, number = np.concatenate(owners), np.concatenate(numbers)
+    order = np.lexsort((number, owner))
+    return np.split(number[order], np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1])
 
 
 def _compared(x: np.ndarray, lists: list[np.ndarray], filter_id: int, left: np.ndarray, right: np.ndarray, cosine: float):
@@ -112,9 +166,10 @@ def _compared(x: np.ndarray, lists: list[np.ndarray], filter_id: int, left: np.n
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``classes`` (node, copies, v) to links (a, copies_a, b, copies_b) between different classes, each once."""
     spark = classes.sparkSession
-    cut, size = family(classes.count(), cosine)
-    if size * size >= 1 << 31:
-        raise ValueError("filter numbers no longer fit 32 bits")
+    # a length with few classes has one filter that holds them all
+    many = classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > BLOCK).collect()
+    families = {r["d"]: family(r["count"], r["d"], cosine) for r in many}
+    number = np.int32 if all(CODES * size * size < 1 << 31 for _, size in families.values()) else np.int64
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,17 +179,18 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 for part in np.array_split(at, -(-len(at) // 512)):
                     some = b.take(pa.array(part))
                     values = some.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), d)
-                    found = list(decoded(unit(values), cut, size))
+                    found = decoded(unit(values), *families[d]) if d in families else [np.zeros(1, np.int64)] * len(part)
                     which = np.repeat(np.arange(len(part)), [len(f) for f in found])
                     rows = some.take(pa.array(which))
-                    raw = pa.array([found[k].tobytes() for k in which], pa.binary())
+                    lists = [f.astype(number).tobytes() for f in found]
+                    raw = pa.array([lists[k] for k in which], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(which), d, np.int32)), pa.array(np.concatenate(found)), *(rows.column(c) for c in ("node", "copies", "v")), raw],
                         names=["d", "f", "node", "copies", "v", "fs"],
                     )
 
     kind = dict(classes.dtypes)["v"]
-    cast_rows = written(classes.mapInArrow(cast, f"d int, f int, node long, copies long, v {kind}, fs binary"), "filters")
+    cast_rows = written(classes.mapInArrow(cast, f"d int, f long, node long, copies long, v {kind}, fs binary"), "filters")
     large = cast_rows.groupBy("d", "f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     large = written(large.select("d", "f", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-filters")
     dealt = cast_rows.join(large, ["d", "f"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -152,7 +208,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             keys = np.stack([t.column(c).to_numpy() for c in group])
             starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
             node, copies, own = (t.column(c).to_numpy() for c in ("node", "copies", "own"))
-            lists = [np.frombuffer(x, np.int32) for x in t.column("fs").to_pylist()]
+            lists = [np.frombuffer(x, number) for x in t.column("fs").to_pylist()]
             flat = t.column("v").combine_chunks()
             out = []
             for s, e in zip(starts, [*starts[1:], t.num_rows]):

@@ -133,6 +133,26 @@ def test_embedding_blocks(spark, monkeypatch, block):
     assert {r.n_links for r in got} == {59} and {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("dimension,total", [(64, 2000), (64, 100_000), (16, 100_000), (64, 1_000_000)])
+def test_filters_recall(dimension, total):
+    """Pairs at the least cosine, other than those the filters were fitted on, share a filter at any row count."""
+    cut, size = embedding_dedup.family(total, dimension, 0.9)
+    assert embedding_dedup.missed(dimension, 0.9, cut, size, 2000, seed=99) <= 0.003
+    assert embedding_dedup.missed(dimension, 0.97, cut, size, 2000, seed=98) <= 0.001
+    x = embedding_dedup.unit(np.random.default_rng(5).standard_normal((300, dimension)))
+    rotation, made = embedding_dedup.codes(dimension, size)
+    if total <= 100_000:  # list decoding against all directions
+        want = [[] for _ in x]
+        for k, (places, one, two) in enumerate(made):
+            turned = (x @ rotation)[:, places]
+            sums = (turned[:, : one.shape[1]] @ one.T)[:, :, None] + (turned[:, one.shape[1] :] @ two.T)[:, None, :]
+            for row, found in enumerate(sums >= cut * np.sqrt(2)):
+                want[row] += (k * size * size + np.flatnonzero(found)).tolist()
+        assert [f.tolist() for f in embedding_dedup.decoded(x, cut, size)] == want
+        held = np.mean([len(w) for w in want]) / (embedding_dedup.CODES * size * size) * total
+        assert 20 < held < 100  # about BUCKET
+
+
 def test_embedding_edge_cases(spark):
     inf = float("inf")
     vectors = [None, [], [0.0, 0.0], [1.0, None], [1.0, inf], [1.0, float("nan")], [1.0, 2.0], [2.0, 4.0], [1.0, 2.0], [3.0], [1e300, 2e300]]
