@@ -70,19 +70,22 @@ def logistic(c: float = 0.9, n_train: int | None = None) -> LogisticRegression:
     return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=200)
 
 
-def decision_tree(min_leaf: int = 50) -> DecisionTreeClassifier:
-    """M14."""
-    return DecisionTreeClassifier(minInstancesPerNode=min_leaf, seed=42)
+MAX_DEPTH = 30  # Spark's limit; the reference bounds its trees by leaf size only
 
 
-def random_forest(trees: int = 200, min_leaf: int = 50) -> RandomForestClassifier:
-    """M15."""
-    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, seed=42)
+def decision_tree(min_leaf: int = 50, depth: int = MAX_DEPTH) -> DecisionTreeClassifier:
+    """At most ``depth`` levels of splits."""
+    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_leaf, seed=42)
 
 
-def boosting(rounds: int = 200, min_leaf: int = 50) -> GBTClassifier:
-    """M16."""
-    return GBTClassifier(maxIter=rounds, minInstancesPerNode=min_leaf, seed=42)
+def random_forest(trees: int = 200, min_leaf: int = 50, depth: int = MAX_DEPTH) -> RandomForestClassifier:
+    """Trees of at most ``depth`` levels of splits."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=42)
+
+
+def boosting(rounds: int = 200, min_leaf: int = 50, depth: int = 3) -> GBTClassifier:
+    """``depth`` is the reference library's default for boosting."""
+    return GBTClassifier(maxIter=rounds, maxDepth=depth, minInstancesPerNode=min_leaf, seed=42)
 
 
 class CalibratedSVC:

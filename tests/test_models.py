@@ -53,6 +53,18 @@ def test_cross_val_and_validate(spark):
     assert r.n == 40 and r.auc > 0.9
 
 
+def test_trees_grow_until_leaves_are_small(spark):
+    """32 alternating steps of 100 rows: five levels of greedy splits do not separate them, leaves of 50 rows do."""
+    df = spark.createDataFrame([(i, float(i % 32), i % 2 == 1) for i in range(3200)], "id long, a double, y boolean")
+    feats = MO.assemble(df, ["a"], "y").cache()
+    tree, forest = MO.decision_tree(50).fit(feats), MO.random_forest(3, 50).fit(feats)
+    assert tree.depth > 5 and max(t.depth for t in forest.trees) > 5
+    wrong = tree.transform(feats).where("prediction != label").count()
+    assert wrong < MO.decision_tree(50, depth=5).fit(feats).transform(feats).where("prediction != label").count()
+    assert MO.decision_tree(50, depth=2).fit(feats).depth == 2
+    assert MO.boosting(2).getMaxDepth() == 3
+
+
 def test_identity_matrices(spark):
     df = _diag_frame(spark, np.ones((8, 3)))
     t, ref = MO.tangent_space(df, "cov", 3)
