@@ -12,9 +12,11 @@ Reading: Spark's line reader, with the three bytes that begin a gzip member as
 its separator, deals byte ranges to tasks; a task owns the candidates that
 start in its range and reads the last one to its end. A candidate counts as a
 member if its gzip and WARC headers decode; else those three bytes came up
-inside a member, and the candidate continues the one before. Should that
-happen just where a range ends, the loose pieces of neighbouring ranges are
-put together in a second, tiny step.
+inside a member, and the candidate continues the one before. Where they came
+up before the member's first bytes can be decoded (in its Huffman header), the
+candidate is held until those that follow decide. Should either happen just
+where a range ends, the loose pieces of neighbouring ranges are put together
+in a second, tiny step.
 
 Edge cases: a null html is an empty payload; a null url or page_id leaves its
 header out; rows without a page_id are written as responses and never referred
@@ -116,14 +118,27 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     lines.write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
-def _is_member(chunk: bytes) -> bool | None:
-    """Whether the bytes after the magic go on as a WARC record; None for an empty gzip member."""
-    press = zlib.decompressobj(31)
-    try:
-        out = press.decompress(MAGIC + chunk[:4096], PROBE)
-    except zlib.error:
-        return False
-    return None if press.eof and not out else out.startswith(b"WARC/")
+MEMBER, INSIDE, EMPTY, UNDECIDED = "member", "inside", "empty", "undecided"
+
+
+def _judged(chunks: list[bytes]) -> tuple[str, int]:
+    """What the first chunk begins: a WARC record, nothing (its magic came up inside a member) or an empty gzip member; and how many chunks tell.
+
+    Undecided if the chunks end, without an error, before ``WARC/`` is decoded:
+    the magic may also come up in a member's gzip or Huffman header.
+    """
+    press, out = zlib.decompressobj(31), b""
+    for n, chunk in enumerate(chunks, 1):
+        for part in (chunk[:4096], chunk[4096:]):
+            try:
+                out += press.decompress(part, PROBE)
+            except zlib.error:
+                return INSIDE, n
+            if press.eof and not out:
+                return EMPTY, n
+            if press.eof or len(out) >= 5 or not b"WARC/".startswith(out):
+                return (MEMBER if out.startswith(b"WARC/") else INSIDE), n
+    return UNDECIDED, len(chunks)
 
 
 def _parsed(raw: bytes) -> dict | None:
@@ -162,30 +177,43 @@ RECORDS = pa.schema(
 LOOSE = "file string, range long, at long, opens boolean, raw binary"
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bool, bytes]]:
-    """(file, range, place, whether it opens a member, bytes) of each candidate with all that continues it."""
-    here, held, opens, at = None, [], False, 0
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bool | None, bytes]]:
+    """(file, range, place, whether it opens a member, bytes) of each candidate with all that continues it.
+
+    Candidates that the end of their range leaves undecided come singly, with None.
+    """
+    here, held, opens, at, pending = None, [], False, 0, []
+
+    def rest() -> Iterator[tuple[str, int, int, bool | None, bytes]]:
+        pieces = [(opens, b"".join(held))] if held else []
+        pieces += [(None, chunk) for chunk in pending]
+        for n, piece in enumerate(pieces, at):
+            yield *here, n, *piece
+
     for b in batches:
         for file, start, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             raw = chunk.as_py()
             begins = (file, start) != here
             if begins:
-                if held:
-                    yield *here, at, opens, b"".join(held)
-                here, held, opens, at = (file, start), [], False, 0
+                yield from rest()
+                here, held, opens, at, pending = (file, start), [], False, 0, []
             if begins and start == 0:
                 continue  # what stands before the first magic
-            found = _is_member(raw)
-            if found is None:
-                continue
-            if found:
-                if held:
-                    yield *here, at, opens, b"".join(held)
-                    at += 1
-                held, opens = [], True
-            held.append(MAGIC + raw)
-    if held:
-        yield *here, at, opens, b"".join(held)
+            pending.append(MAGIC + raw)
+            while pending:
+                found, n = _judged(pending)
+                if found == UNDECIDED:
+                    break
+                if found == MEMBER:
+                    if held:
+                        yield *here, at, opens, b"".join(held)
+                        at += 1
+                    held, opens = [], True
+                n = 1 if found == INSIDE else n
+                if found != EMPTY:
+                    held += pending[:n]
+                pending = pending[n:]
+    yield from rest()
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -194,11 +222,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("chunk"))
 
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # only the last member of a range can go on in the next one; only the first piece may be such a rest
+        # only the last member of a range, or what is undecided there, can go on in the next one; only the first piece may be such a rest
         def rows():
             before = None
             for now in _members(batches):
-                if before is not None and (not before[3] or before[:2] != now[:2] and _parsed(before[4]) is None):
+                if before is not None and (not before[3] or (now[3] is None or before[:2] != now[:2]) and _parsed(before[4]) is None):
                     yield before
                 before = now
             if before is not None and (not before[3] or _parsed(before[4]) is None):
@@ -223,12 +251,23 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         """Put the loose pieces of a file together in order; what is no whole record then is damaged and left out."""
         rows = rows.sort_values(["range", "at"])
+        opens, raws = [None if pd.isna(x) else bool(x) for x in rows["opens"]], list(rows["raw"])
         held: list[list[bytes]] = []
-        for opens, raw in zip(rows["opens"], rows["raw"]):
-            if opens:
-                held.append([raw])
-            elif held:
-                held[-1].append(raw)
+        at = 0
+        while at < len(raws):
+            found, n = MEMBER if opens[at] else INSIDE, 1
+            if opens[at] is None:  # the pieces up to the next member's start tell
+                upto = next((k for k in range(at, len(raws)) if opens[k]), len(raws))
+                found, n = _judged(raws[at:upto])
+            if found == MEMBER:
+                held.append(raws[at : at + n])
+            elif found == EMPTY:
+                pass
+            else:
+                n = 1
+                if held:
+                    held[-1].append(raws[at])
+            at += n
         found = [r for r in (_parsed(b"".join(x)) for x in held) if r is not None]
         return pd.DataFrame(found, columns=[f.name for f in RECORDS]).astype({"page_id": "Int64", "refers_to_page": "Int64"})
 

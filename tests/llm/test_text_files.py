@@ -114,6 +114,37 @@ def test_magic_inside_members_across_ranges(spark, monkeypatch):
     assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(k, body + str(k).encode()) for k in range(6)]
 
 
+# a record of page 77 whose dynamic Huffman header holds the gzip magic at byte 32
+MAGIC_IN_HEADER = base64.b64decode(
+    "H4sIAAAAAAAAAwXBu0oDQRQA0DZcmGJxqq3S2Dl6VxMfiwhhDShYLUJqkx0fMGxCHgx2/ohfMLeYcn7A4rI/kCL7DekGpvOc2aSuLorzQsBsUlfq9Xuly+Fab1bLdqMFzCZ1"
+    "pWq9WK4b9fxYDu9367bc7b6a8npevI81LtRdc/mmRvObK4WIqBARERERR82DgGrZbnW7VS+6/dh+lsNiPBYg4EmAgJhPgQL1R7bux0bjjFztuygHfe57zpnZU7p1KdnkHcV9"
+    "lllnTz1FTon4zJhzkqNBChHoV0bv/yRnhyDB5QdbpN5mPVkKAcJ+6o0cTL213B2ld1ywlaHvsiOx94aNZOJ4QtJS7AQI+AfyxkWOFgEAAA=="
+)
+
+
+@pytest.mark.parametrize("size", ["128m", "333", "120", "40", "15"])
+def test_magic_inside_headers(spark, size):
+    """Members with the magic before their first decodable byte, in one range and over the ends of many."""
+    assert MAGIC_IN_HEADER.find(warc.MAGIC, 3) == 32 and len(zlib.decompressobj(31).decompress(MAGIC_IN_HEADER[:40])) < 5
+    plain = [warc.member(k, "u", b"x" * k, None) for k in range(4)]
+    dated = [m[:4] + warc.MAGIC + m[7:] for m in (warc.member(k, "u", b"x" * k, None) for k in (4, 5, 6))]  # in the time field
+    path = shared_path(spark, "test-header-magic").removeprefix("file:")
+    os.makedirs(path)
+    for name, order in (("a", [plain[0], MAGIC_IN_HEADER, plain[1], dated[0], warc.EMPTY_MEMBER, plain[2]]), ("b", [dated[1], dated[2], plain[3]])):
+        with open(f"{path}/{name}.warc", "wb") as f:
+            f.write(b"".join(order))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = warc.read_archive(spark, path).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.page_id for r in got) == [0, 1, 2, 3, 4, 5, 6, 77]
+    assert all(bytes(r.payload) == b"x" * r.page_id for r in got if r.page_id < 7)
+
+
 def test_long_member_ends_in_a_zero():
     payload = np.random.default_rng(0).integers(0, 4, 17 << 20, dtype=np.uint8).tobytes()
     raw = warc.member(1, None, payload, None)
