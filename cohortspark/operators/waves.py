@@ -5,7 +5,8 @@ T1–T17, W1, W2, U1, U3. All cases are processed in one plan.
 Semantics (per case, per VOI wave):
 
 1. ``step`` = whole minutes, ``60 * bround((dt_max - dt_min)_s / nb_pts / 60)``;
-   cases whose step is 0 are dropped (no resampling is possible).
+   cases whose step is 0 cannot be resampled: the wave functions leave them
+   out, ``rejected_cases`` returns them.
 2. ``start`` = earliest of dt_min and the wave's first reading (ticks at
    dt_min and dt_max widen the series; readings outside are kept).
 3. Bins are ``[origin + k*step, origin + (k+1)*step)`` with origin = midnight
@@ -49,12 +50,8 @@ def route_to_voi(spark: SparkSession, readings: DataFrame, vois: Sequence[str])
     return readings.join(F.broadcast(K.routing_frame(spark, vois)), "id_measure_type")
 
 
-def case_steps(ranges: DataFrame, nb_pts: int = DEFAULT_NB_PTS) -> DataFrame:
-    """T4 + T14: one row per case with dt_min, dt_max, step (µs) and the target.
-
-    ``ranges`` may repeat a case (the age join can fan out); a case is dead
-    when any of its rows has a death date.
-    """
+def _all_steps(ranges: DataFrame, nb_pts: int) -> DataFrame:
+    """One row per case with dt_min, dt_max, the target and the step (µs), whatever it is."""
     per_case = ranges.groupBy(*CASE).agg(
         F.min("dt_min").alias("dt_min"),
         F.min("dt_max").alias("dt_max"),
@@ -62,7 +59,22 @@ def case_steps(ranges: DataFrame, nb_pts: int = DEFAULT_NB_PTS) -> DataFrame:
     )
     diff_ms = F.floor(F.timestamp_diff("MICROSECOND", F.col("dt_min"), F.col("dt_max")) / F.lit(1000))
     minutes = F.bround(diff_ms / F.lit(1000.0) / F.lit(float(nb_pts)) / F.lit(60.0), 0)
-    return per_case.withColumn("step_us", (minutes * F.lit(60_000_000)).cast("long")).where(F.col("step_us") > 0)
+    return per_case.withColumn("step_us", (minutes * F.lit(60_000_000)).cast("long"))
+
+
+def case_steps(ranges: DataFrame, nb_pts: int = DEFAULT_NB_PTS) -> DataFrame:
+    """T4 + T14: one row per case with dt_min, dt_max, step (µs) and the target.
+
+    ``ranges`` may repeat a case (the age join can fan out); a case is dead
+    when any of its rows has a death date. Cases without a positive step are
+    in ``rejected_cases``.
+    """
+    return _all_steps(ranges, nb_pts).where(F.col("step_us") > 0)
+
+
+def rejected_cases(ranges: DataFrame, nb_pts: int = DEFAULT_NB_PTS) -> DataFrame:
+    """The cases ``case_steps`` leaves out: the range rounds to no positive step, or one of its ends is null."""
+    return _all_steps(ranges, nb_pts).where(F.coalesce(F.col("step_us") <= 0, F.lit(True)))
 
 
 def _vois_column(vois: Sequence[str]) -> Column:

@@ -102,6 +102,17 @@ def test_too_short_stay_is_dropped(spark):
     assert got == {}
 
 
+def test_rejected_cases_are_all_that_steps_leave_out(spark):
+    dmin, j1 = datetime(2024, 1, 1, 6, 0), date(2024, 1, 1)
+    ends = {"short": timedelta(minutes=20), "long": timedelta(hours=6), "back": timedelta(hours=-3), "none": None}
+    rows = [(c, j1, dmin, None if d is None else dmin + d, None) for c, d in ends.items()]
+    ranges = spark.createDataFrame([*rows, rows[0]], "id_nda string, j1 date, dt_min timestamp_ntz, dt_max timestamp_ntz, dt_deces date")
+    ids = lambda df: sorted(r.id_nda for r in df.collect())
+    assert ids(W.case_steps(ranges, NB)) == ["long"] and ids(W.rejected_cases(ranges, NB)) == ["back", "none", "short"]
+    # above 720 points a six-hour stay rounds to no minute a point
+    assert ids(W.case_steps(ranges, 721)) == [] and ids(W.rejected_cases(ranges, 721)) == ["back", "long", "none", "short"]
+
+
 def test_cubic_keeps_known_points_and_length(spark):
     dmin = datetime(2024, 1, 1, 0, 0)
     dmax = dmin + timedelta(hours=24)
