@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import chat, decontaminate, embedding_dedup, langid, packing, quality, simhash, token_store, toxicity, warc
+from cohortspark.llm import chat, decontaminate, embedding_dedup, langid, packing, quality, simhash, substring_dedup, token_store, toxicity, warc
 from cohortspark.llm.common import shared_path, table, written
 
 
@@ -71,5 +71,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.format_conversations(rows), "chat"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_store, op3_embedding_dedup, op4_toxicity, op5_language, op6_simhash, op7_decontaminate, op8_warc, op9_packing, op10_chat)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed_spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_store, op3_embedding_dedup, op4_toxicity, op5_language, op6_simhash, op7_decontaminate, op8_warc, op9_packing, op10_chat, op11_substring_dedup)}
 ORACLE: dict[str, str] = {}
