@@ -1,7 +1,7 @@
 """The training-data queries: each applies one operator to its whole table.
 
-``ORACLE`` has the queries that SQL can express; the tests hold the others
-against brute force, exact round trips or held-out accuracy.
+``ORACLE`` (of ``oracle``) has the queries that SQL can express; the tests hold
+the others against brute force, exact round trips or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import chat, decontaminate, embedding_dedup, langid, packing, quality, simhash, substring_dedup, token_store, toxicity, warc
+from cohortspark.llm import chat, decontaminate, embedding_dedup, hard_negatives, langid, packing, quality, simhash, spelling, substring_dedup, token_store, toxicity, warc
 from cohortspark.llm.common import shared_path, table, written
+from cohortspark.llm.oracle import ORACLE
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +76,22 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_store, op3_embedding_dedup, op4_toxicity, op5_language, op6_simhash, op7_decontaminate, op8_warc, op9_packing, op10_chat, op11_substring_dedup)}
-ORACLE: dict[str, str] = {}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), every=97)
+    return spelling.spelling_variants(words)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, anchors=F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_token_store, op3_embedding_dedup, op4_toxicity, op5_language, op6_simhash, op7_decontaminate, op8_warc,
+        op9_packing, op10_chat, op11_substring_dedup, op12_spelling, op13_hard_negatives,
+    )
+}
+__all__ = ["QUERIES", "ORACLE"]
