@@ -137,6 +137,7 @@ class Walk:
 
     def __init__(self, vectors: np.ndarray, rows: np.ndarray, parts: list[Cluster], same: bool, keep: int):
         self.vectors, self.rows, self.parts, self.same, self.keep = vectors, rows, parts, same, keep
+        self.step = STEP
         self.lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)
         # by default one query an anchor, for all scores
         self.of, self.least, self.most = np.arange(len(rows)), np.full(len(rows), NONE + 1), np.full(len(rows), np.iinfo(np.int64).max)
@@ -150,12 +151,12 @@ class Walk:
             order = np.argsort(-bound, kind="stable")
             here, bound = here[order], bound[order]
             queries = np.concatenate([np.arange(first[m], first[m + 1]) for m in part.members] or [np.zeros(0, np.int64)])
-            for at in range(0, len(here), STEP):
+            for at in range(0, len(here), self.step):
                 reach = self.lengths[self.of[queries]] * bound[at] + 1  # all that follows scores no more
                 queries = queries[(reach >= best.least[queries]) & (best.least[queries] <= self.most[queries])]
                 if not len(queries):
                     break
-                some = here[at : at + STEP]
+                some = here[at : at + self.step]
                 members, which = np.unique(self.of[queries], return_inverse=True)
                 scores = _scores(self.vectors[members], vectors[some])
                 scores = np.where(self.rows[members][:, None] == rows[some][None, :], NONE, scores)[which]

@@ -126,13 +126,14 @@ def _bits(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 class Filters:
     """The segments of one round: length -> (blocks, first place of each segment or -1, the segments' blocks)."""
 
-    def __init__(self, sizes: dict[int, int], segments: list[tuple[int, int, bytes]]):
+    def __init__(self, sizes: dict[int, int], segments: list[tuple[int, int, bytes]], segment: int):
+        self.segment = segment
         self.of: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
         for length in {s[0] for s in segments}:
             blocks = blocks_of(sizes[length])
-            where, held = np.full(-(-blocks // SEGMENT), -1, np.int64), []
+            where, held = np.full(-(-blocks // segment), -1, np.int64), []
             for k, (_, number, data) in enumerate(s for s in segments if s[0] == length):
-                where[number] = k * SEGMENT
+                where[number] = k * segment
                 held.append(np.frombuffer(data, "<u8"))
             self.of[length] = blocks, where, np.concatenate(held)
 
@@ -142,8 +143,8 @@ class Filters:
     def may_hold(self, length: int, hashes: np.ndarray) -> np.ndarray:
         blocks, where, held = self.of[length]
         block, mask = _bits(hashes, blocks)
-        first = where[block // SEGMENT]
-        return (first >= 0) & (held[np.maximum(first, 0) + block % SEGMENT] & mask == mask)
+        first = where[block // self.segment]
+        return (first >= 0) & (held[np.maximum(first, 0) + block % self.segment] & mask == mask)
 
 
 def _edits(rows: np.ndarray, alphabet: np.ndarray, filters: Filters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -214,7 +215,7 @@ def near_words(words: DataFrame) -> DataFrame:
     for k in range(0, len(order), ROUND_SEGMENTS):
         some = order[k : k + ROUND_SEGMENTS]
         bounds = F.struct("length", "segment").between(*(F.struct(F.lit(x[0]).alias("length"), F.lit(x[1]).alias("segment")) for x in (some[0], some[-1])))
-        filters = spark.sparkContext.broadcast(Filters(sizes, [tuple(r) for r in built.where(bounds).collect()]))  # ROUND_SEGMENTS of 512 KB
+        filters = spark.sparkContext.broadcast(Filters(sizes, [tuple(r) for r in built.where(bounds).collect()], SEGMENT))  # ROUND_SEGMENTS of 512 KB
 
         def probe(batches: Iterator[pa.RecordBatch], filters=filters) -> Iterator[pa.RecordBatch]:
             for b in batches:
