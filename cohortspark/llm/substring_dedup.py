@@ -38,16 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import partitions, shared_path, slices, utf8, written
+from cohortspark.llm.common import partitions, shared_path, utf8, written
 
 WINDOW, SEED = 13, 4  # words of a window; the first length is the last half of it of at least so many words
 SLICE_BYTES = 32 << 20  # of text in a slice, about
 RANGE_WORDS = 8_000_000  # windows compared in one task, about
-CACHED_WORDS = 200_000
+CHUNK_BYTES = 1 << 17  # of words hashed at once
 LARGEST = np.iinfo(np.int64).max  # stands for a null id
 MULTIPLIERS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -61,36 +62,57 @@ def lengths(window: int, seed: int = SEED) -> list[int]:
 
 
 class Texts:
-    """The words of several texts in one array of hashes."""
-
-    _known: dict[bytes, int] = {}
-
-    def __init__(self, texts: list[bytes]):
-        self.words = [t.split() for t in texts]
-        n = np.array([len(w) for w in self.words], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(n)])
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.hashes = np.concatenate([self._hashed(w) for w in self.words] or [np.zeros(0, np.uint64)])
-
-    @classmethod
-    def _hashed(cls, words: list[bytes]) -> np.ndarray:
-        known = cls._known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
-
-    def parts(self, length: int, which: int = 0) -> np.ndarray:
-        """Hash of the ``length`` words from each place on (across texts too)."""
-        n = max(0, len(self.hashes) - length + 1)
+    """The words of several texts: where they stand in the joined bytes, and their hashes.
+
+    A word's hash is a polynomial in its bytes' random numbers, modulo 2**64, so
+    that running sums hash all words of a chunk at once; words of over ``LONG``
+    bytes, where such polynomials can coincide, are hashed one by one.
+    """
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        inside = ~BLANK[data]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        stops = inside.copy()
+        stops[:-1] &= ~inside[1:]
+        edges = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]  # a word does not go on in the next text
+        starts[edges] = inside[edges]
+        stops[edges - 1] = inside[edges - 1]
+        at = np.flatnonzero(starts)
+        self.hashes = self._hashed(data, at, np.flatnonzero(stops) + 1 - at)
+        self.first = np.searchsorted(at, ends)  # the first word of each text, and the number of all
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
+
+    @staticmethod
+    def _hashed(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out, k = np.empty(len(at), np.uint64), 0
+        while k < len(at):
+            end = max(k + 1, int(np.searchsorted(at, at[k] + CHUNK_BYTES)) - 1)
+            first = at[k]
+            stop = at[end - 1] + size[end - 1]
+            sums = np.zeros(stop - first + 1, np.uint64)
+            power, inverse = _powers(stop - first)
+            np.cumsum(NUMBERS[data[first:stop]] * power, out=sums[1:])
+            here = at[k:end] - first
+            out[k:end] = (sums[here + size[k:end]] - sums[here]) * inverse[here]
+            k = end
+        for k in np.flatnonzero(size > LONG):
+            out[k] = xxhash.xxh64_intdigest(data[at[k] : at[k] + size[k]].tobytes())
+        return _mixed(out)
+
+    def parts(self, length: int, which: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the ``length`` words from each place (across texts too), or from the given ones."""
+        n = max(0, len(self.hashes) - length + 1) if at is None else len(at)
         out = np.full(n, length + which, np.uint64)
         for i in range(length):
-            out = (out ^ self.hashes[i : i + n]) * MULTIPLIERS[which]
+            out ^= self.hashes[i : i + n] if at is None else self.hashes[at + i]
+            out *= MULTIPLIERS[which]
             out ^= out >> np.uint64(29)
         return out
 
@@ -100,13 +122,64 @@ class Texts:
         return np.flatnonzero(self.doc[:n] == self.doc[window - 1 :])
 
     def chosen(self, at: np.ndarray, hashes: np.ndarray, window: int, length: int) -> np.ndarray:
-        """For each window, the place of its part with the least hash, the last of equal ones."""
-        least, place = hashes[at].copy(), at.copy()
-        for o in range(1, window - length + 1):
-            here = hashes[at + o]
-            lower = here <= least
-            least[lower], place[lower] = here[lower], at[lower] + o
-        return place
+        """For each window, the place of its part with the least hash; the last bits of the hash give way to the place."""
+        offsets = window - length + 1
+        room = np.uint64(offsets.bit_length())
+        n = len(hashes) - offsets + 1
+        high = hashes >> room << room
+        least = high[:n].copy()
+        for o in range(1, offsets):
+            np.minimum(least, high[o : o + n] | np.uint64(o), out=least)
+        return at + (least[at] & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomial's base and of its inverse, ``n`` at least."""
+    global _kept
+    if len(_kept[0]) < n:
+        base = int(MULTIPLIERS[1])
+        made = [np.full(max(n, CHUNK_BYTES), x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        for x in made:
+            x[0] = 1
+        made = [np.multiply.accumulate(x) for x in made]
+        if n > 2 * CHUNK_BYTES:
+            return made[0][:n], made[1]
+        _kept = made
+    return _kept[0][:n], _kept[1]
+
+
+_kept = [np.zeros(0, np.uint64)] * 2
+LONG = 64
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+NUMBERS = _mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[0])
+
+
+class Known:
+    """A set of hashes; most that are not in it are told by a table of bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.mask = np.uint64((1 << max(10, min(24, (8 * len(self.sorted)).bit_length()))) - 1)
+        self.there = np.zeros(int(self.mask) + 1, bool)
+        self.there[self._place(self.sorted)] = True
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes ^ hashes >> np.uint64(32)) & self.mask
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are in the set, their places in it)."""
+        at = np.flatnonzero(self.there[self._place(hashes)])
+        if not len(self.sorted):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
+        same = self.sorted[place] == hashes[at]
+        return at[same], place[same]
 
 
 def _codes(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -120,80 +193,86 @@ class Search:
     def __init__(self, window: int, ranges: int):
         self.window, self.ranges, self.levels = window, ranges, lengths(window)
 
-    def asked(self, texts: Texts, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(starts of windows, places of their parts of this level), once for each part of a window."""
-        at, length = texts.windows(self.window), self.levels[level]
+    def asked(self, texts: Texts, level: int, at: np.ndarray) -> list[np.ndarray]:
+        """Places of the parts of this level of the windows that start at ``at``: one array for each part of a window."""
         if level == 0:
-            return [(at, texts.chosen(at, texts.parts(length), self.window, length))] if len(at) else []
-        return [(at, at), (at, at + self.window - length)]
-
-    def alive(self, texts: Texts, level: int, known: np.ndarray) -> np.ndarray:
-        """Starts of the windows all of whose parts of this level are among the ``known`` codes (sorted)."""
-        out, hashes = texts.windows(self.window), texts.parts(self.levels[level])
-        for at, place in self.asked(texts, level):
-            code = _codes(hashes[place], self.ranges)
-            near = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-            out = np.intersect1d(out, at[known[near] == code] if len(known) else at[:0], assume_unique=True)
-        return out
-
-    def ask(self, texts: Texts, level: int, alive: np.ndarray | None) -> Iterator[tuple[int, bytes]]:
-        """(range, packed codes): each part of the windows alive once, twice if several texts have it."""
-        hashes, found = texts.parts(self.levels[level]), []
-        for at, place in self.asked(texts, level):
-            place = place if alive is None else place[np.searchsorted(at, alive)]
-            found.append(np.unique(place))
-        if not found or not any(map(len, found)):
+            return [texts.chosen(at, texts.parts(self.levels[0]), self.window, self.levels[0])] if len(at) else [at]
+        return [at, at + (self.window - self.levels[level])]
+
+    def alive(self, texts: Texts, level: int, known: Known) -> np.ndarray:
+        """Starts of the windows all of whose parts of this level are among the ``known`` codes."""
+        at, parts = texts.windows(self.window), texts.parts(self.levels[level])
+        there = np.zeros(len(parts), bool)
+        there[known.find(_codes(parts, self.ranges))[0]] = True
+        return at[np.logical_and.reduce([there[place] for place in self.asked(texts, level, at)])]
+
+    def ask(self, texts: Texts, level: int, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(range, packed codes): each part of the windows at ``at`` once, twice if several texts have it."""
+        marked = np.zeros(len(texts.doc), bool)
+        for place in self.asked(texts, level, at):
+            marked[place] = True
+        place = np.flatnonzero(marked)
+        if not len(place):
             return
-        place = np.unique(np.concatenate(found))
-        code, doc = _codes(hashes[place], self.ranges), texts.doc[place]
-        order = np.lexsort((doc, code))
+        code, doc = _codes(texts.parts(self.levels[level], at=place), self.ranges), texts.doc[place]
+        order = np.argsort(code)
         code, doc = code[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        last = np.concatenate([first[1:], [len(code)]]) - 1
-        code = np.repeat(code[first], 1 + (doc[first] != doc[last]))
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        code = np.repeat(code[first], 1 + several)
         group = (code >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         low = code.astype("<u4")
         for a, b in zip(cuts, [*cuts[1:], len(code)]):
             yield int(group[a]), low[a:b].tobytes()
 
-    def keys(self, texts: Texts, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Sorted distinct (a, b, least id) of the windows at these places."""
-        out = np.zeros(len(at), KEY)
-        out["a"], out["b"] = texts.parts(self.window)[at], texts.parts(self.window, 1)[at]
-        out["least"] = ids[texts.doc[at]]
-        return _least(out)
-
-    def covered(self, texts: Texts, ids: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-        """The words inside a window that a smaller document has, in these texts or by ``elsewhere``."""
-        at = texts.windows(self.window)
+    def keys(self, texts: Texts, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(range, packed keys): the windows at these places, each once, with their least and largest id."""
         if not len(at):
-            return np.zeros(len(texts.doc), bool)
-        own = np.zeros(len(at), KEY)
-        own["a"], own["b"] = texts.parts(self.window)[at], texts.parts(self.window, 1)[at]
-        own["least"] = ids[texts.doc[at]]
-        every = np.concatenate([own, elsewhere])
-        order = np.lexsort((every["least"], every["b"], every["a"]))
-        run = every[order]
-        new = np.concatenate([[True], (run["a"][1:] != run["a"][:-1]) | (run["b"][1:] != run["b"][:-1])])
-        least = np.empty(len(every), np.int64)
-        least[order] = run["least"][new][np.cumsum(new) - 1]
-        gone = at[least[: len(at)] < own["least"]]
+            return
+        a, b, doc = texts.parts(self.window, at=at), texts.parts(self.window, 1, at), ids[texts.doc[at]]
+        group = (a >> np.uint64(40)) % np.uint64(self.ranges)
+        order = np.lexsort((b, a, group))
+        group, a, b, doc = group[order], a[order], b[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        out, group = np.zeros(len(first), KEY), group[first].astype(np.int64)
+        out["a"], out["b"] = a[first], b[first]
+        out["least"], out["most"] = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        for s, e in zip(cuts, [*cuts[1:], len(out)]):
+            yield int(group[s]), out[s:e].tobytes()
+
+    def covered(self, texts: Texts, ids: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The words inside a window of ``found`` (a, b, least id) that a smaller document has."""
         edge = np.zeros(len(texts.doc) + 1, np.int64)
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + self.window, -1)
+        if len(found):
+            found = found[np.argsort(found["a"])]
+            same = np.flatnonzero(found["a"][1:] == found["a"][:-1])  # two windows that share 64 bits
+            if len(same):
+                found = _apart(found)
+            known, at = Known(found["a"]), texts.windows(self.window)
+            which, place = known.find(texts.parts(self.window)[at])
+            at = at[which]
+            if len(same):
+                place = np.searchsorted(_both(found["a"], found["b"]), _both(known.sorted[place], texts.parts(self.window, 1, at)))
+                place = np.minimum(place, len(found) - 1)
+            gone = at[(found["b"][place] == texts.parts(self.window, 1, at)) & (found["least"][place] < ids[texts.doc[at]])]
+            edge += np.bincount(gone, minlength=len(edge)) - np.bincount(gone + self.window, minlength=len(edge))
         return edge.cumsum()[:-1] > 0
 
 
-KEY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8")])
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs as one sortable value."""
+    out = np.zeros(len(a), np.dtype([("a", "<u8"), ("b", "<u8")]))
+    out["a"], out["b"] = a, b
+    return out
+
+
+def _apart(found: np.ndarray) -> np.ndarray:
+    return found[np.lexsort((found["b"], found["a"]))]
 
 
-def _least(keys: np.ndarray) -> np.ndarray:
-    """One entry for each (a, b), that with the least id."""
-    keys = keys[np.lexsort((keys["least"], keys["b"], keys["a"]))]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys["a"][1:] != keys["a"][:-1]) | (keys["b"][1:] != keys["b"][:-1])
-    return keys[new]
+KEY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("most", "<i8")])
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
@@ -210,25 +289,23 @@ def _repeated(rows: pa.Table) -> pa.Table:
 
 
 def _smaller(rows: pa.Table) -> pa.Table:
-    """Of one range of windows: to each slice those that a smaller document than its own has, with the least id of all."""
+    """Of one range of windows: to each slice those that one of its documents has and a smaller one too, with the least id."""
     packets = [np.frombuffer(x, KEY) for x in rows.column("packed").to_pylist()]
     every = np.concatenate(packets)
-    order = np.lexsort((every["least"], every["b"], every["a"]))
-    run = every[order]
-    new = np.concatenate([[True], (run["a"][1:] != run["a"][:-1]) | (run["b"][1:] != run["b"][:-1])])
+    order = np.lexsort((every["b"], every["a"]))
+    a, b = every["a"][order], every["b"][order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     least = np.empty(len(every), np.int64)
-    least[order] = run["least"][new][np.cumsum(new) - 1]
-    slices_, out, at = [], [], 0
-    for which, p in zip(rows.column("slice").to_pylist(), packets):
+    least[order] = np.repeat(np.minimum.reduceat(every["least"][order], first), np.diff(np.append(first, len(every))))
+    out, at = [], 0
+    for p in packets:
         low = least[at : at + len(p)]
         at += len(p)
-        lower = low < p["least"]
-        if lower.any():
-            back = p[lower].copy()
-            back["least"] = low[lower]
-            slices_.append(which)
-            out.append(back.tobytes())
-    return pa.table({"slice": pa.array(slices_, pa.int32()), "packed": pa.array(out, pa.binary())})
+        back = p[low < p["most"]].copy()
+        back["least"] = low[low < p["most"]]
+        out.append(back)
+    kept = [k for k, x in enumerate(out) if len(x)]
+    return pa.table({"slice": rows.column("slice").take(pa.array(kept, pa.int64())), "packed": pa.array([out[k].tobytes() for k in kept], pa.binary())})
 
 
 def _dealt(classes: DataFrame, count: int) -> DataFrame:
@@ -267,55 +344,43 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         )
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held, last = [], 0, None
-
-        def sent():
-            return packets(last, search.ask(Texts(waiting), 0, None))
-
-        for some in slices(batches, 64):
-            for which, t in zip(some.column("slice").to_pylist(), some.column("t").to_pylist()):
-                if waiting and (which != last or held > SLICE_BYTES):
-                    yield sent()
-                    waiting, held = [], 0
-                waiting.append(t)
-                held, last = held + len(t), which
-        if waiting:
-            yield sent()
+        for b in batches:
+            which, held = b.column("slice").to_numpy(), pc.binary_length(b.column("t")).to_numpy().cumsum()
+            starts = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (held[1:] // SLICE_BYTES != held[:-1] // SLICE_BYTES)]))
+            for s, e in zip(starts, [*starts[1:], len(which)]):
+                texts = Texts(b.column("t").slice(s, e - s))
+                yield packets(int(which[s]), search.ask(texts, 0, texts.windows(window)))
 
     def replies(table: pa.Table, kind) -> np.ndarray:
         return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column("packed").to_pylist())])
 
     def next_level(level: int):
         def step(key, own: pa.Table, reply: pa.Table) -> pa.Table:
-            texts = Texts(own.column("t").to_pylist())
-            alive = search.alive(texts, level - 1, np.unique(replies(reply, "<u8")))
+            texts = Texts(own.column("t"))
+            alive = search.alive(texts, level - 1, Known(replies(reply, "<u8")))
             return pa.Table.from_batches([packets(key[0].as_py(), search.ask(texts, level, alive))])
 
         return step
 
     def whole_windows(key, own: pa.Table, reply: pa.Table) -> pa.Table:
-        texts = Texts(own.column("t").to_pylist())
-        alive = search.alive(texts, len(search.levels) - 2, np.unique(replies(reply, "<u8"))) if len(search.levels) > 1 else texts.windows(window)
-        keys = search.keys(texts, alive, own.column("id").to_numpy())
-        group = ((keys["a"] >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        keys, group = keys[order], group[order]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-        found = ((int(group[a]), keys[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(group)]))
-        return pa.Table.from_batches([packets(key[0].as_py(), found)])
+        texts, last = Texts(own.column("t")), len(search.levels) - 2
+        alive = search.alive(texts, last, Known(replies(reply, "<u8"))) if last >= 0 else texts.windows(window)
+        return pa.Table.from_batches([packets(key[0].as_py(), search.keys(texts, alive, own.column("id").to_numpy()))])
 
     def result(key, own: pa.Table, reply: pa.Table) -> pa.Table:
-        texts = Texts(own.column("t").to_pylist())
+        texts = Texts(own.column("t"))
         gone = search.covered(texts, own.column("id").to_numpy(), replies(reply, KEY))
-        out = {"n_words": [], "n_removed": [], "removed_spans": [], "kept_sha256": []}
-        for words, a, b in zip(texts.words, texts.first[:-1], texts.first[1:]):
-            here = gone[a:b]
-            kept = words if not here.any() else [words[k] for k in np.flatnonzero(~here)]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))
-            out["n_words"].append(len(words))
-            out["n_removed"].append(int(here.sum()))
-            out["removed_spans"].append([{"first": int(x), "last": int(y)} for x, y in zip(edges[::2], edges[1::2])])
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        removed = np.add.reduceat(np.append(gone, False).astype(np.int64), texts.first[:-1]) * (np.diff(texts.first) > 0)
+        out = {"n_words": np.diff(texts.first), "n_removed": removed, "removed_spans": [], "kept_sha256": []}
+        for text, a, b, some in zip(own.column("t"), texts.first[:-1], texts.first[1:], removed > 0):
+            words, spans = text.as_py().split(), []
+            if some:
+                here = gone[a:b]
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))
+                spans = [{"first": int(x), "last": int(y)} for x, y in zip(edges[::2], edges[1::2])]
+                words = [words[k] for k in np.flatnonzero(~here)]
+            out["removed_spans"].append(spans)
+            out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
         kinds = (pa.int64(), pa.int64(), SPANS, pa.string())
         return pa.table([own.column("key"), own.column("first"), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["key", "first", *out])
 
