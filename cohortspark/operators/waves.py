@@ -31,10 +31,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark.functions import codes as K
 from cohortspark.functions.scalar import seeded
+from cohortspark.operators import storage as ST
 
 CASE = ["id_nda", "j1"]
 DEFAULT_NB_PTS = 96
@@ -77,34 +77,26 @@ def rejected_cases(ranges: DataFrame, nb_pts: int = DEFAULT_NB_PTS) -> DataFrame
     return _all_steps(ranges, nb_pts).where(F.coalesce(F.col("step_us") <= 0, F.lit(True)))
 
 
-def _vois_column(vois: Sequence[str]) -> Column:
-    return F.explode(
-        F.array(*[F.struct(F.lit(v).alias("voi"), F.lit(i).alias("voi_idx")) for i, v in enumerate(vois)])
-    )
-
-
 def _micros(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b)
 
 
 def wave_bases(routed: DataFrame, steps: DataFrame, vois: Sequence[str]) -> DataFrame:
-    """Per (case, VOI): origin (midnight of the wave start) and the start bin ``b0``."""
-    first = routed.groupBy(*CASE, "voi").agg(F.min("dt_insert").alias("t_first"))
-    waves = steps.select(*CASE, "dt_min", "dt_max", "step_us", "dead", _vois_column(vois).alias("w")).select(
-        *CASE, "dt_min", "dt_max", "step_us", "dead", "w.voi", "w.voi_idx"
-    )
-    b = waves.join(first, [*CASE, "voi"], "left")
-    start = F.least(F.col("dt_min"), F.col("t_first"))
-    origin = F.to_date(start).cast("timestamp_ntz")
-    return b.select(
-        *CASE,
-        "voi",
-        "voi_idx",
-        "step_us",
-        "dead",
-        origin.alias("origin"),
-        F.floor(_micros(origin, start) / F.col("step_us")).alias("b0"),
-    )
+    """One row per case with ``waves``: per VOI, in order, the origin (midnight of the wave start) and the start bin ``b0``.
+
+    The array has a fixed length, the number of VOIs, so readings join a case
+    once and pick their wave by index.
+    """
+    firsts = [F.min(F.when(F.col("voi_idx") == i, F.col("dt_insert"))).alias(f"_first_{i}") for i in range(len(vois))]
+    joined = steps.join(routed.groupBy(*CASE).agg(*firsts), CASE, "left")
+
+    def wave(i: int, v: str) -> Column:
+        start = F.least(F.col("dt_min"), F.col(f"_first_{i}"))
+        origin = F.to_date(start).cast("timestamp_ntz")
+        b0 = F.floor(_micros(origin, start) / F.col("step_us"))
+        return F.struct(F.lit(v).alias("voi"), F.lit(i).alias("voi_idx"), origin.alias("origin"), b0.alias("b0"))
+
+    return joined.select(*CASE, "step_us", "dead", F.array(*[wave(i, v) for i, v in enumerate(vois)]).alias("waves"))
 
 
 def resample(
@@ -113,26 +105,28 @@ def resample(
     ranges: DataFrame,
     vois: Sequence[str],
     nb_pts: int = DEFAULT_NB_PTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """T2 + T3 + T5 + T6: mean per grid point, every point ``0..nb_pts-1`` present.
 
-    ``readings``: (id_nda, j1, id_measure_type, dt_insert, value_numeric).
+    ``readings``: (id_nda, j1, id_measure_type, dt_insert, value_numeric), and
+    ``slot`` if they come from a table bucketed by it too; ``hot`` then names
+    the stays of several slots (``storage.hot_stays``).
     ``ranges``: (id_nda, j1, dt_min, dt_max, dt_deces).
     Returns (id_nda, j1, voi, voi_idx, i, y_mean, n_readings, dead).
     """
-    routed = route_to_voi(spark, readings.select(*CASE, "id_measure_type", "dt_insert", "value_numeric"), vois)
-    steps = case_steps(ranges, nb_pts)
-    bases = wave_bases(routed, steps, vois)
-    idx = F.floor(_micros(F.col("origin"), F.col("dt_insert")) / F.col("step_us")) - F.col("b0")
+    slot = [ST.SLOT] if ST.SLOT in readings.columns else []
+    routed = route_to_voi(spark, readings.select(*CASE, *slot, "id_measure_type", "dt_insert", "value_numeric"), vois)
+    bases = wave_bases(routed, case_steps(ranges, nb_pts), vois)
+    wave = F.element_at("waves", F.col("voi_idx") + 1)
+    idx = F.floor(_micros(wave["origin"], F.col("dt_insert")) / F.col("step_us")) - wave["b0"]
     points = (
-        routed.join(
-            bases.select(*CASE, "voi", "voi_idx", "dead", "origin", "b0", "step_us"), [*CASE, "voi", "voi_idx"]
-        )
+        routed.join(ST.over_slots(bases, hot) if slot else bases, [*CASE, *slot])
         .select(*CASE, "voi", "voi_idx", "dead", idx.cast("int").alias("i"), F.col("value_numeric").alias("v"))
         .where((F.col("i") >= 0) & (F.col("i") < nb_pts))
     )
-    grid = bases.select(
-        *CASE, "voi", "voi_idx", "dead", F.explode(F.sequence(F.lit(0), F.lit(nb_pts - 1))).alias("i"),
+    grid = bases.select(*CASE, "dead", F.explode("waves").alias("w")).select(
+        *CASE, "w.voi", "w.voi_idx", "dead", F.explode(F.sequence(F.lit(0), F.lit(nb_pts - 1))).alias("i"),
         F.lit(None).cast("double").alias("v"),
     )
     return (
@@ -176,6 +170,7 @@ def resample_and_interpolate(
     gap_limit: int = DEFAULT_GAP_LIMIT,
     method: str = "time",
     order: int = 3,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """T10 for all waves: (id_nda, j1, voi, voi_idx, i, y_mean, n_readings, dead, y).
 
@@ -191,7 +186,7 @@ def resample_and_interpolate(
         raise NotImplementedError("the smoothing spline is not built; use method='cubic' (interpolating)")
     if method not in ("time", "cubic"):
         raise ValueError(f"unknown interpolation method {method!r} (use 'time', 'cubic' or 'polynomial')")
-    grid = resample(spark, readings, ranges, vois, nb_pts)
+    grid = resample(spark, readings, ranges, vois, nb_pts, hot)
     return fill(grid, gap_limit) if method == "time" else cubic_fill(grid, gap_limit)
 
 
@@ -218,9 +213,10 @@ def build_dataset(
     gap_limit: int = DEFAULT_GAP_LIMIT,
     method: str = "time",
     order: int = 3,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The dataset of all cases in one plan (id_nda, j1, series, dead)."""
-    return pack(resample_and_interpolate(spark, readings, ranges, vois, nb_pts, gap_limit, method, order))
+    return pack(resample_and_interpolate(spark, readings, ranges, vois, nb_pts, gap_limit, method, order, hot))
 
 
 def id_blocks(cases: DataFrame, nb_splits: int, seed: int = 42) -> DataFrame:
@@ -242,66 +238,96 @@ def plot_points(routed_or_filled: DataFrame, value: str, time_col: str) -> DataF
 
 
 # ---------------------------------------------------------------------------
-# Cubic interpolation (Arrow-batched, one call per wave of nb_pts rows)
-
-def _not_a_knot_spline(x: np.ndarray, y: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Interpolating cubic spline with not-a-knot ends (needs >= 4 knots)."""
-    n = len(x)
-    h = np.diff(x)
-    a = np.zeros((n, n))
-    r = np.zeros(n)
-    # second-derivative unknowns m_0..m_{n-1}; continuity of first derivative inside
-    for k in range(1, n - 1):
-        a[k, k - 1] = h[k - 1]
-        a[k, k] = 2 * (h[k - 1] + h[k])
-        a[k, k + 1] = h[k]
-        r[k] = 6 * ((y[k + 1] - y[k]) / h[k] - (y[k] - y[k - 1]) / h[k - 1])
-    # not-a-knot: third derivative continuous at x_1 and x_{n-2}
-    a[0, 0], a[0, 1], a[0, 2] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3], a[-1, -2], a[-1, -1] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, r)
-    seg = np.clip(np.searchsorted(x, xs, side="right") - 1, 0, n - 2)
-    x0, x1 = x[seg], x[seg + 1]
-    hh = x1 - x0
-    t0, t1 = x1 - xs, xs - x0
-    return (
-        m[seg] * t0**3 / (6 * hh)
-        + m[seg + 1] * t1**3 / (6 * hh)
-        + (y[seg] / hh - m[seg] * hh / 6) * t0
-        + (y[seg + 1] / hh - m[seg + 1] * hh / 6) * t1
-    )
+# Cubic interpolation (all waves of an Arrow batch at once)
 
+def _second_derivatives(h: np.ndarray, d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of not-a-knot cubics, one spline a row.
 
-def _cubic_wave(pdf: pd.DataFrame, gap_limit: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("i")
-    i = pdf["i"].to_numpy(dtype=float)
-    y = pdf["y_mean"].to_numpy(dtype=float)
+    ``h`` [n, K-1] are the knots' distances, ``d`` the slopes between them,
+    ``count`` (at least 4) the knots of each row; what lies behind is ignored.
+    The end conditions are solved for the outermost unknowns, which leaves a
+    tridiagonal system: one sweep forward, one backward.
+    """
+    n, k = h.shape[0], h.shape[1] + 1
+    rows, last = np.arange(n), count - 2  # the last row of the system is that of the last but one knot
+    diagonal, right = np.ones((n, k)), np.zeros((n, k))
+    lower, upper = np.zeros((n, k)), np.zeros((n, k))
+    diagonal[:, 1:-1] = 2 * (h[:, :-1] + h[:, 1:])
+    right[:, 1:-1] = 6 * (d[:, 1:] - d[:, :-1])
+    lower[:, 1:-1], upper[:, 1:-1] = h[:, :-1], h[:, 1:]
+    one, two = h[:, 0], h[:, 1]
+    diagonal[:, 1], upper[:, 1], lower[:, 1] = (one + two) * (2 + one / two), two - one * one / two, 0
+    before, after = h[rows, last - 1], h[rows, last]
+    diagonal[rows, last], lower[rows, last], upper[rows, last] = (before + after) * (2 + after / before), before - after * after / before, 0
+    for j in range(2, k - 1):
+        share = np.where(j <= last, lower[:, j] / diagonal[:, j - 1], 0)
+        diagonal[:, j] -= share * upper[:, j - 1]
+        right[:, j] -= share * right[:, j - 1]
+    m = np.zeros((n, k))
+    for j in range(k - 2, 0, -1):
+        m[:, j] = np.where(j <= last, (right[:, j] - upper[:, j] * m[:, j + 1]) / diagonal[:, j], 0)
+    m[:, 0] = ((one + two) * m[:, 1] - one * m[:, 2]) / two
+    m[rows, last + 1] = ((before + after) * m[rows, last] - after * m[rows, last - 1]) / before
+    return m
+
+
+def cubic_waves(y: np.ndarray, gap_limit: int) -> np.ndarray:
+    """Waves (one a row, NaN = unknown) filled by the not-a-knot cubic through their known points.
+
+    Points more than ``gap_limit`` past the last known point hold the value at
+    that distance; outside the known points the nearest known value holds.
+    Waves of fewer than four known points take the linear rule.
+    """
+    n, size = y.shape
     known = ~np.isnan(y)
-    out = y.copy()
-    if known.sum() >= 4:
-        xk, yk = i[known], y[known]
-        inside = (~known) & (i > xk[0]) & (i < xk[-1])
-        # gap cap: points more than gap_limit past the last known point hold that position's value
-        last_known = np.maximum.accumulate(np.where(known, i, -np.inf))
-        capped = np.minimum(i, last_known + gap_limit)
-        out[inside] = _not_a_knot_spline(xk, yk, capped[inside])
-    filled = pd.Series(out).ffill().bfill().to_numpy() if known.sum() >= 4 else None
-    if filled is None:
-        # fewer than four knots: the time (linear) rule
-        s = pd.Series(y)
-        p = pd.Series(np.where(known, i, np.nan)).ffill().to_numpy()
-        nn = pd.Series(np.where(known, i, np.nan)).bfill().to_numpy()
-        vp, vn = s.ffill().to_numpy(), s.bfill().to_numpy()
-        e = np.minimum(i, p + gap_limit)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            lin = vp + (vn - vp) * (e - p) / (nn - p)
-        filled = np.where(known, y, np.where(~np.isnan(p) & ~np.isnan(nn), lin, np.where(~np.isnan(p), vp, vn)))
-    res = pdf.copy()
-    res["y"] = filled
-    return res
+    count = known.sum(axis=1)
+    at = np.arange(size)[None, :]
+    place = np.argsort(~known, axis=1, kind="stable")  # known points first, in order
+    value = np.take_along_axis(y, place, axis=1)
+    before = np.cumsum(known, axis=1) - 1  # number of the last known point
+    after = np.minimum(before + 1, np.maximum(count - 1, 0)[:, None])
+    inside = ~known & (before >= 0) & (before < count[:, None] - 1)
+    low = np.maximum(before, 0)
+    x0, x1 = (np.take_along_axis(place, k, axis=1) for k in (low, after))
+    y0, y1 = (np.take_along_axis(value, k, axis=1) for k in (low, after))
+    e = np.minimum(at, x0 + gap_limit)
+    width = np.where(inside, x1 - x0, 1)
+    filled = y0 + (y1 - y0) * (e - x0) / width
+    cubic = np.flatnonzero(count >= 4)
+    if len(cubic):
+        most = int(count[cubic].max())
+        knots, heights = place[cubic, :most].astype(float), value[cubic, :most]
+        real = np.arange(most - 1)[None, :] < count[cubic, None] - 1
+        h = np.where(real, np.diff(knots, axis=1), 1)
+        m = _second_derivatives(h, np.where(real, np.diff(heights, axis=1) / h, 0), count[cubic])
+        m0, m1 = (np.take_along_axis(m, k[cubic], axis=1) for k in (np.minimum(low, most - 1), np.minimum(after, most - 1)))
+        w, t0, t1 = width[cubic], (x1 - e)[cubic], (e - x0)[cubic]
+        filled[cubic] = (
+            m0 * t0**3 / (6 * w) + m1 * t1**3 / (6 * w) + (y0[cubic] / w - m0 * w / 6) * t0 + (y1[cubic] / w - m1 * w / 6) * t1
+        )
+    outside = np.where(before >= 0, y0, y1)
+    return np.where(known, y, np.where(inside, filled, outside))
 
 
 def cubic_fill(resampled: DataFrame, gap_limit: int = DEFAULT_GAP_LIMIT) -> DataFrame:
-    """Cubic interpolation per wave (groups of ``nb_pts`` rows, Arrow batches)."""
-    schema = T.StructType(resampled.schema.fields + [T.StructField("y", T.DoubleType())])
-    return resampled.groupBy(*CASE, "voi").applyInPandas(lambda pdf: _cubic_wave(pdf, gap_limit), schema)
+    """Cubic interpolation. Each wave becomes one array, a batch of waves is solved at once."""
+    rest = [c for c in resampled.columns if c not in (*CASE, "voi", "i", "y_mean")]
+    points = F.array_sort(F.collect_list(F.struct("i", "y_mean", *rest)))
+    packed = resampled.groupBy(*CASE, "voi").agg(points.alias("pts"))
+
+    @F.pandas_udf("array<double>")
+    def fill_batch(waves: pd.Series) -> pd.Series:
+        size = np.array([len(w) for w in waves])
+        out = np.empty(len(waves), object)
+        for length in np.unique(size):
+            same = np.flatnonzero(size == length)
+            y = cubic_waves(np.stack([np.asarray(waves.iloc[k], float) for k in same]), gap_limit)
+            for k, row in zip(same, y):
+                out[k] = [None if np.isnan(v) else v for v in row]
+        return pd.Series(out)
+
+    filled = packed.withColumn("ys", fill_batch(F.transform("pts", lambda p: p["y_mean"])))
+    rows = filled.select(*CASE, "voi", F.explode(F.arrays_zip("pts", "ys")).alias("r"))
+    return rows.select(
+        *[F.col(c) if c in (*CASE, "voi") else F.col(f"r.pts.{c}").alias(c) for c in resampled.columns], F.col("r.ys").alias("y")
+    )

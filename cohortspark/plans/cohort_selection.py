@@ -8,7 +8,7 @@ builds them from the driver's test tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
 
@@ -19,6 +19,7 @@ from cohortspark.functions import codes as K
 from cohortspark.operators import cohort as C
 from cohortspark.operators import profile as P
 from cohortspark.operators import staging as S
+from cohortspark.operators import storage as ST
 from cohortspark.session import materialise
 from cohortspark.sources import stand_ins as SI
 
@@ -46,6 +47,10 @@ class CohortPlan:
     # Persist the selected cohort (a table written in the shared checkpoint
     # folder) before plans that use it several times, as the wave build does.
     persist_cohort: bool = False
+    # Frames written once before plans that read them several times: "staged"
+    # and "useful" as tables bucketed by case, "profile" and "cohort" as plain ones.
+    store: Collection[str] = ()
+    slot_rows: int = ST.SLOT_ROWS
     _cache: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -81,10 +86,31 @@ class CohortPlan:
 
     def staged(self) -> DataFrame:
         """icu_sensor_24: readings within the window after each ICU entry."""
+        if "staged" in self.store:
+            return self.stored_staged().drop(ST.SLOT)
         return self._memo("staged", lambda: S.window_readings(self.readings, self.icu_movements(), self.window))
 
+    def hot_stays(self) -> DataFrame | None:
+        return self._memo("hot", lambda: ST.hot_stays(self.readings, self.slot_rows))
+
+    def _keys(self) -> list[str]:
+        return P.CASE if self.hot_stays() is None else [*P.CASE, ST.SLOT]
+
+    def stored_staged(self) -> DataFrame:
+        """The staged readings as a table bucketed by case (and slot, if stays are hot): the interval join runs once."""
+        def build():
+            rows = S.window_readings(self.readings, self.icu_movements(), self.window)
+            dealt = ST.slotted(rows, self.hot_stays(), ["dt_insert", "id_measure_type", "value_numeric"])
+            return ST.bucketed(dealt, "staged", self._keys())
+
+        return self._memo("stored_staged", build)
+
     def profile(self) -> DataFrame:
-        return self._memo("profile", lambda: P.case_profile(self.staged(), self.codes))
+        def build():
+            prof = P.case_profile(self.staged(), self.codes)
+            return materialise(prof, "profile") if "profile" in self.store else prof
+
+        return self._memo("profile", build)
 
     def patient_info(self) -> DataFrame:
         return self._memo("pat", lambda: S.patient_info(self.icu_movements(), self.patients, self.staged()))
@@ -102,7 +128,7 @@ class CohortPlan:
             c = C.select_cohort(
                 self.profile(), self.demographics(), self.vois, self.min_measures, self.age_min, self.stay_hours
             )
-            if self.persist_cohort:
+            if self.persist_cohort or "cohort" in self.store:
                 c = materialise(c, "nda_j1_deces")
             return c
 
@@ -115,19 +141,35 @@ class CohortPlan:
 
     def useful(self) -> DataFrame:
         """icu_sensor_util: valid staged readings of the selected cases."""
+        if "staged" in self.store:
+            return self.stored_useful().drop(ST.SLOT)
         return self._memo("useful", lambda: S.useful_readings(self.staged(), self.cohort()))
 
+    def stored_useful(self) -> DataFrame:
+        """The useful readings (and their slot), from the stored table: only the cohort is shuffled for the semi-join."""
+        def build():
+            cases = ST.over_slots(self.cohort().select("id_nda", F.col("j1").alias("dt_deb")), self.hot_stays())
+            rows = self.stored_staged().where(S.not_cancelled()).join(cases, self._keys(), "left_semi")
+            return ST.bucketed(rows, "useful", self._keys()) if "useful" in self.store else rows
+
+        return self._memo("stored_useful", build)
+
     def cohort_readings(self) -> DataFrame:
         return S.cohort_readings(self.useful())
 
     def wave_readings(self) -> DataFrame:
         """Valid staged readings with case columns, for the wave build.
 
-        The wave build joins readings to the per-(case, VOI) bases of the
-        cohort (an inner join), which already keeps only cohort cases; feeding
-        it these readings instead of ``cohort_readings`` saves the semi-join's
-        full shuffle of the staged readings.
+        From a stored table they are the useful readings, with their slot, and
+        the wave build's join with the cohort's waves reads the buckets as they
+        are. Without one they are all staged readings: the same join (an inner
+        one) keeps only cohort cases, and the semi-join's shuffle is saved.
         """
+        if "staged" in self.store:
+            slot = self._keys()[len(P.CASE) :]
+            return self.stored_useful().select(
+                "id_nda", F.col("dt_deb").alias("j1"), *slot, "id_measure_type", "dt_insert", "value_numeric"
+            )
         return self.staged().where(S.not_cancelled()).select(
             "id_nda", F.col("dt_deb").alias("j1"), "id_measure_type", "dt_insert", "value_numeric"
         )

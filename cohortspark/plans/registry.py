@@ -57,8 +57,9 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def plan(spark: SparkSession, sf_dir: str) -> CS.CohortPlan:
-    return CS.CohortPlan.from_test_tables(spark, sf_dir)
+def plan(spark: SparkSession, sf_dir: str, *store: str) -> CS.CohortPlan:
+    """``store``: frames that the query reads more than once."""
+    return CS.CohortPlan.from_test_tables(spark, sf_dir, store=store)
 
 
 def r6(c: str | Column) -> Column:
@@ -333,7 +334,7 @@ _RMM_LONG = " union all ".join(
     "from (select distinct id_nda, j1 as dt_deb from cohort) k join rl using (id_nda, dt_deb) group by id_nda, dt_deb"
 ))
 def q_row_mean_median(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = plan(spark, sf_dir, "profile")
     cases = p.cohort().select("id_nda", F.col("j1").alias("dt_deb")).distinct()
     m = P.counter_matrix(p.profile(), CODES).join(cases, ["id_nda", "dt_deb"], "left_semi")
     return P.row_mean_median(m, [f"n_{c}" for c in CODES], ["id_nda", "dt_deb"])
@@ -379,7 +380,7 @@ def q_count_histogram(spark, sf_dir):
 
 @register("useful_readings", CSQL.with_("useful") + "select * from useful")
 def q_useful_readings(spark, sf_dir):
-    return plan(spark, sf_dir).useful()
+    return plan(spark, sf_dir, "staged").useful()
 
 
 # --------------------------------------------------------------------------
@@ -451,8 +452,8 @@ _WAVE_WITH = CSQL.with_("useful", _WAVE_CTES)
 
 
 def _wave_inputs(spark, sf_dir):
-    p = CS.CohortPlan.from_test_tables(spark, sf_dir, persist_cohort=True)
-    return p, p.wave_readings(), p.cohort()
+    p = plan(spark, sf_dir, "staged", "cohort", "useful")
+    return p.hot_stays(), p.wave_readings(), p.cohort()
 
 
 @register("cohort_readings", CSQL.with_("useful") + (
@@ -460,7 +461,7 @@ def _wave_inputs(spark, sf_dir):
     "s.dt_insert, s.value_numeric from useful s"
 ))
 def q_cohort_readings(spark, sf_dir):
-    return plan(spark, sf_dir).cohort_readings()
+    return plan(spark, sf_dir, "staged").cohort_readings()
 
 
 @register("case_ranges", CSQL.with_("useful") + (
@@ -469,7 +470,7 @@ def q_cohort_readings(spark, sf_dir):
     "group by n.id_nda, n.j1"
 ))
 def q_case_ranges(spark, sf_dir):
-    return plan(spark, sf_dir).case_ranges()
+    return plan(spark, sf_dir, "staged").case_ranges()
 
 
 @register("dt_ranges", CSQL.with_("useful", {
@@ -480,7 +481,7 @@ def q_case_ranges(spark, sf_dir):
     "on t1.id_nda = t2.id_nda and t1.j1 = t2.j1"
 ))
 def q_dt_ranges(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = plan(spark, sf_dir, "staged", "cohort")
     return p.case_ranges().join(p.cohort().select("id_nda", "j1", "dt_deces"), ["id_nda", "j1"]).select(
         "id_nda", "j1", "dt_min", "dt_max", "dt_deces"
     )
@@ -490,15 +491,15 @@ def q_dt_ranges(spark, sf_dir):
     f"select id_nda, j1, voi, i, {d6('y_mean')} as y_mean, n_readings from binned"
 ))
 def q_wave_resample(spark, sf_dir):
-    _, readings, ranges = _wave_inputs(spark, sf_dir)
-    g = W.resample(spark, readings, ranges, VOIS, NB_PTS)
+    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    g = W.resample(spark, readings, ranges, VOIS, NB_PTS, hot)
     return g.select("id_nda", "j1", "voi", "i", r6("y_mean").alias("y_mean"), "n_readings")
 
 
 @register("wave_fill", _WAVE_WITH + f"select id_nda, j1, voi, i, {d6('y')} as y from filled")
 def q_wave_fill(spark, sf_dir):
-    _, readings, ranges = _wave_inputs(spark, sf_dir)
-    f = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP)
+    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    f = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP, hot=hot)
     return f.select("id_nda", "j1", "voi", "i", r6("y").alias("y"))
 
 
@@ -515,15 +516,68 @@ def round_series(col: str = "series") -> Column:
 
 @register("wave_matrix", _WAVE_WITH + _PACK_SQL)
 def q_wave_matrix(spark, sf_dir):
-    _, readings, ranges = _wave_inputs(spark, sf_dir)
-    ds = W.build_dataset(spark, readings, ranges, VOIS, NB_PTS, GAP)
+    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    ds = W.build_dataset(spark, readings, ranges, VOIS, NB_PTS, GAP, hot=hot)
     return ds.select("id_nda", "j1", round_series().alias("series"), "dead")
 
 
-@register("wave_cubic")
+_WAVE = "id_nda, j1, voi"
+_CUBIC_CTES = {
+    "knots": (
+        f"select *, row_number() over w - 1 as k, count(*) over (partition by {_WAVE}) as c, lead(i) over w - i as h, "
+        f"(lead(y_mean) over w - y_mean) / (lead(i) over w - i) as d from binned where y_mean is not null "
+        f"window w as (partition by {_WAVE} order by i)"
+    ),
+    "inner_knots": (
+        f"select * from (select *, lag(h) over w as hp, lag(d) over w as dp from knots window w as (partition by {_WAVE} order by k)) "
+        "where c >= 4 and k >= 1 and k <= c - 2"
+    ),
+    "eqs": (
+        f"select {_WAVE}, k, c, h, hp, 6 * (d - dp) as r, "
+        "case when k = 1 then 0 when k = c - 2 then hp - h * h / hp else hp end as a, "
+        "case when k = 1 then (hp + h) * (2 + hp / h) when k = c - 2 then (hp + h) * (2 + h / hp) else 2.0 * (hp + h) end as b, "
+        "case when k = c - 2 then 0 when k = 1 then h - hp * hp / h else h end as g from inner_knots"
+    ),
+    "fwd": (
+        f"select {_WAVE}, k, c, cast(b as double) as bb, cast(g as double) as gg, cast(r as double) as rr from eqs where k = 1 union all "
+        "select e.id_nda, e.j1, e.voi, e.k, e.c, e.b - e.a / f.bb * f.gg, cast(e.g as double), e.r - e.a / f.bb * f.rr "
+        "from fwd f join eqs e on e.id_nda = f.id_nda and e.j1 = f.j1 and e.voi = f.voi and e.k = f.k + 1"
+    ),
+    "bwd": (
+        f"select {_WAVE}, k, c, rr / bb as m from fwd where k = c - 2 union all "
+        "select f.id_nda, f.j1, f.voi, f.k, f.c, (f.rr - f.gg * b.m) / f.bb "
+        "from bwd b join fwd f on f.id_nda = b.id_nda and f.j1 = b.j1 and f.voi = b.voi and f.k = b.k - 1"
+    ),
+    "curv": (
+        f"select {_WAVE}, k, m from bwd union all "
+        "select e.id_nda, e.j1, e.voi, 0, ((e.hp + e.h) * m1.m - e.hp * m2.m) / e.h from eqs e "
+        "join bwd m1 on m1.id_nda = e.id_nda and m1.j1 = e.j1 and m1.voi = e.voi and m1.k = 1 "
+        "join bwd m2 on m2.id_nda = e.id_nda and m2.j1 = e.j1 and m2.voi = e.voi and m2.k = 2 where e.k = 1 union all "
+        "select e.id_nda, e.j1, e.voi, e.c - 1, ((e.hp + e.h) * m1.m - e.h * m2.m) / e.hp from eqs e "
+        "join bwd m1 on m1.id_nda = e.id_nda and m1.j1 = e.j1 and m1.voi = e.voi and m1.k = e.c - 2 "
+        "join bwd m2 on m2.id_nda = e.id_nda and m2.j1 = e.j1 and m2.voi = e.voi and m2.k = e.c - 3 where e.k = e.c - 2"
+    ),
+    "spot": (
+        f"select f1.*, least(i, p + {GAP}) as e, nn - p as w, sum(case when y_mean is not null then 1 else 0 end) over "
+        f"(partition by {_WAVE} order by i) - 1 as k from f1"
+    ),
+    "cubic": (
+        "select s.id_nda, s.j1, s.voi, s.i, case when s.y_mean is not null then s.y_mean "
+        "when s.p is not null and s.nn is not null and a.m is not null then a.m * (s.nn - s.e) ** 3 / (6 * s.w) + b.m * (s.e - s.p) ** 3 / (6 * s.w) "
+        "+ (s.vp / s.w - a.m * s.w / 6) * (s.nn - s.e) + (s.vn / s.w - b.m * s.w / 6) * (s.e - s.p) "
+        "when s.p is not null and s.nn is not null then s.vp + (s.vn - s.vp) * (s.e - s.p) / s.w "
+        "when s.p is not null then s.vp else s.vn end as y from spot s "
+        "left join curv a on a.id_nda = s.id_nda and a.j1 = s.j1 and a.voi = s.voi and a.k = s.k "
+        "left join curv b on b.id_nda = s.id_nda and b.j1 = s.j1 and b.voi = s.voi and b.k = s.k + 1"
+    ),
+}
+_CUBIC_WITH = CSQL.with_("useful", {**_WAVE_CTES, **_CUBIC_CTES}).replace("with ", "with recursive ", 1)
+
+
+@register("wave_cubic", _CUBIC_WITH + f"select id_nda, j1, voi, i, {d6('y')} as y from cubic")
 def q_wave_cubic(spark, sf_dir):
-    _, readings, ranges = _wave_inputs(spark, sf_dir)
-    f = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP, method="cubic")
+    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    f = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP, method="cubic", hot=hot)
     return f.select("id_nda", "j1", "voi", "i", r6("y").alias("y"))
 
 
@@ -542,7 +596,7 @@ def q_id_blocks(spark, sf_dir):
     + " end as label, r.dt_insert as t, r.value_numeric as value from rr r"
 ))
 def q_wave_plot_points(spark, sf_dir):
-    readings = plan(spark, sf_dir).cohort_readings()
+    readings = plan(spark, sf_dir, "staged").cohort_readings()
     routed = W.route_to_voi(spark, readings.select("id_nda", "j1", "id_measure_type", "dt_insert", "value_numeric"), VOIS)
     return W.plot_points(routed, "value_numeric", "dt_insert")
 

@@ -51,3 +51,23 @@ def test_hot_stay_is_split_and_complete(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_stays_are_dealt_over_slots(spark):
+    """Slots so small that stays have several: same readings, same waves as without a stored table."""
+    from cohortspark.operators import waves as W
+    from cohortspark.plans import cohort_selection as CS
+
+    sf = "/root/testdata/sf0.01"
+    plain = CS.CohortPlan.from_test_tables(spark, sf)
+    stored = CS.CohortPlan.from_test_tables(spark, sf, store=("staged", "cohort", "useful"), slot_rows=20)
+    hot = stored.hot_stays()
+    assert hot is not None and hot.where("slots > 1").count() > 0
+    assert stored.stored_staged().select("slot").distinct().count() > 1
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(stored.useful()) == rows(plain.useful())
+    vois = list(CS.TEST_VOIS)
+    a = W.resample_and_interpolate(spark, stored.wave_readings(), stored.cohort(), vois, hot=hot)
+    b = W.resample_and_interpolate(spark, plain.wave_readings(), plain.cohort(), vois)
+    key = lambda df: sorted((r.id_nda, r.j1, r.voi, r.i, r.n_readings, None if r.y is None else round(r.y, 9)) for r in df.collect())
+    assert key(a) == key(b) and len(key(a)) > 0

@@ -133,13 +133,58 @@ def test_cubic_keeps_known_points_and_length(spark):
     assert err < 0.01
 
 
-def test_not_a_knot_spline_reproduces_cubics():
+def dense_spline(x, y, at):
+    """Not-a-knot cubic by a dense solve of its conditions, one wave at a time."""
+    n, h = len(x), np.diff(x)
+    a, r = np.zeros((n, n)), np.zeros(n)
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+        r[k] = 6 * ((y[k + 1] - y[k]) / h[k] - (y[k] - y[k - 1]) / h[k - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, r)
+    s = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    t0, t1, w = x[s + 1] - at, at - x[s], h[s]
+    return m[s] * t0**3 / (6 * w) + m[s + 1] * t1**3 / (6 * w) + (y[s] / w - m[s] * w / 6) * t0 + (y[s + 1] / w - m[s + 1] * w / 6) * t1
+
+
+def plain_cubic(y, limit):
+    i, known = np.arange(len(y)), ~np.isnan(y)
+    if known.sum() == 0:
+        return y
+    xk, yk, out = i[known].astype(float), y[known], y.copy()
+    inside = ~known & (i > xk[0]) & (i < xk[-1])
+    last = np.maximum.accumulate(np.where(known, i, -1))
+    e = np.minimum(i, last + limit)[inside].astype(float)
+    out[inside] = dense_spline(xk, yk, e) if known.sum() >= 4 else np.interp(e, xk, yk)
+    out[i < xk[0]], out[i > xk[-1]] = yk[0], yk[-1]
+    return out
+
+
+def test_cubic_batches_equal_single_dense_solves():
     rnd = np.random.default_rng(4)
-    x = np.sort(rnd.choice(np.arange(0, 96), size=12, replace=False)).astype(float)
-    c = rnd.normal(size=4)
-    poly = lambda t: c[0] + c[1] * t + c[2] * t**2 + c[3] * t**3
-    xs = np.linspace(x[0], x[-1], 200)
-    np.testing.assert_allclose(W._not_a_knot_spline(x, poly(x), xs), poly(xs), rtol=1e-8, atol=1e-6)
+    waves = rnd.normal(50, 20, (300, 96))
+    for k, w in enumerate(waves):
+        w[rnd.random(96) < rnd.random()] = np.nan
+    waves[0], waves[1] = np.nan, np.r_[np.full(95, np.nan), 7.0]
+    waves[2] = np.nan
+    waves[2, [0, 1, 2, 95]] = 1, 2, 5, 0  # four knots, a gap of 92
+    waves[3] = np.nan
+    waves[3, [10, 60, 70]] = 1, 2, 3  # three knots: the linear rule
+    got = W.cubic_waves(waves, 30)
+    for w, g in zip(waves, got):
+        np.testing.assert_allclose(g, plain_cubic(w, 30), rtol=1e-9, atol=1e-9)
+
+
+def test_cubic_reproduces_cubics():
+    rnd = np.random.default_rng(4)
+    x = np.sort(rnd.choice(np.arange(0, 96), size=12, replace=False))
+    c = rnd.normal(size=4) * [1, 1e-1, 1e-3, 1e-4]
+    poly = c[0] + c[1] * np.arange(96) + c[2] * np.arange(96.0) ** 2 + c[3] * np.arange(96.0) ** 3
+    wave = np.full((1, 96), np.nan)
+    wave[0, x] = poly[x]
+    inside = slice(x[0], x[-1] + 1)
+    np.testing.assert_allclose(W.cubic_waves(wave, 96)[0, inside], poly[inside], rtol=1e-8, atol=1e-8)
 
 
 def test_all_readings_past_the_cut_leave_a_null_wave(spark):
