@@ -47,26 +47,28 @@ def scale_points(df: DataFrame, series: str = "series", out: str = "scaled") ->
 
 
 def _pair_cov(a: Column, b: Column, ddof: int) -> Column:
-    """Covariance of two arrays over positions where both are known, in one pass."""
+    """Covariance of two arrays over positions where both are known, in one pass.
+
+    The means are updated point by point and products taken around them, so
+    that large means do not cancel.
+    """
     zero = F.lit(0.0)
-    init = F.struct(zero.alias("n"), zero.alias("sp"), zero.alias("sq"), zero.alias("spq"))
+    init = F.struct(zero.alias("n"), zero.alias("p"), zero.alias("q"), zero.alias("c"))
 
     def step(acc: Column, pq: Column) -> Column:
         p, q = pq["p"], pq["q"]
-        ok = p.isNotNull() & q.isNotNull()
-        return F.when(
-            ok,
-            F.struct(
-                (acc["n"] + 1).alias("n"),
-                (acc["sp"] + p).alias("sp"),
-                (acc["sq"] + q).alias("sq"),
-                (acc["spq"] + p * q).alias("spq"),
-            ),
-        ).otherwise(acc)
+        n = acc["n"] + 1
+        mean_q = acc["q"] + (q - acc["q"]) / n
+        new = F.struct(
+            n.alias("n"),
+            (acc["p"] + (p - acc["p"]) / n).alias("p"),
+            mean_q.alias("q"),
+            (acc["c"] + (p - acc["p"]) * (q - mean_q)).alias("c"),
+        )
+        return F.when(p.isNotNull() & q.isNotNull(), new).otherwise(acc)
 
     def finish(acc: Column) -> Column:
-        n = acc["n"]
-        return F.when(n - F.lit(ddof) > 0, (acc["spq"] - acc["sp"] * acc["sq"] / n) / (n - F.lit(ddof)))
+        return F.when(acc["n"] - F.lit(ddof) > 0, acc["c"] / (acc["n"] - F.lit(ddof)))
 
     zipped = F.zip_with(a, b, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     return F.aggregate(zipped, init, step, finish)
@@ -79,17 +81,22 @@ def add_covariance(
 
     ``ddof=0`` divides by N (population), ``ddof=1`` by N−1. ``series`` must
     be a column (not an expression) so each wave is read, not recomputed.
+    Each pair of waves is computed once, the matrix is filled from that.
     """
     s = F.col(series)
-    idx = F.sequence(F.lit(0), F.size(s) - 1)
-    cov = F.transform(
-        idx,
-        lambda a: F.transform(
-            idx,
-            lambda b: _pair_cov(s[a], s[b], ddof) + F.when(a == b, F.lit(alpha)).otherwise(F.lit(0.0)),
-        ),
-    )
-    return df.withColumn(out, cov)
+    n = F.size(s)
+    idx = F.sequence(F.lit(0), n - 1)
+    pairs = F.flatten(F.transform(idx, lambda a: F.transform(F.sequence(a, n - 1), lambda b: _pair_cov(s[a], s[b], ddof))))
+    half = df.withColumn("_pairs", F.when(n > 0, pairs))
+
+    def entry(a: Column, b: Column) -> Column:
+        low, high = F.least(a, b), F.greatest(a, b)
+        # the pairs of the first `low` waves come before
+        at = (low * n - low * (low - 1) / 2 + high - low).cast("int")
+        return F.col("_pairs")[at] + F.when(a == b, F.lit(alpha)).otherwise(F.lit(0.0))
+
+    cov = F.transform(idx, lambda a: F.transform(idx, lambda b: entry(a, b)))
+    return half.withColumn(out, F.when(n > 0, cov).otherwise(F.when(n == 0, F.array().cast("array<array<double>>")))).drop("_pairs")
 
 
 def matrix_long(df: DataFrame, keys: list[str], matrix: str, names: tuple[str, str, str]) -> DataFrame:

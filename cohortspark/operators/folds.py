@@ -3,7 +3,8 @@
 Fold numbers follow contiguous stratified k-fold: within each class, rows
 in a fixed order are cut into ``k`` consecutive blocks, the first
 ``n mod k`` blocks one row longer (the same as ``ntile(k)``). Positions
-come from ``ordering.positions`` so no class is gathered into one task.
+and class sizes come from ``ordering.positions``, so no class is gathered into
+one task and rows are dealt by their place in the order, never by class alone.
 """
 
 from __future__ import annotations
@@ -24,11 +25,7 @@ def _ntile(pos: Column, n: Column, k: int) -> Column:
 
 def stratified_folds(df: DataFrame, label: str, order: list[str | Column], k: int = 5) -> DataFrame:
     """Add ``fold`` in ``0..k-1``, balanced per class, contiguous in ``order``."""
-    with_pos = positions(df, order, [label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # a row per class; Spark broadcasts it if it is small
-    sizes = sizes.withColumnRenamed(label, "_class")
-    out = with_pos.join(sizes, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+    out = positions(df, order, [label], size="_n")
     return out.withColumn("fold", _ntile(F.col("pos"), F.col("_n"), k)).drop("_n", "pos")
 
 

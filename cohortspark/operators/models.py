@@ -15,6 +15,7 @@ test pairs; see README).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as M
+from cohortspark.operators.spd import NotSettled
 from cohortspark.session import materialise as _materialise
 
 LABEL = "label"
@@ -97,7 +99,7 @@ class CalibratedSVC:
     def fit(self, train: DataFrame) -> "CalibratedSVC":
         self.svc_model = self.svc.fit(train)
         margin = self._margin(self.svc_model.transform(train))
-        self.cal = LogisticRegression(featuresCol="_m", regParam=0.0).fit(margin)
+        self.cal = without_summary(LogisticRegression(featuresCol="_m", regParam=0.0).fit(margin))
         return self
 
     @staticmethod
@@ -112,8 +114,8 @@ class CalibratedSVC:
 
 
 def positive_probability(pred: DataFrame) -> DataFrame:
-    """Add ``p1`` = probability of class 1 from a Spark ML prediction frame."""
-    return pred.withColumn("p1", vector_to_array("probability")[1])
+    """Add ``p1`` = probability of class 1 from a Spark ML prediction frame (a model may have added it already)."""
+    return pred if "p1" in pred.columns else pred.withColumn("p1", vector_to_array("probability")[1])
 
 
 # ---------------------------------------------------------------------------
@@ -123,7 +125,19 @@ Fitter = Callable[[DataFrame], object]
 
 
 def _fit(est: Estimator | CalibratedSVC, train: DataFrame):
-    return est.fit(train)
+    return without_summary(est.fit(train))
+
+
+def without_summary(model):
+    """A fitted logistic regression without its training summary.
+
+    The summary holds the session, and a session in which a query was observed
+    (``DataFrame.observe``) cannot be sent to tasks with the model.
+    """
+    java = getattr(model, "_java_obj", None)
+    if java is not None and getattr(model, "hasSummary", False):
+        java.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def validate(est, train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -133,18 +147,61 @@ def validate(est, train: DataFrame, valid: DataFrame) -> DataFrame:
     return M.accuracy_auc(pred, F.col("prediction") == F.lit(1.0), "p1", F.col(LABEL) == F.lit(1.0))
 
 
+PARALLEL_FITS = 4  # fits that the driver starts side by side; each is a Spark job of its own
+
+
+def _side_by_side(tasks: Sequence[Callable[[], object]]) -> list:
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
+def predictions(models: dict[str, Callable[[DataFrame], object]], folds: Sequence[tuple[int, DataFrame, DataFrame]], key: str) -> DataFrame:
+    """M5 / M7: one long table (model, fold, key, label, prediction, p1) of every model on every fold.
+
+    ``models``: name → a function that fits on a training frame and returns
+    something with ``transform``. ``folds``: (number, training rows, rows to
+    predict). Models and folds are fitted side by side.
+    """
+
+    def scored(name: str, fit: Callable[[DataFrame], object], fold: int, train: DataFrame, test: DataFrame) -> DataFrame:
+        out = without_summary(fit(train)).transform(test)
+        return positive_probability(out).select(
+            F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.col(key), F.col(LABEL).cast("double").alias(LABEL), F.col("prediction").cast("double").alias("prediction"), "p1"
+        )
+
+    frames = _side_by_side([lambda n=n, f=f, x=x: scored(n, f, *x) for n, f in models.items() for x in folds])
+    long = frames[0]
+    for f in frames[1:]:
+        long = long.unionByName(f)
+    return _materialise(long, "predictions")
+
+
+def fold_pairs(df: DataFrame, fold_col: str, k: int) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(fold, all other rows, its rows) of a stored frame."""
+    return [(f, df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)) for f in range(k)]
+
+
+def evaluation(long: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """M6 / M7: n, accuracy and AUC of each model (or model and fold) of a table of predictions."""
+    return M.accuracy_auc(long, F.col("prediction") == 1.0, "p1", F.col(LABEL) == 1.0, by)
+
+
+def model_roc(long: DataFrame) -> DataFrame:
+    """M7: ROC points of each model of a table of predictions."""
+    return M.roc_points(long, "p1", F.col(LABEL) == 1.0, ["model"])
+
+
 def cross_val_accuracy(est, df: DataFrame, fold_col: str = "fold", k: int = 5) -> DataFrame:
     """M5: refit on all folds but one, accuracy on the held-out fold; one row per fold.
 
-    The loop is over folds (k model fits), not over data.
+    The folds are fitted side by side; the loop is over k fits, not over data.
     """
     df = materialise(df)
-    rows = []
-    for f in range(k):
-        model = _fit(est, df.where(F.col(fold_col) != f))
-        pred = model.transform(df.where(F.col(fold_col) == f))
-        acc = M.accuracy(pred, "prediction", LABEL).first()["accuracy"]
-        rows.append((f, acc))
+
+    def held_out(f: int, train: DataFrame, test: DataFrame) -> tuple[int, float]:
+        return f, M.accuracy(_fit(est, train).transform(test), "prediction", LABEL).first()["accuracy"]
+
+    rows = _side_by_side([lambda x=x: held_out(*x) for x in fold_pairs(df, fold_col, k)])
     return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")
 
 
@@ -209,7 +266,10 @@ def _map_matrices(df: DataFrame, col: str, nv: int, fn: Callable[[np.ndarray, pd
 
 
 def riemann_mean(df: DataFrame, col: str, nv: int, tol: float = 1e-8, max_iter: int = 50) -> np.ndarray:
-    """Riemannian (affine-invariant) mean of SPD matrices ``col`` (flattened rows)."""
+    """Riemannian (affine-invariant) mean of SPD matrices ``col`` (flattened rows).
+
+    Raises ``NotSettled`` if the last of ``max_iter`` rounds still moves by ``tol`` or more.
+    """
     m = _elementwise_mean(df, col)[None].reshape(nv, nv)
     for _ in range(max_iter):
         isq = invsqrtm(m)
@@ -218,8 +278,8 @@ def riemann_mean(df: DataFrame, col: str, nv: int, tol: float = 1e-8, max_iter:
         sq = sqrtm(m)
         m = sq @ expm(j) @ sq
         if np.linalg.norm(j) < tol:
-            break
-    return m
+            return m
+    raise NotSettled(f"Riemannian mean: step of {np.linalg.norm(j):.3g} after {max_iter} rounds, tolerance {tol:g}")
 
 
 def tangent_space(df: DataFrame, cov: str, nv: int, out: str = "tangent", mean: np.ndarray | None = None):
@@ -230,14 +290,19 @@ def tangent_space(df: DataFrame, cov: str, nv: int, out: str = "tangent", mean:
     base = materialise(_flat(df, cov))  # iterations read this, not the upstream plan
     ref = riemann_mean(base, "_flat", nv) if mean is None else mean
     isq = invsqrtm(ref)
-    iu = np.triu_indices(nv)
-    coef = (np.sqrt(2) * np.triu(np.ones((nv, nv)), 1) + np.eye(nv))[iu]
-    res = _map_matrices(base, "_flat", nv, lambda mats, _b: logm(isq @ mats @ isq)[:, iu[0], iu[1]] * coef)
+    # a symmetric matrix has the length of the vector of its diagonal and sqrt 2 times what is above it
+    places = [(i, j) for i in range(nv) for j in range(i, nv)]
+    rows, cols = np.array(places).T
+    weight = np.array([1.0 if i == j else 2.0**0.5 for i, j in places])
+    res = _map_matrices(base, "_flat", nv, lambda mats, _b: logm(isq @ mats @ isq)[:, rows, cols] * weight)
     return res.withColumnRenamed("_out", out).drop("_flat"), ref
 
 
 def wasserstein_class_means(df: DataFrame, col: str, label: str, nv: int, tol: float = 1e-3, max_iter: int = 50) -> dict:
-    """Wasserstein (Bures) mean per class by the fixed-point iteration K ← sqrt(mean sqrt(K C K))."""
+    """Wasserstein (Bures) mean per class by the fixed-point iteration K ← sqrt(mean sqrt(K C K)).
+
+    Raises ``NotSettled`` as ``riemann_mean`` does.
+    """
     means = {g: v.reshape(nv, nv) for g, v in _elementwise_mean(df, col, label).items()}
     ks = {g: sqrtm(m) for g, m in means.items()}
     for _ in range(max_iter):
@@ -253,8 +318,8 @@ def wasserstein_class_means(df: DataFrame, col: str, label: str, nv: int, tol: f
         crit = max(np.linalg.norm(new[g] - ks[g]) for g in new)
         ks = new
         if crit < tol:
-            break
-    return {g: k @ k for g, k in ks.items()}
+            return {g: k @ k for g, k in ks.items()}
+    raise NotSettled(f"Wasserstein mean: step of {crit:.3g} after {max_iter} rounds, tolerance {tol:g}")
 
 
 def wasserstein_distance2(mats: np.ndarray, ref: np.ndarray) -> np.ndarray:

@@ -29,8 +29,9 @@ def prefix_sums(
     values: Sequence[str],
     group: Sequence[str] = (),
     num_partitions: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Add ``<v>_before``: sum of ``v`` over earlier rows (same ``group``) in ``order``.
+    """Add ``<v>_before``: sum of ``v`` over earlier rows (same ``group``) in ``order``; with ``totals`` also ``<v>_total`` of the group.
 
     ``order`` must be unique within a group (ties would make "earlier"
     ambiguous); null groups count as a group. Without ``num_partitions`` the
@@ -39,12 +40,14 @@ def prefix_sums(
     keys = [*group, *order]
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     tagged = materialise(ranged.withColumn("_pid", F.spark_partition_id()), "ranges")
-    totals = tagged.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    sums = tagged.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    whole = Window.partitionBy(*group)
+    offsets = sums.select(
         F.col("_pid").alias("_p"),
         *[F.col(g).alias(f"_g_{g}") for g in group],
         *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values],
+        *[F.sum(f"_t_{v}").over(whole).alias(f"_w_{v}") for v in values],
     )
     offsets = materialise(offsets, "range-offsets")
     if offsets.count() <= BROADCAST_OFFSETS:
@@ -56,6 +59,7 @@ def prefix_sums(
     return tagged.join(offsets, same).select(
         *df.columns,
         *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(local), F.lit(0))).alias(f"{v}_before") for v in values],
+        *[F.col(f"_w_{v}").alias(f"{v}_total") for v in values if totals],
     )
 
 
@@ -64,13 +68,14 @@ def positions(
     order: Sequence[str | Column],
     group: Sequence[str] = (),
     num_partitions: int | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """Add ``pos``: 0-based position of each row within its ``group`` in ``order``.
+    """Add ``pos``: 0-based position of each row within its ``group`` in ``order``, and the group's size under the name ``size``.
 
     Equivalent to ``row_number() - 1`` over ``partitionBy(group).orderBy(order)``
     but without putting a whole group in one task. ``order`` should be unique
     within a group for a deterministic result.
     """
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    res = prefix_sums(one, order, ["_one"], group, num_partitions)
-    return res.withColumnRenamed("_one_before", "pos").drop("_one")
+    res = prefix_sums(one, order, ["_one"], group, num_partitions, totals=size is not None)
+    return res.withColumnsRenamed({"_one_before": "pos", "_one_total": size or "_one_total"}).drop("_one")

@@ -78,7 +78,7 @@ def count_stays(staged: DataFrame, codes: Sequence[int]) -> DataFrame:
 
 def time_bounds(staged: DataFrame) -> DataFrame:
     """First and last entry date of the staged readings."""
-    return staged.agg(F.min("dt_deb").alias("begining"), F.max("dt_deb").alias("ending"))
+    return staged.agg(F.min("dt_deb").alias("beginning"), F.max("dt_deb").alias("ending"))
 
 
 def case_type_counts(staged: DataFrame, codes: Sequence[int]) -> DataFrame:
@@ -180,38 +180,31 @@ def low_density(row_stats: DataFrame, below: float = 10.0) -> DataFrame:
 def equal_width_histogram(df: DataFrame, cols: Sequence[str], bins: int = 50) -> DataFrame:
     """Equal-width histogram per column between its min and max.
 
-    Bounds come from scalar subqueries (merged by the optimizer into one
-    aggregate); the maximum falls in the last bin. Output is long:
-    (variable, bin, lower, upper, n). Null values are not counted.
+    Two passes over ``df``, whatever the number of columns: one aggregate gives
+    all bounds (a scalar subquery), one counts (column, bin), which each task
+    reduces to at most ``bins`` rows a column. The maximum falls in the last
+    bin. Output is long: (variable, bin, lower, upper, n). Nulls are not counted.
     """
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        mn = df.select(F.min(x)).scalar()
-        mx = df.select(F.max(x)).scalar()
-        width = mx - mn
-        b = F.when(width > 0, F.least(F.floor((x - mn) * F.lit(bins) / width) + 1, F.lit(bins))).otherwise(F.lit(1))
-        parts.append(
-            df.where(x.isNotNull()).select(
-                F.lit(c).alias("variable"),
-                b.cast("int").alias("bin"),
-                mn.alias("lo"),
-                width.alias("w"),
-            )
-        )
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    return (
-        stacked.groupBy("variable", "bin")
+    x = {c: F.col(c).cast("double") for c in cols}
+    ends = [f(x[c]).alias(f"{n}_{k}") for k, c in enumerate(cols) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    bounds = df.agg(*ends).select(F.struct(*[f"{n}_{k}" for k in range(len(cols)) for n in ("lo", "hi")]).alias("b")).scalar()
+    values = F.array(*[F.struct(F.lit(k).alias("k"), x[c].alias("x")) for k, c in enumerate(cols)])
+    rows = df.select(F.explode(values).alias("v")).select("v.k", "v.x").where("x is not null")
+    rows = rows.withColumn("b", bounds)
+    pick = lambda end: F.element_at(F.array(*[F.col(f"b.{end}_{k}") for k in range(len(cols))]), F.col("k") + 1)
+    rows = rows.select("k", "x", pick("lo").alias("lo"), (pick("hi") - pick("lo")).alias("w"))
+    number = F.least(F.floor((F.col("x") - F.col("lo")) * F.lit(bins) / F.col("w")) + 1, F.lit(bins))
+    counted = (
+        rows.select("k", "lo", "w", F.when(F.col("w") > 0, number).otherwise(F.lit(1)).cast("int").alias("bin"))
+        .groupBy("k", "bin")
         .agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("w").alias("w"))
-        .select(
-            "variable",
-            "bin",
-            (F.col("lo") + F.col("w") * (F.col("bin") - 1) / F.lit(bins)).alias("lower"),
-            (F.col("lo") + F.col("w") * F.col("bin") / F.lit(bins)).alias("upper"),
-            "n",
-        )
+    )
+    return counted.select(
+        F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("k") + 1).alias("variable"),
+        "bin",
+        (F.col("lo") + F.col("w") * (F.col("bin") - 1) / F.lit(bins)).alias("lower"),
+        (F.col("lo") + F.col("w") * F.col("bin") / F.lit(bins)).alias("upper"),
+        "n",
     )
 
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortspark.operators.ordering import positions
+from cohortspark.session import materialise
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for right results).
@@ -54,14 +55,14 @@ def field_condition(with_score: bool) -> Column:
 
 
 def form_values(forms: DataFrame) -> DataFrame:
-    """q1: selected field rows with their value as text."""
+    """Selected field rows with their value as text."""
     return forms.where(field_condition(True)).select(
         "id_form", "id_nda", "champ_formulaire", F.col("value_field").cast("string").alias("value_field"), "j1"
     )
 
 
 def form_dates(forms: DataFrame) -> DataFrame:
-    """q2 + F13: distinct (form, stay, dates); the effective date is j1 when present, else dt_ins."""
+    """distinct (form, stay, dates); the effective date is j1 when present, else dt_ins."""
     d = forms.where(field_condition(False)).select("id_form", "id_nda", "dt_ins", "j1").distinct()
     return d.select("id_form", "id_nda", F.coalesce("j1", "dt_ins").alias("dt_ins"))
 
@@ -71,11 +72,18 @@ def form_key(id_nda: Column, date: Column, id_form: Column) -> Column:
     return F.concat(id_nda, F.date_format(date, "yyyy-MM-dd"), F.lit("_"), id_form.cast("string"))
 
 
-def form_long(forms: DataFrame) -> DataFrame:
-    """Field rows keyed by ``id_form_ndaj1`` (merge on form id only, as the reference)."""
-    v = form_values(forms)
+def form_rows(forms: DataFrame) -> DataFrame:
+    """Field rows with the form's effective date ``dt_eff`` (merge on form id only, as the reference).
+
+    Store the result where both its long form and its matrix are needed.
+    """
     d = form_dates(forms).select("id_form", F.col("dt_ins").alias("dt_eff"))
-    j = v.join(d, "id_form")
+    return form_values(forms).join(d, "id_form").select("id_form", "id_nda", "dt_eff", "champ_formulaire", "value_field")
+
+
+def form_long(forms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Field rows keyed by ``id_form_ndaj1``."""
+    j = form_rows(forms) if rows is None else rows
     return j.select(
         form_key(F.col("id_nda"), F.col("dt_eff"), F.col("id_form")).alias("id_form_ndaj1"),
         "champ_formulaire",
@@ -94,9 +102,13 @@ def case_prefix(key: str | Column = "id_form_ndaj1") -> Column:
     return F.regexp_extract(k, r"(.*)_.*", 1)
 
 
-def form_matrix(forms: DataFrame, fields: Sequence[str]) -> DataFrame:
+def form_matrix(forms: DataFrame, fields: Sequence[str], strict: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """M12 + A13: one row per form key, one text column per field (explicit list), plus id_ndaj1.
 
+    A field with more than one row in a form makes the pivot ambiguous
+    (``form_duplicates`` reports them all): with ``strict`` it raises when such
+    a form is computed, otherwise the largest text is taken.
+
     The key is a one-to-one function of (form id, stay id, effective date): the
     numeric form id follows the last '_' and the date has a fixed width. So the
     pivot groups by those columns, which keeps the join's partitioning on the
@@ -104,13 +116,19 @@ def form_matrix(forms: DataFrame, fields: Sequence[str]) -> DataFrame:
     (A null stay id or date gives a null key per form, where a grouping on the
     text key would merge such forms.)
     """
-    v = form_values(forms)
-    d = form_dates(forms).select("id_form", F.col("dt_ins").alias("dt_eff"))
-    j = v.join(d, "id_form")
-    aggs = [F.max(F.when(F.col("champ_formulaire") == F.lit(f), F.col("value_field"))).alias(f) for f in fields]
-    m = j.groupBy("id_form", "id_nda", "dt_eff").agg(*aggs)
+    j = form_rows(forms) if rows is None else rows
+    is_field = lambda f: F.col("champ_formulaire") == F.lit(f)
+    aggs = [F.max(F.when(is_field(f), F.col("value_field"))).alias(f) for f in fields]
+    counts = [F.count(F.when(is_field(f), F.lit(1))).alias(f"_n_{k}") for k, f in enumerate(fields)] if strict else []
+    m = j.groupBy("id_form", "id_nda", "dt_eff").agg(*aggs, *counts)
     key = form_key(F.col("id_nda"), F.col("dt_eff"), F.col("id_form"))
-    return m.select(key.alias("id_form_ndaj1"), *fields).select("id_form_ndaj1", *fields, case_prefix().alias("id_ndaj1"))
+
+    def single(k: int, f: str) -> Column:
+        twice = F.raise_error(F.concat(F.lit(f"field {f} has several rows in form "), F.col("id_form").cast("string")))
+        return F.when(F.col(f"_n_{k}") > 1, twice.cast("string")).otherwise(F.col(f)).alias(f) if strict else F.col(f)
+
+    m = m.select(key.alias("id_form_ndaj1"), *[single(k, f) for k, f in enumerate(fields)])
+    return m.select("id_form_ndaj1", *fields, case_prefix().alias("id_ndaj1"))
 
 
 def stay_of_case_key(key: str | Column = "id_ndaj1") -> Column:
@@ -167,26 +185,85 @@ def sorted_catalogue(catalogue: DataFrame) -> DataFrame:
 
 def catalogue_codes(catalogue: DataFrame) -> DataFrame:
     """Code of each category = rank in the sorted distinct texts of its parent − 1."""
-    cats = catalogue.select(F.col("PARENT"), F.col("saps2weight").cast("string").alias("label")).distinct()
+    cats = _categories(catalogue).distinct()
     # position among the distinct texts of the parent = dense rank − 1, without one task per parent
     ranked = positions(cats, ["label"], ["PARENT"])
     return ranked.select("PARENT", "label", F.col("pos").cast("int").alias("code"))
 
 
-def label_encode(matrix: DataFrame, key: str, fields: Sequence[str], catalogue: DataFrame) -> DataFrame:
-    """Replace each field's text by its catalogue code (unseen text → null).
+def _categories(catalogue: DataFrame) -> DataFrame:
+    """(PARENT, label); a null text is no category."""
+    return catalogue.select(F.col("PARENT"), F.col("saps2weight").cast("string").alias("label")).where("PARENT is not null and label is not null")
 
-    Long form → one join with the catalogue codes → back to one column per field.
+
+MAP_CATEGORIES = 20_000  # distinct (parent, text) up to which the catalogue is a map in the row
+
+
+def _code_maps(catalogue: DataFrame) -> Column | None:
+    """Parent → text → code as one value, or None for a catalogue of more than ``MAP_CATEGORIES``.
+
+    The value is a scalar subquery: it is computed once and is a literal in every task.
     """
-    long = matrix.select(
-        key,
-        F.explode(F.array(*[F.struct(F.lit(f).alias("PARENT"), F.col(f).cast("string").alias("label")) for f in fields])).alias("kv"),
-    ).select(key, "kv.PARENT", "kv.label")
+    cats = materialise(_categories(catalogue).distinct(), "catalogue")
+    if cats.count() > MAP_CATEGORIES:
+        return None
+    texts = cats.groupBy("PARENT").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    codes = F.map_from_arrays("labels", F.sequence(F.lit(0), F.size("labels") - 1))
+    return texts.agg(F.map_from_entries(F.collect_list(F.struct("PARENT", codes.alias("codes")))).alias("maps")).scalar()
+
+
+def label_encode(
+    matrix: DataFrame, key: str, fields: Sequence[str], catalogue: DataFrame, unseen: str = "null", report: Observation | None = None
+) -> DataFrame:
+    """Replace each field's text by its catalogue code.
+
+    A text that its parent's catalogue does not hold is ``null`` or, with
+    ``unseen="error"``, raises in the task that meets it. ``report`` is filled,
+    by the action that computes the result, with the number of such texts of
+    each field (``observe``: no pass of its own).
+
+    The catalogue becomes a map in the row, so nothing is shuffled; one too
+    large for that is joined field by field, in a long form.
+    """
+    if unseen not in ("null", "error"):
+        raise ValueError(f"unseen must be 'null' or 'error', not {unseen!r}")
+    maps = _code_maps(catalogue)
+    text = lambda f: F.col(f"`{f}`").cast("string")
+    if maps is None:
+        coded = _joined_codes(matrix, key, fields, catalogue)
+    else:
+        code = lambda f: F.try_element_at(F.try_element_at(maps, F.lit(f)), text(f))
+        coded = matrix.select(key, *[F.struct(text(f).alias("label"), code(f).alias("code")).alias(f) for f in fields])
+    missing = lambda f: F.col(f"`{f}`.label").isNotNull() & F.col(f"`{f}`.code").isNull()
+    if report is not None:
+        coded = coded.observe(report, *[F.count_if(missing(f)).alias(f) for f in fields])
+
+    def out(f: str) -> Column:
+        if unseen == "null":
+            return F.col(f"`{f}`.code").alias(f)
+        said = F.raise_error(F.concat(F.lit(f"field {f}: the catalogue has no "), F.col(f"`{f}`.label")))
+        return F.when(missing(f), said.cast("int")).otherwise(F.col(f"`{f}`.code")).alias(f)
+
+    return coded.select(key, *[out(f) for f in fields])
+
+
+def _joined_codes(matrix: DataFrame, key: str, fields: Sequence[str], catalogue: DataFrame) -> DataFrame:
+    """(label, code) of each field by a join with the catalogue: for one that is too large for a map."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("PARENT"), F.col(f"`{f}`").cast("string").alias("label")) for f in fields])
+    long = matrix.select(key, F.explode(pairs).alias("kv")).select(key, "kv.PARENT", "kv.label")
     coded = long.join(catalogue_codes(catalogue), ["PARENT", "label"], "left")
-    aggs = [F.max(F.when(F.col("PARENT") == F.lit(f), F.col("code"))).alias(f) for f in fields]
+    aggs = [F.max(F.when(F.col("PARENT") == F.lit(f), F.struct("label", "code"))).alias(f) for f in fields]
     return coded.groupBy(key).agg(*aggs)
 
 
+def unseen_texts(matrix: DataFrame, fields: Sequence[str], catalogue: DataFrame) -> DataFrame:
+    """M10 report: (PARENT, label, n) of the texts that the catalogue does not hold."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("PARENT"), F.col(f"`{f}`").cast("string").alias("label")) for f in fields])
+    texts = matrix.select(F.explode(pairs).alias("kv")).select("kv.PARENT", "kv.label").where("label is not null")
+    counts = texts.groupBy("PARENT", "label").agg(F.count(F.lit(1)).alias("n"))  # few: partial counts in each task
+    return counts.join(_categories(catalogue), ["PARENT", "label"], "left_anti")
+
+
 def catalogue_from_values(long: DataFrame) -> DataFrame:
     """A catalogue (PARENT, index, saps2weight) from the values observed per field."""
     cats = long.select(F.col("champ_formulaire").alias("PARENT"), F.col("value_field").alias("saps2weight")).distinct()

@@ -8,9 +8,10 @@ rounded to 6 decimals on both sides; intervals are given in seconds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import codes as K
@@ -19,13 +20,17 @@ from cohortspark.operators import features as FE
 from cohortspark.operators import folds as FO
 from cohortspark.operators import metrics as M
 from cohortspark.operators import models as MO
+from cohortspark.operators import neighbours as NB
 from cohortspark.operators import profile as P
 from cohortspark.operators import scores as SC
+from cohortspark.operators import spd as SPD
 from cohortspark.operators import staging as S
+from cohortspark.operators import svm as SV
 from cohortspark.operators import waves as W
 from cohortspark.plans import cohort_selection as CS
 from cohortspark.plans import oracle_sql as OS
 from cohortspark.plans.oracle_sql import CohortSQL, secs, voi_total
+from cohortspark.session import ensure_checkpoint_dir, materialise
 from cohortspark.sources import io as IO
 from cohortspark.sources import stand_ins as SI
 from cohortspark.sources.stand_ins import DUCK
@@ -136,7 +141,7 @@ def q_count_stays(spark, sf_dir):
     return P.count_stays(plan(spark, sf_dir).staged(), CODES)
 
 
-@register("time_bounds", CSQL.with_("staged") + "select min(dt_deb) as begining, max(dt_deb) as ending from staged")
+@register("time_bounds", CSQL.with_("staged") + "select min(dt_deb) as beginning, max(dt_deb) as ending from staged")
 def q_time_bounds(spark, sf_dir):
     return P.time_bounds(plan(spark, sf_dir).staged())
 
@@ -390,6 +395,17 @@ def q_useful_readings(spark, sf_dir):
 NB_PTS = W.DEFAULT_NB_PTS
 GAP = W.DEFAULT_GAP_LIMIT
 ID_BLOCKS = 6
+LATE_BLOCK = 2  # written after the others
+REJECT_PTS = 12_000  # so many points that the shorter stays have no step
+_REJECT_CTES = {
+    "ranges": (
+        "select id_nda, j1, min(dt_min) as dt_min, min(dt_max) as dt_max, bool_or(dt_deces is not null) as dead from cohort group by id_nda, j1"
+    ),
+    "all_steps": (
+        "select *, cast(60000000 * round_even(floor(date_diff('microsecond', dt_min, dt_max) / 1000) "
+        f"/ 1000.0 / {float(REJECT_PTS)} / 60.0, 0) as bigint) as step_us from ranges"
+    ),
+}
 
 _ROUTE_ROWS = ", ".join(
     f"('{v}', {i}, {c})" for i, v in enumerate(VOIS) for c in K.codes_of(v)
@@ -590,6 +606,34 @@ def q_id_blocks(spark, sf_dir):
     return W.id_blocks(cases, ID_BLOCKS)
 
 
+@register("rejected_cases", CSQL.with_("cohort", _REJECT_CTES) + "select id_nda, j1, dt_min, dt_max, dead from all_steps where coalesce(step_us <= 0, true)")
+def q_rejected_cases(spark, sf_dir):
+    """T4: the cases whose range is too short for REJECT_PTS points."""
+    return W.rejected_cases(plan(spark, sf_dir).cohort(), REJECT_PTS).select("id_nda", "j1", "dt_min", "dt_max", "dead")
+
+
+@register("dataset_blocks", _WAVE_WITH + (
+    "select id_nda, j1, block, series, dead from (" + _PACK_SQL + ") join (select distinct id_nda, j1, "
+    "cast(cast('0x' || substr(md5(concat(id_nda, cast(j1 as varchar), ':42')), 1, 8) as bigint) "
+    f"% {ID_BLOCKS} as int) as block from cohort) using (id_nda, j1)"
+))
+def q_dataset_blocks(spark, sf_dir):
+    """The dataset written block by block: all blocks but one, then the missing one alone, read back."""
+    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    blocks = W.id_blocks(ranges.select("id_nda", "j1").distinct(), ID_BLOCKS)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortspark-tables/dataset-{uuid.uuid4().hex}"
+
+    def build(numbers: list[int]) -> DataFrame:
+        cases = blocks.where(F.col("block").isin(numbers))
+        chosen = ranges.join(cases, ["id_nda", "j1"], "left_semi")
+        ds = W.build_dataset(spark, readings, chosen, VOIS, NB_PTS, GAP, hot=hot)
+        return ds.join(cases, ["id_nda", "j1"]).select("id_nda", "j1", round_series().alias("series"), "dead", "block")
+
+    IO.save_blocks(build([b for b in range(ID_BLOCKS) if b != LATE_BLOCK]), path)
+    IO.build_blocks(spark, path, ID_BLOCKS, build)
+    return spark.read.parquet(path).select("id_nda", "j1", "block", "series", "dead")
+
+
 @register("wave_plot_points", _WAVE_WITH + (
     "select r.id_nda, r.j1, r.voi, case r.voi "
     + " ".join(f"when '{v}' then '{K.voi_label(v)}'" for v in VOIS)
@@ -612,12 +656,12 @@ _FORM_CTES = {
     "forms": DUCK["forms"],
     "movements": DUCK["movements"],
     "patients": DUCK["patients"],
-    "q1": f"select id_form, id_nda, champ_formulaire, cast(value_field as varchar) as value_field, j1 from forms where {_FIELD_SQL}",
-    "q2": f"select distinct id_form, id_nda, dt_ins, j1 from forms where {_DATE_FIELD_SQL}",
-    "q2e": "select id_form, coalesce(j1, dt_ins) as dt_eff from q2",
+    "field_rows": f"select id_form, id_nda, champ_formulaire, cast(value_field as varchar) as value_field, j1 from forms where {_FIELD_SQL}",
+    "date_rows": f"select distinct id_form, id_nda, dt_ins, j1 from forms where {_DATE_FIELD_SQL}",
+    "dated": "select id_form, coalesce(j1, dt_ins) as dt_eff from date_rows",
     "lng": (
-        "select concat(q1.id_nda, strftime(q2e.dt_eff, '%Y-%m-%d'), '_', cast(q1.id_form as varchar)) as id_form_ndaj1, "
-        "champ_formulaire, value_field from q1 join q2e on q1.id_form = q2e.id_form"
+        "select concat(field_rows.id_nda, strftime(dated.dt_eff, '%Y-%m-%d'), '_', cast(field_rows.id_form as varchar)) as id_form_ndaj1, "
+        "champ_formulaire, value_field from field_rows join dated on field_rows.id_form = dated.id_form"
     ),
     "mat": (
         "select *, regexp_extract(id_form_ndaj1, '(.*)_.*', 1) as id_ndaj1 from (select id_form_ndaj1, "
@@ -628,7 +672,7 @@ _FORM_CTES = {
         "select distinct i.id_ndaj1, n.ids_pat from (select distinct id_ndaj1 from mat) i join movements n "
         "on n.id_nda = substr(i.id_ndaj1, 1, length(i.id_ndaj1) - 10)"
     ),
-    "resultf": (
+    "with_death": (
         "select m.*, d.dt_deces from mat m join (select pm.id_ndaj1, p.dt_deces from pmap pm "
         "join patients p on pm.ids_pat = p.ids_pat) d on m.id_ndaj1 = d.id_ndaj1"
     ),
@@ -636,7 +680,7 @@ _FORM_CTES = {
         "select *, exp(logit) / (1.0 + exp(logit)) as pr, "
         f"exp(logit) / (1.0 + exp(logit)) > {SC.SCORE_THRESHOLD} as y_pred, dt_deces is not null as y_true from "
         f"(select *, {SC.SCORE_A} + {SC.SCORE_B} * cast(int_igs2 as double) "
-        f"+ {SC.SCORE_C} * ln(cast(int_igs2 as double) + 1.0) as logit from resultf)"
+        f"+ {SC.SCORE_C} * ln(cast(int_igs2 as double) + 1.0) as logit from with_death)"
     ),
     "g": (
         "select cast(pr as double) as score, sum(case when y_true then 1 else 0 end) as pos, "
@@ -652,16 +696,17 @@ _FORM_WITH = "with " + ",\n".join(f"{k} as ({v})" for k, v in _FORM_CTES.items()
 
 
 def _score_inputs(spark, sf_dir):
+    """Forms, the matrix (stored: the map and the outcome both read it), case to patient, and the outcome of each form."""
     forms = SI.forms(spark, sf_dir)
-    mat = SC.form_matrix(forms, FIELDS)
+    mat = materialise(SC.form_matrix(forms, FIELDS, strict=True), "form-matrix")
     pmap = SC.patient_map(mat, SI.movements(spark, sf_dir))
-    resultf = SC.with_death(mat, pmap, SI.patients(spark, sf_dir))
-    return forms, mat, pmap, resultf
+    outcome = SC.with_death(mat, pmap, SI.patients(spark, sf_dir))
+    return forms, mat, pmap, outcome
 
 
 @register("form_matrix", _FORM_WITH + "select * from mat")
 def q_form_matrix(spark, sf_dir):
-    return _score_inputs(spark, sf_dir)[1]
+    return SC.form_matrix(SI.forms(spark, sf_dir), FIELDS, strict=True)
 
 
 @register("patient_map", _FORM_WITH + "select * from pmap")
@@ -730,9 +775,113 @@ _ENC_LONG = " union all ".join(
     + " from el left join cat on el.PARENT = cat.PARENT and el.label = cat.label group by el.id_form_ndaj1"
 ))
 def q_label_encode(spark, sf_dir):
-    forms, mat, _, _ = _score_inputs(spark, sf_dir)
-    catalogue = SC.catalogue_from_values(SC.form_long(forms))
-    return SC.label_encode(mat, "id_form_ndaj1", FIELDS, catalogue)
+    rows = materialise(SC.form_rows(SI.forms(spark, sf_dir)), "form-rows")
+    catalogue = SC.catalogue_from_values(SC.form_long(None, rows))
+    return SC.label_encode(SC.form_matrix(None, FIELDS, strict=True, rows=rows), "id_form_ndaj1", FIELDS, catalogue)
+
+
+# The stand-in forms' fields take the names of the first catalogue parents, and
+# the catalogue its texts from part sizes: those above CATALOGUE_BELOW are missing.
+CATALOGUE_BELOW = 46
+_PARENTS = [parent for _, parent in SC.FORM_FIELD_CATALOGUE][: len(FIELDS) - 1]
+_RENAMED = list(zip([f for f in FIELDS if f != SI.FORM_SCORE_FIELD], _PARENTS))
+_CATALOGUE_CTES = {
+    "named": "select id_form_ndaj1, " + ", ".join(f'{f} as "{p}"' for f, p in _RENAMED) + " from mat",
+    "catalogue": (
+        f"select distinct ({[p for _, p in _RENAMED]})[p_partkey % {len(_RENAMED)} + 1] as parent, cast(p_size as varchar) as label "
+        f"from part where p_size < {CATALOGUE_BELOW}"
+    ),
+    "codes": "select parent, label, cast(row_number() over (partition by parent order by label) - 1 as int) as code from catalogue",
+    "texts": " union all ".join(f"select id_form_ndaj1, '{p}' as parent, \"{p}\" as label from named" for _, p in _RENAMED),
+}
+_CATALOGUE_WITH = _FORM_WITH[:-1] + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in _CATALOGUE_CTES.items()) + "\n"
+
+
+def _catalogue_inputs(spark, sf_dir):
+    """The form matrix under catalogue names (P3), and a catalogue of all parents that lacks some texts."""
+    mat = SC.rename_fields(SC.form_matrix(SI.forms(spark, sf_dir), FIELDS, strict=True), _RENAMED)
+    part = SI.table(spark, sf_dir, "part").where(F.col("p_size") < CATALOGUE_BELOW)
+    parent = F.element_at(F.array(*[F.lit(p) for _, p in _RENAMED]), (F.col("p_partkey") % len(_RENAMED) + 1).cast("int"))
+    catalogue = part.select(parent.alias("PARENT"), F.lit(None).cast("int").alias("index"), F.col("p_size").cast("string").alias("saps2weight"))
+    return mat, [p for _, p in _RENAMED], catalogue
+
+
+@register("label_encode_catalogue", _CATALOGUE_WITH + (
+    "select t.id_form_ndaj1, " + ", ".join(f"max(c.code) filter (where t.parent = '{p}') as \"{p}\"" for _, p in _RENAMED)
+    + " from texts t left join codes c on c.parent = t.parent and c.label = t.label group by t.id_form_ndaj1"
+))
+def q_label_encode_catalogue(spark, sf_dir):
+    """P3 + M10: fields under their catalogue names, coded by a catalogue of its own; a text it lacks is null."""
+    mat, parents, catalogue = _catalogue_inputs(spark, sf_dir)
+    return SC.label_encode(mat, "id_form_ndaj1", parents, catalogue)
+
+
+@register("label_unseen", _CATALOGUE_WITH + (
+    "select t.parent as PARENT, t.label, count(*) as n from texts t anti join codes c on c.parent = t.parent and c.label = t.label "
+    "where t.label is not null group by t.parent, t.label"
+))
+def q_label_unseen(spark, sf_dir):
+    """M10 report: the texts that the catalogue lacks."""
+    mat, parents, catalogue = _catalogue_inputs(spark, sf_dir)
+    return SC.unseen_texts(mat, parents, catalogue)
+
+
+@register("sorted_catalogue", _CATALOGUE_WITH + (
+    "select parent as PARENT, cast(row_number() over (partition by parent order by cast(label as int)) as int) as index, label as saps2weight from catalogue"
+))
+def q_sorted_catalogue(spark, sf_dir):
+    """The catalogue by parent and index."""
+    _, _, catalogue = _catalogue_inputs(spark, sf_dir)
+    order = Window.partitionBy("PARENT").orderBy(F.col("saps2weight").cast("int"))
+    distinct = catalogue.select("PARENT", "saps2weight").distinct().select("PARENT", F.row_number().over(order).alias("index"), "saps2weight")
+    return SC.sorted_catalogue(distinct)
+
+
+# Each field as a scorer of its own: its value, and the alarm "above SCORER_LIMIT".
+SCORER_LIMIT = 25
+_SCORER_CTES = {
+    "scorer": " union all ".join(
+        f"select '{f}' as model, cast({f} as double) as score, cast({f} as int) > {SCORER_LIMIT} as pred, y_true from scored where {f} is not null" for f in FIELDS
+    ),
+    "sg": (
+        "select model, score, sum(case when y_true then 1 else 0 end) as pos, sum(case when y_true then 0 else 1 end) as neg, "
+        "sum(case when pred = y_true then 1 else 0 end) as ok from scorer group by model, score"
+    ),
+    "sg2": (
+        "select *, coalesce(sum(neg) over w, 0) as neg_before, coalesce(sum(pos) over w, 0) as pos_before from sg "
+        "window w as (partition by model order by score rows between unbounded preceding and 1 preceding)"
+    ),
+}
+_SCORER_WITH = _FORM_WITH[:-1] + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in _SCORER_CTES.items()) + "\n"
+
+
+def _scorers(spark, sf_dir):
+    """Long table (model, p1, prediction, label): every form scored by each of its fields."""
+    s = SC.severity_score(_score_inputs(spark, sf_dir)[3])
+    each = F.array(*[F.struct(F.lit(f).alias("model"), F.col(f).cast("double").alias("p1")) for f in FIELDS])
+    long = s.select("y_true", F.explode(each).alias("m")).select("m.model", "m.p1", F.col("y_true").cast("double").alias("label"))
+    return long.where("p1 is not null").withColumn("prediction", (F.col("p1") > SCORER_LIMIT).cast("double"))
+
+
+@register("scorer_evaluation", _SCORER_WITH + (
+    f"select model, cast(sum(pos + neg) as bigint) as n, {d6('sum(ok) / sum(pos + neg)')} as accuracy, "
+    f"{d6('case when sum(pos) * sum(neg) > 0 then sum(pos * (neg_before + 0.5 * neg)) / (sum(pos) * sum(neg)) end')} as auc from sg2 group by model"
+))
+def q_scorer_evaluation(spark, sf_dir):
+    """M6 / M9 of every model of one table of predictions."""
+    r = MO.evaluation(_scorers(spark, sf_dir))
+    return r.select("model", "n", r6("accuracy").alias("accuracy"), r6("auc").alias("auc"))
+
+
+@register("scorer_roc", _SCORER_WITH + (
+    f"select model, {d6('score')} as threshold, "
+    f"{d6('(sum(neg) over (partition by model) - neg_before) / nullif(sum(neg) over (partition by model), 0)')} as fpr, "
+    f"{d6('(sum(pos) over (partition by model) - pos_before) / nullif(sum(pos) over (partition by model), 0)')} as tpr from sg2"
+))
+def q_scorer_roc(spark, sf_dir):
+    """M7 of every model of one table of predictions."""
+    r = MO.model_roc(_scorers(spark, sf_dir))
+    return r.select("model", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
 # --------------------------------------------------------------------------
@@ -777,6 +926,9 @@ def q_case_covariance(spark, sf_dir):
     )
 
 
+_LABELLED = f"(select vec_id as case_id, label < {SI.SERIES_TARGET_BELOW} as dead from embeddings)"
+
+
 @register("stratified_folds", (
     f"select case_id, dead, cast(ntile({K_FOLDS}) over (partition by dead order by case_id) - 1 as int) as fold "
     f"from (select vec_id as case_id, label < {SI.SERIES_TARGET_BELOW} as dead from embeddings)"
@@ -786,10 +938,20 @@ def q_stratified_folds(spark, sf_dir):
     return FO.stratified_folds(d, "dead", ["case_id"], K_FOLDS).select("case_id", "dead", "fold")
 
 
-_LABELLED = f"(select vec_id as case_id, label < {SI.SERIES_TARGET_BELOW} as dead from embeddings)"
 _SEEDED = "md5(concat(cast(case_id as varchar), ':42')), case_id"
 
 
+@register("fold_counts", (
+    f"select fold, dead, count(*) as n from (select dead, cast(ntile({K_FOLDS}) over (partition by dead order by case_id) - 1 as int) as fold "
+    f"from {_LABELLED}) group by fold, dead"
+))
+def q_fold_counts(spark, sf_dir):
+    """M5: rows of each class in each fold."""
+    d = _series(spark, sf_dir).select("case_id", "dead")
+    folds = FO.stratified_folds(d, "dead", ["case_id"], K_FOLDS)
+    return folds.groupBy("fold", "dead").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("stratified_split", (
     f"select *, fold = 0 as is_valid from (select case_id, dead, cast(ntile({K_SPLIT}) over "
     f"(partition by dead order by {_SEEDED}) - 1 as int) as fold from {_LABELLED})"
@@ -826,10 +988,10 @@ FORM_FEATURES = [f for f in FIELDS if f != SI.FORM_SCORE_FIELD]
 
 def _form_dataset(spark, sf_dir):
     """Label-encoded form fields with the death target, split 2/3 train, 1/3 validation."""
-    forms, mat, pmap, resultf = _score_inputs(spark, sf_dir)
+    forms, mat, pmap, outcome = _score_inputs(spark, sf_dir)
     catalogue = SC.catalogue_from_values(SC.form_long(forms))
-    enc = SC.label_encode(resultf, "id_form_ndaj1", FORM_FEATURES, catalogue)
-    target = resultf.select("id_form_ndaj1", F.col("dt_deces").isNotNull().alias("dead"))
+    enc = SC.label_encode(outcome, "id_form_ndaj1", FORM_FEATURES, catalogue)
+    target = outcome.select("id_form_ndaj1", F.col("dt_deces").isNotNull().alias("dead"))
     data = enc.join(target, "id_form_ndaj1")
     split = FO.stratified_split(data, "dead", "id_form_ndaj1", K_SPLIT)
     feats = MO.materialise(MO.assemble(split, FORM_FEATURES, "dead"))
@@ -858,6 +1020,53 @@ def q_cross_validation(spark, sf_dir):
     return MO.cross_val_accuracy(MO.logistic(0.9, train.count()), folded, "fold", K_FOLDS)
 
 
+def _tangent_dataset(spark, sf_dir):
+    """Tangent vectors of the 4-variable covariances as features, and the outcome; two thirds to train."""
+    t, _ = MO.tangent_space(_cov_dataset(spark, sf_dir), "cov", N_VOI_SERIES)
+    feats = MO.materialise(MO.array_features(t, "tangent", "dead").select("case_id", "dead", "is_valid", MO.FEATURES, MO.LABEL))
+    return feats.where(~F.col("is_valid")), feats.where(F.col("is_valid"))
+
+
+@register("tangent_svm")
+def q_tangent_svm(spark, sf_dir):
+    """L1 linear machine on tangent features, calibrated out of fold."""
+    train, valid = _tangent_dataset(spark, sf_dir)
+    pred = SV.CalibratedL1SVC("case_id", 0.78).fit(train).transform(valid)
+    return M.accuracy_auc(pred, F.col("prediction") == 1.0, "p1", F.col(MO.LABEL) == 1.0)
+
+
+@register("tangent_boosting")
+def q_tangent_boosting(spark, sf_dir):
+    """Boosting on tangent features."""
+    train, valid = _tangent_dataset(spark, sf_dir)
+    return MO.validate(MO.boosting(100, 1), train, valid)
+
+
+def _tangent_predictions(spark, sf_dir):
+    """Out-of-fold predictions of three models on the tangent features."""
+    train, _ = _tangent_dataset(spark, sf_dir)
+    folded = MO.materialise(FO.stratified_folds(train, "dead", ["case_id"], K_SPLIT))
+    n = folded.count()
+    models = {
+        "logistic": MO.logistic(1.0, n).fit,
+        "tree": MO.decision_tree(50).fit,
+        "svm": lambda rows: SV.CalibratedL1SVC("case_id", 0.78).fit(rows),
+    }
+    return MO.predictions(models, MO.fold_pairs(folded, "fold", K_SPLIT), "case_id")
+
+
+@register("model_evaluation")
+def q_model_evaluation(spark, sf_dir):
+    """M5 / M6: n, accuracy and AUC of each model on each held-out fold."""
+    return MO.evaluation(_tangent_predictions(spark, sf_dir), ["model", "fold"])
+
+
+@register("model_roc")
+def q_model_roc(spark, sf_dir):
+    """M7: ROC points of each model."""
+    return MO.model_roc(_tangent_predictions(spark, sf_dir))
+
+
 def _cov_dataset(spark, sf_dir):
     s = FE.add_covariance(FE.scale_points(_series(spark, sf_dir)), "scaled", "cov", 0, ALPHA)
     return MO.materialise(FO.stratified_split(s.select("case_id", "dead", "cov"), "dead", "case_id", K_SPLIT))
@@ -885,6 +1094,141 @@ def q_nearest_mean(spark, sf_dir):
     return pred.select("case_id", "dead", "prediction", "p1")
 
 
+@register("neighbour_vote")
+def q_neighbour_vote(spark, sf_dir):
+    """Vote of the nearest neighbours of each validation case among the training cases."""
+    d = _cov_dataset(spark, sf_dir)
+    found = NB.nearest_neighbours(d.where(~F.col("is_valid")), d.where(F.col("is_valid")), "cov", "case_id", "dead", N_VOI_SERIES)
+    return NB.neighbour_vote(found, "case_id")
+
+
+# Matrix geometry of the first two variables in closed form, with DuckDB twins.
+
+_LN = ("ln({0})", "1 / {0}")
+_EXP = ("exp({0})", "exp({0})")
+_ROOT = ("sqrt({0})", "0.5 / sqrt({0})")
+_INVERSE_ROOT = ("1 / sqrt({0})", "-0.5 / ({0} * sqrt({0}))")
+
+
+def _sym_sql(source: str, function: tuple[str, str], keep: str = "") -> str:
+    """A function of the symmetric matrix (a, b, c) of each row of ``source``."""
+    f, slope = function
+    hi, lo = f.format("(t + r)"), f.format("(t - r)")
+    return (
+        f"(select {keep}p + q * a as a, q * b as b, p + q * c as c from (select *, ({hi} + {lo}) / 2 - q * t as p from "
+        f"(select *, case when r > 1e-12 * abs(t) then ({hi} - {lo}) / (2 * r) else {slope.format('t')} end as q from "
+        f"(select *, (a + c) / 2 as t, sqrt((a - c) / 2 * ((a - c) / 2) + b * b) as r from {source}))))"
+    )
+
+
+def _between_sql(k: str, m: str, keep: str = "", on: str = "true") -> str:
+    """``k m k`` for the matrices of ``m`` and the matrix ``k``."""
+    return (
+        f"(select {keep}(k.a * m.a + k.b * m.b) * k.a + (k.a * m.b + k.b * m.c) * k.b as a, "
+        "(k.a * m.a + k.b * m.b) * k.b + (k.a * m.b + k.b * m.c) * k.c as b, "
+        f"(k.b * m.a + k.c * m.b) * k.b + (k.b * m.b + k.c * m.c) * k.c as c from {m} m join {k} k on {on})"
+    )
+
+
+_MEAN = "avg(a) as a, avg(b) as b, avg(c) as c"
+_PAIR_CTES = {
+    **_SERIES_CTES,
+    "pair": (
+        f"select p.case_id, any_value(p.dead) as dead, covar_pop(p.y, p.y) + {ALPHA} as a, covar_pop(p.y, q.y) as b, "
+        f"covar_pop(q.y, q.y) + {ALPHA} as c from sc p join sc q on p.case_id = q.case_id and p.i = q.i and p.v = 0 and q.v = 1 group by p.case_id"
+    ),
+}
+AFFINE_ROUNDS, WASSERSTEIN_ROUNDS = 12, 45
+NEIGHBOUR_EVERY = 20  # cases that ask for neighbours
+
+
+def _affine_rounds() -> dict[str, str]:
+    ctes = {"mean_0": f"select {_MEAN} from pair"}
+    for r in range(AFFINE_ROUNDS):
+        ctes[f"inverse_{r}"] = "select * from " + _sym_sql(f"mean_{r}", _INVERSE_ROOT)
+        ctes[f"step_{r}"] = f"select {_MEAN} from " + _sym_sql(_between_sql(f"inverse_{r}", "pair"), _LN)
+        ctes[f"mean_{r + 1}"] = "select * from " + _between_sql(_sym_sql(f"mean_{r}", _ROOT), _sym_sql(f"step_{r}", _EXP))
+    return ctes
+
+
+def _materialized(ctes: dict[str, str]) -> str:
+    return "with recursive " + ",\n".join(f"{k} as {'' if '(' in k else 'materialized '}({v})" for k, v in ctes.items()) + "\n"
+
+
+_TANGENT_SQL = _materialized(
+    {**_PAIR_CTES, **_affine_rounds(), "inverse": "select * from " + _sym_sql(f"mean_{AFFINE_ROUNDS}", _INVERSE_ROOT)}
+) + (
+    f"select case_id, dead, {d6('a')} as t_1, {d6('b * sqrt(2)')} as t_2, {d6('c')} as t_3 from "
+    + _sym_sql(_between_sql("inverse", "pair", "case_id, dead, "), _LN, "case_id, dead, ")
+)
+
+
+def _pair_dataset(spark, sf_dir):
+    """Loaded covariance of the first two variables of each case, as a struct (a, b, c), stored once."""
+    s = _series(spark, sf_dir)
+    scaled = FE.scale_points(s).withColumn("scaled", F.slice("scaled", 1, 2))
+    cov = FE.add_covariance(scaled, "scaled", "cov", 0, ALPHA).select("case_id", "dead", "cov")
+    return MO.materialise(cov.select("case_id", "dead", SPD.Sym.of(F.col("cov")).struct().alias("m")))
+
+
+@register("tangent_pair", _TANGENT_SQL)
+def q_tangent_pair(spark, sf_dir):
+    """M18 in closed form: affine-invariant mean and tangent vectors of 2 x 2 covariances."""
+    d = _pair_dataset(spark, sf_dir)
+    t = SPD.tangent(d, "m", SPD.affine_mean(d, "m"))
+    return t.select("case_id", "dead", *[r6(F.element_at("tangent", k)).alias(f"t_{k}") for k in (1, 2, 3)])
+
+
+@register("neighbours_pair", _materialized(_PAIR_CTES) + (
+    f"select case_id, cast(row_number() over w as int) as rank, neighbour, {d6('distance')} as distance, neighbour_label from ("
+    "select *, sqrt(ln(tr / 2 + e) ** 2 + ln(tr / 2 - e) ** 2) as distance from ("
+    "select q.case_id, x.case_id as neighbour, cast(x.dead as int) as neighbour_label, "
+    "(q.c * x.a - 2 * q.b * x.b + q.a * x.c) / (q.a * q.c - q.b * q.b) as tr, "
+    "(x.a * x.c - x.b * x.b) / (q.a * q.c - q.b * q.b) as det, sqrt(greatest(tr * tr / 4 - det, 0)) as e "
+    f"from pair q join pair x on q.case_id != x.case_id where q.case_id % {NEIGHBOUR_EVERY} = 0)) "
+    "window w as (partition by case_id order by distance, neighbour) qualify rank <= 5"
+))
+def q_neighbours_pair(spark, sf_dir):
+    """Five nearest 2 x 2 covariances of every twentieth case, among all cases."""
+    s = _series(spark, sf_dir)
+    scaled = FE.scale_points(s).withColumn("scaled", F.slice("scaled", 1, 2))
+    d = MO.materialise(FE.add_covariance(scaled, "scaled", "cov", 0, ALPHA).select("case_id", "dead", "cov"))
+    found = NB.nearest_neighbours(d, d.where(F.col("case_id") % NEIGHBOUR_EVERY == 0), "cov", "case_id", "dead", 2)
+    return found.select("case_id", "rank", "neighbour", r6("distance").alias("distance"), "neighbour_label")
+
+
+_CLASS_CTES = {
+    **_PAIR_CTES,
+    "rounds(n, dead, a, b, c)": (
+        "select 0, dead, a, b, c from " + _sym_sql(f"(select dead, {_MEAN} from pair group by dead)", _ROOT, "dead, ") + " union all "
+        "select n + 1, dead, a, b, c from "
+        + _sym_sql(
+            f"(select n, dead, {_MEAN} from "
+            + _sym_sql(_between_sql("rounds", "pair", "k.n, k.dead, ", f"k.dead = m.dead and k.n < {WASSERSTEIN_ROUNDS}"), _ROOT, "n, dead, ")
+            + " group by n, dead)",
+            _ROOT, "n, dead, ",
+        )
+    ),
+    "roots": f"select dead, a, b, c from rounds where n = {WASSERSTEIN_ROUNDS}",
+    # the root of a class mean is kept, the mean is its square
+    "away": (
+        "select x.case_id, x.real, x.dead, greatest(p.a + p.c + r.a * r.a + 2 * r.b * r.b + r.c * r.c "
+        "- 2 * sqrt(x.a + x.c + 2 * sqrt(greatest(x.a * x.c - x.b * x.b, 0))), 0) as d from "
+        + _between_sql("roots", "pair", "m.case_id, m.dead as real, k.dead, ") + " x join pair p on p.case_id = x.case_id join roots r on r.dead = x.dead"
+    ),
+}
+
+
+@register("nearest_mean_pair", _materialized(_CLASS_CTES) + (
+    f"select case_id, real as dead, cast(arg_min(dead, d) as int)::double as prediction, "
+    f"{d6('max(exp(-d)) filter (where dead) / sum(exp(-d))')} as p1 from away group by case_id, real"
+))
+def q_nearest_mean_pair(spark, sf_dir):
+    """M19 in closed form: nearest Wasserstein class mean of 2 x 2 covariances."""
+    d = _pair_dataset(spark, sf_dir)
+    return SPD.nearest_mean(d, d, "m", "dead").select("case_id", "dead", "prediction", r6("p1").alias("p1"))
+
+
 # --------------------------------------------------------------------------
 # SQL path, previews, checks and row statistics
 
@@ -926,6 +1270,26 @@ def q_frame_shape(spark, sf_dir):
     return P.frame_shape(P.counter_matrix(plan(spark, sf_dir).profile(), CODES))
 
 
+DUPLICATE_FIELDS = 4
+_FOLDED_CTES = {
+    "folded": (
+        f"select * replace (case when champ_formulaire like 'int_esc_%' then concat('int_esc_', cast(cast(right(champ_formulaire, 1) as int) % {DUPLICATE_FIELDS} as varchar)) "
+        "else champ_formulaire end as champ_formulaire) from lng"
+    ),
+}
+
+
+@register("form_duplicates_folded", _FORM_WITH[:-1] + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in _FOLDED_CTES.items()) + (
+    "\nselect id_form_ndaj1, champ_formulaire, count(*) as n from folded group by id_form_ndaj1, champ_formulaire having count(*) > 1"
+))
+def q_form_duplicates_folded(spark, sf_dir):
+    """A13 report on forms whose fields are folded onto fewer names, so that many have several rows."""
+    long = SC.form_long(SI.forms(spark, sf_dir))
+    f = F.col("champ_formulaire")
+    number = (F.right(f, F.lit(1)).try_cast("int") % DUPLICATE_FIELDS).cast("string")
+    return SC.form_duplicates(long.withColumn("champ_formulaire", F.when(f.like("int_esc_%"), F.concat(F.lit("int_esc_"), number)).otherwise(f)))
+
+
 @register("form_duplicates", _FORM_WITH + (
     "select id_form_ndaj1, champ_formulaire, count(*) as n from lng group by id_form_ndaj1, champ_formulaire "
     "having count(*) > 1"

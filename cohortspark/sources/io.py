@@ -7,9 +7,10 @@ driver except row counts and existence checks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,9 +72,9 @@ def _quote(name: str) -> str:
     return ".".join(f"`{p.replace('`', '``')}`" for p in name.split("."))
 
 
-def save_cohort(cohort: DataFrame, path: str, vois: Sequence[str], mode: str = "overwrite") -> None:
-    """Persist the selected cohort (stay, entry date, VOI counts, death, bounds)."""
-    cols = ["id_nda", "j1", *vois, "dt_deces", "dt_min", "dt_max", "stay_len"]
+def save_cohort(cohort: DataFrame, path: str, vois: Sequence[str], mode: str = "overwrite", with_age: bool = False) -> None:
+    """Persist the selected cohort (stay, entry date, VOI counts, death, bounds); the earlier variant has the age too."""
+    cols = ["id_nda", "j1", *vois, *(["age"] if with_age else []), "dt_deces", "dt_min", "dt_max", "stay_len"]
     write_parquet(cohort.select(*cols), path, mode=mode)
 
 
@@ -82,6 +83,43 @@ def save_dataset(dataset: DataFrame, path: str, mode: str = "overwrite") -> None
     write_parquet(dataset, path, mode=mode)
 
 
+def save_blocks(dataset: DataFrame, path: str, block: str = "block") -> None:
+    """Write a dataset as one folder per block; only the blocks that ``dataset`` has are replaced.
+
+    Rows are dealt to tasks by block and by their own hash, so that a block is
+    written by several tasks and a lost one is rebuilt by writing it alone.
+    """
+    spread = dataset.repartition(F.col(block), F.pmod(F.xxhash64(*[c for c in dataset.columns if c != block]), F.lit(BLOCK_FILES)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(block).parquet(path)
+
+
+BLOCK_FILES = 4  # files a block is written in, at most
+
+
+def missing_blocks(spark: SparkSession, path: str, nb_splits: int, block: str = "block") -> list[int]:
+    """Block numbers of ``0..nb_splits-1`` that have no folder yet (partition values only, no data is read)."""
+    try:
+        there = {int(r[0]) for r in spark.read.parquet(path).select(block).distinct().collect()}  # nb_splits rows at most
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        there = set()
+    return sorted(set(range(nb_splits)) - there)
+
+
+def build_blocks(spark: SparkSession, path: str, nb_splits: int, build: Callable[[list[int]], DataFrame], block: str = "block") -> list[int]:
+    """Build and write the blocks that are missing; returns their numbers. A second call finds nothing to do.
+
+    ``build`` makes the rows of the given blocks, all in one plan. A block
+    without any row leaves no folder and is asked for again, which costs a
+    plan that finds nothing.
+    """
+    missing = missing_blocks(spark, path, nb_splits, block)
+    if missing:
+        save_blocks(build(missing), path, block)
+    return missing
+
+
 def case_view(cases: DataFrame, name: str) -> None:
     """Hand a set of case ids to SQL users as a temp view."""
     cases.createOrReplaceTempView(name)
