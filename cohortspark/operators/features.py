@@ -87,16 +87,16 @@ def add_covariance(
     n = F.size(s)
     idx = F.sequence(F.lit(0), n - 1)
     pairs = F.flatten(F.transform(idx, lambda a: F.transform(F.sequence(a, n - 1), lambda b: _pair_cov(s[a], s[b], ddof))))
-    half = df.withColumn("_pairs", F.when(n > 0, pairs))
 
-    def entry(a: Column, b: Column) -> Column:
+    def entry(done: Column, a: Column, b: Column) -> Column:
         low, high = F.least(a, b), F.greatest(a, b)
         # the pairs of the first `low` waves come before
         at = (low * n - low * (low - 1) / 2 + high - low).cast("int")
-        return F.col("_pairs")[at] + F.when(a == b, F.lit(alpha)).otherwise(F.lit(0.0))
+        return done[at] + F.when(a == b, F.lit(alpha)).otherwise(F.lit(0.0))
 
-    cov = F.transform(idx, lambda a: F.transform(idx, lambda b: entry(a, b)))
-    return half.withColumn(out, F.when(n > 0, cov).otherwise(F.when(n == 0, F.array().cast("array<array<double>>")))).drop("_pairs")
+    # the pairs are bound to a variable, so that no entry computes them anew
+    cov = F.transform(F.array(pairs), lambda done: F.transform(idx, lambda a: F.transform(idx, lambda b: entry(done, a, b))))[0]
+    return df.withColumn(out, F.when(n > 0, cov).otherwise(F.when(n == 0, F.array().cast("array<array<double>>"))))
 
 
 def matrix_long(df: DataFrame, keys: list[str], matrix: str, names: tuple[str, str, str]) -> DataFrame:

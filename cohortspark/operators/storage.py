@@ -29,9 +29,10 @@ SLOT = "slot"
 def hot_stays(readings: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame | None:
     """(id_nda text, slots) of the stays with more readings than a slot holds; None if there are none."""
     counts = readings.groupBy(F.col("id_nda").cast("string").alias("id_nda")).agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= slot_rows:
+        return None
     hot = counts.where(F.col("n") > slot_rows).select("id_nda", F.ceil(F.col("n") / slot_rows).cast("int").alias("slots"))
-    hot = materialise(hot, "hot-stays")
-    return None if hot.isEmpty() else hot
+    return materialise(hot, "hot-stays")
 
 
 def slotted(readings: DataFrame, hot: DataFrame | None, dealt_by: Sequence[str | Column]) -> DataFrame:
@@ -50,15 +51,16 @@ def over_slots(cases: DataFrame, hot: DataFrame | None) -> DataFrame:
     return joined.withColumn(SLOT, F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
 
 
-def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None = None, dealt: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as a catalog table bucketed and sorted by ``keys``; returns the table.
 
     The rows are dealt to the buckets once, so that each bucket is one file.
+    ``dealt``: they lie so already, as rows of another such table do.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     root = ensure_checkpoint_dir(spark).rstrip("/")
     full = f"cohortspark_{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer = (df if dealt else df.repartition(buckets, *keys)).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", f"{root}/cohortspark-tables/{full}").saveAsTable(full)
     return spark.table(full)

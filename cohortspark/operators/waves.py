@@ -20,7 +20,9 @@ Semantics (per case, per VOI wave):
 Scale: readings are reduced per (case, VOI, point) with partial
 aggregation before any shuffle, so a case holding many readings does not
 become one task. After binning a wave has at most ``nb_pts`` rows, so the
-fill windows and the packing are bounded per group.
+fill windows and the packing are bounded per group. From a table bucketed by
+case the whole way from the readings to the packed series has no exchange but
+those of the cohort's few rows a case.
 """
 
 from __future__ import annotations
@@ -117,22 +119,28 @@ def resample(
     """
     slot = [ST.SLOT] if ST.SLOT in readings.columns else []
     routed = route_to_voi(spark, readings.select(*CASE, *slot, "id_measure_type", "dt_insert", "value_numeric"), vois)
-    bases = wave_bases(routed, case_steps(ranges, nb_pts), vois)
+    steps = case_steps(ranges, nb_pts)
+    bases = wave_bases(routed, steps, vois)
     wave = F.element_at("waves", F.col("voi_idx") + 1)
     idx = F.floor(_micros(wave["origin"], F.col("dt_insert")) / F.col("step_us")) - wave["b0"]
     points = (
         routed.join(ST.over_slots(bases, hot) if slot else bases, [*CASE, *slot])
-        .select(*CASE, "voi", "voi_idx", "dead", idx.cast("int").alias("i"), F.col("value_numeric").alias("v"))
+        .select(*CASE, "voi_idx", idx.cast("int").alias("i"), F.col("value_numeric").alias("v"))
         .where((F.col("i") >= 0) & (F.col("i") < nb_pts))
+        .groupBy(*CASE, "voi_idx", "i")
+        .agg(F.avg("v").alias("y"), F.count("v").alias("n"))
     )
-    grid = bases.select(*CASE, "dead", F.explode("waves").alias("w")).select(
-        *CASE, "w.voi", "w.voi_idx", "dead", F.explode(F.sequence(F.lit(0), F.lit(nb_pts - 1))).alias("i"),
-        F.lit(None).cast("double").alias("v"),
-    )
-    return (
-        points.unionByName(grid)
-        .groupBy(*CASE, "voi", "voi_idx", "dead", "i")
-        .agg(F.avg("v").alias("y_mean"), F.count("v").alias("n_readings"))
+    # a case's points, at most nb_pts a VOI, meet its grid as one value: the grid itself is never shuffled
+    waves = points.groupBy(*CASE, "voi_idx").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("y", "n")))).alias("pts"))
+    cases = waves.groupBy(*CASE).agg(F.map_from_entries(F.collect_list(F.struct("voi_idx", "pts"))).alias("waves"))
+    names = F.array(*[F.struct(F.lit(v).alias("voi"), F.lit(i).alias("voi_idx")) for i, v in enumerate(vois)])
+    each = F.transform(names, lambda w: F.struct(w["voi"].alias("voi"), w["voi_idx"].alias("voi_idx"), F.try_element_at("waves", w["voi_idx"]).alias("pts")))
+    wave_rows = steps.join(cases, CASE, "left").select(*CASE, "dead", F.explode(each).alias("w"))
+    at = F.sequence(F.lit(0), F.lit(nb_pts - 1))
+    grid = F.transform(at, lambda i: F.struct(i.alias("i"), F.try_element_at(F.col("w.pts"), i).alias("p")))
+    rows = wave_rows.select(*CASE, F.col("w.voi").alias("voi"), F.col("w.voi_idx").alias("voi_idx"), "dead", F.explode(grid).alias("g"))
+    return rows.select(
+        *CASE, "voi", "voi_idx", F.col("g.i").alias("i"), F.col("g.p.y").alias("y_mean"), F.coalesce("g.p.n", F.lit(0).cast("long")).alias("n_readings"), "dead"
     )
 
 
@@ -157,7 +165,11 @@ def fill_column(
 
 
 def fill(resampled: DataFrame, gap_limit: int = DEFAULT_GAP_LIMIT) -> DataFrame:
-    """Resampled grid → filled value ``y`` per point."""
+    """Resampled grid → filled value ``y`` per point.
+
+    ``resample`` leaves its rows dealt by case, so neither the fill's windows
+    nor the packing after them need an exchange.
+    """
     return resampled.withColumn("y", fill_column(gap_limit=gap_limit))
 
 

@@ -150,7 +150,7 @@ class CohortPlan:
         def build():
             cases = ST.over_slots(self.cohort().select("id_nda", F.col("j1").alias("dt_deb")), self.hot_stays())
             rows = self.stored_staged().where(S.not_cancelled()).join(cases, self._keys(), "left_semi")
-            return ST.bucketed(rows, "useful", self._keys()) if "useful" in self.store else rows
+            return ST.bucketed(rows, "useful", self._keys(), dealt=True) if "useful" in self.store else rows
 
         return self._memo("stored_useful", build)
 
