@@ -24,13 +24,13 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import utf8, written
@@ -61,15 +61,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: Sequence[Column] = ()) -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed 64-bit number; with ``keys`` (long columns) those too, as k0, k1, ..."""
+    names = [f"k{i}" for i in range(len(keys))]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("t")), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *(b.column(n) for n in names)], names=["doc_id", "fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("t")).mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[k.alias(n) for k, n in zip(keys, names)], utf8(docs["text"]).alias("t"))
+    return rows.mapInArrow(make, ", ".join(f"{n} long" for n in ["doc_id", "fp", *names]))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -183,13 +185,18 @@ def similar(classes: DataFrame, bits: int = MOST_BITS, shard: int = SHARD, sampl
     return components(sent.groupBy("leaf", "piece").applyInPandas(search, "a long, b long"))
 
 
+def _grouped(fps: DataFrame, first: Column, bits: int) -> DataFrame:
+    """Written: each fingerprint with its group and the least ``first`` of its rows."""
+    classes = written(fps.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-classes")
+    groups = similar(classes.select("fp"), bits)
+    named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    return written(named.select("fp", "first", "group"), "fingerprint-groups")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = MOST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id of the group)."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    groups = similar(classes.select("fp"), bits)
-    named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    named = written(named.select("fp", "first", "group"), "fingerprint-groups")
+    named = _grouped(fps, F.col("doc_id"), bits)
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     of_fp = written(named.join(least, "group").select("fp", "component_id"), "group-names")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
@@ -198,9 +205,15 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = MOST_BIT
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = MOST_BITS) -> DataFrame:
     """One row of each group, with all its columns: that with the smallest doc_id.
 
-    Of rows that repeat this id one stays. Rows without an id cannot be named
-    as a group's row: of those with equal text one stays.
+    Rows without an id come after those with one; of rows with equal ids that
+    with the smaller hash of id and text stays, and of rows equal in both any
+    one.
     """
-    kept = simhash_groups(docs, shingle, bits).select(F.col("component_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()).dropDuplicates(["text"]))
+    name = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
+    keys = [F.xxhash64(name, utf8(docs["text"])), F.xxhash64(F.lit(1), utf8(docs["text"]), name)]
+    fps = written(fingerprints(docs, shingle, keys), "fingerprints")
+    named = _grouped(fps, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k0", "k1"), bits)
+    kept = written(named.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.k0").alias("_k0"), F.col("first.k1").alias("_k1")), "kept")
+    rows = docs.withColumns({"_row_k0": keys[0], "_row_k1": keys[1]})
+    there = rows.join(kept, (F.col("_row_k0") == F.col("_k0")) & (F.col("_row_k1") == F.col("_k1")), "left_semi")
+    return there.dropDuplicates(["_row_k0", "_row_k1"]).drop("_row_k0", "_row_k1")

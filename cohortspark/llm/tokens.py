@@ -36,6 +36,26 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _BlankUnit(Exception):
+    """A unit that starts or ends with a blank, or none between two spaces: the text must be cut elsewhere."""
+
+
+class _Units(dict):
+    """Ids of the units between single spaces, each encoded with the space before it; a new one is encoded when it is met."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.encoder.cached_units:
+            self.clear()
+        ids = self.encoder.unit(unit)
+        if len(unit) <= CACHED_CHARS:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """``ids(text)``: little-endian unsigned 32-bit ids as bytes."""
 
@@ -46,7 +66,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self._units: dict[str, bytes] = {}  # what stands between two single spaces, encoded with the first of them
+        self._tokenize = self.model.tokenize
+        self._units = _Units(self)
         self._marks = {x: self._piece(x) for x in ".,;:!?\n"} | {"": b"", None: b""}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -60,20 +81,23 @@ class Encoder:
             coded = self.model.tokenize(text.encode().decode("latin-1").translate(BYTES))
         return array("I", [t.id for t in coded]).tobytes()
 
-    def _learn(self, units: set[str]) -> bool:
-        """Keep the ids of new units; False if one starts or ends with a blank, or there is none between two spaces."""
-        known, rest, marks, piece = self._units, [], self._marks, self._piece
-        for u in units:
-            m = PLAIN.fullmatch(u)
-            if m is None:
-                rest.append(u)
-                continue
-            word, mark, line, word2, mark2 = m.groups()
-            known[u] = piece(" " + word) + marks[mark] + marks[line] + piece(word2) + marks[mark2] if line else piece(" " + word) + marks[mark]
-        if any(not u or u[0].isspace() or u[-1].isspace() for u in rest):
-            return False
-        known.update(zip(rest, self._encoded([" " + u for u in rest])))
-        return True
+    def unit(self, unit: str) -> bytes:
+        """Ids of a space and the unit after it."""
+        if unit.isascii():  # most units: a word, perhaps with a mark that it may be known without
+            if unit.isalpha():
+                return array("I", [t.id for t in self._tokenize("\u0120" + unit)]).tobytes()
+            if unit[:-1].isalpha() and unit[-1] in ".,;:!?":
+                return self._units[unit[:-1]] + self._marks[unit[-1]]
+        m = PLAIN.fullmatch(unit)
+        if m is None:
+            if not unit or unit[0].isspace() or unit[-1].isspace():
+                raise _BlankUnit
+            return self._encoded([" " + unit])[0]
+        word, mark, line, word2, mark2 = m.groups()
+        if not mark and not line:
+            return self._piece(" " + word)
+        ids = self._units[word] + self._marks[mark]
+        return ids + self._marks[line] + self._piece(word2) + self._marks[mark2] if line else ids
 
     def _first(self, unit: str) -> bytes:
         m = PLAIN.fullmatch(unit)
@@ -86,20 +110,10 @@ class Encoder:
         first = units.pop(0)
         if not units or not first or first[-1].isspace():
             return self._by_boundary(text)
-        head = self._first(first)
         try:
-            return head + b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        distinct = set(units)
-        if len(known) + len(distinct) > self.cached_units:
-            known.clear()
-        if not self._learn(distinct.difference(known)):
-            return self._by_boundary(text)  # blanks next to each other
-        out = head + b"".join(map(known.__getitem__, units))
-        for u in [u for u in distinct if len(u) > CACHED_CHARS]:
-            del known[u]
-        return out
+            return self._first(first) + b"".join(map(known.__getitem__, units))
+        except _BlankUnit:
+            return self._by_boundary(text)
 
     def _by_boundary(self, text: str) -> bytes:
         units = UNIT.split(text)

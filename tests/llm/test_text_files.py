@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import os
+import random
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 
 from cohortspark.llm import chat, decontaminate, warc
 from cohortspark.llm.common import shared_path
+from cohortspark.llm.tokens import vocabulary
 
 
 def words(text):
@@ -201,3 +203,42 @@ def test_mask_covers_turns_exactly():
     assert [(s["first"], s["last"]) for s in loss] == [tuple(x) for x in own.tolist()]
     touches = [any(a < e and s < b for s, e in own) for a, b in offsets]
     assert mask.tolist() == touches
+
+
+def whole_ids(formatted):
+    """Per conversation, in the order of its segments: text, ids and mask."""
+    out = {}
+    for r in formatted.orderBy("conv_id", "block", "piece").collect():
+        one = out.setdefault(r.conv_id, ["", [], [], 0, []])
+        at = len(one[0])
+        one[0] += r.formatted
+        one[1] += r.input_ids
+        one[2] += r.loss_mask
+        one[3] += r.n_turns
+        one[4] += [(t["role"], at + t["first"], at + t["last"]) for t in r.turns]
+    return {k: (t, i, m, n, sorted(s, key=lambda x: x[1])) for k, (t, i, m, n, s) in out.items()}
+
+
+@pytest.mark.parametrize("turns, chars", [(8, 30), (1, 10), (3, 100_000), (10_000, 40)])
+def test_cut_conversations_have_the_ids_of_whole_ones(spark, corpus, turns, chars):
+    rnd = random.Random(turns)
+    bodies = ["", " ", "a", "><", "</s>", "two words", " lead", "trail ", "no-blank" * 9, "[INST] x [/INST]", "é🙂 ü  double", "line\n line", "\u00a0 x y"]
+    rows = [(c, t, rnd.choice(["user", "assistant", "system"]), rnd.choice(bodies)) for c in range(-6, -1) for t in range(40)]
+    rows += [(-7, t, "assistant", "><") for t in range(60)]  # nowhere to cut
+    rows += [(-8, t * 1000, "user", f"far apart {t}") for t in range(5)] + [(None, 0, "user", "x y"), (None, 50, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.unionByName(corpus("conversations").selectExpr("conv_id", "cast(turn as long) turn", "role", "text"))
+    cut = whole_ids(chat.format_conversations(df, turns=turns, chars=chars))
+    encode = chat.tokenizer(vocabulary()).encode
+    every = {}
+    for r in df.collect():
+        every.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    assert cut.keys() == every.keys()
+    for conv, said in every.items():
+        text, spans = chat.render([x[1:] for x in sorted(said)])
+        whole = encode(text, add_special_tokens=False)
+        own = np.array([(s["first"], s["last"]) for s in spans if s["role"] == "assistant" and s["last"] > s["first"]], np.int64).reshape(-1, 2)
+        mask, _ = chat.masked(np.array(whole.offsets, np.int64).reshape(-1, 2), own)
+        assert cut[conv][0] == text and cut[conv][1] == whole.ids and cut[conv][2] == mask.tolist() and cut[conv][3] == len(said)
+        assert cut[conv][4] == [(s["role"], s["first"], s["last"]) for s in spans]
+    check_chat(df)
