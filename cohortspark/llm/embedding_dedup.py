@@ -20,8 +20,11 @@ missed.
 
 Equal vectors form one class before anything else, so copies cost nothing. A
 filter with many classes is dealt into blocks, a task for each pair of
-blocks. A pair is reported by the first filter it shares only, so links are
-distinct without a further shuffle.
+blocks. A pair counts for the first filter it shares only, so links are
+distinct without a further shuffle. Pairs never leave their task: it returns,
+for each filter, how many links each of its vectors has found and a forest over
+them, so what is written grows with the vectors in the filters, not with their
+pairs.
 
 Edge cases: a vector that is null or empty, is zero, or has a null or
 non-finite component links with nothing and is its own component; vectors of
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import partitions, written
-from cohortspark.llm.components import components
+from cohortspark.llm.components import components, forest
 
 COSINE = 0.9
 BUCKET, SHARED = 48, 18  # vectors a filter should hold; filters a pair should share, to begin with
@@ -164,7 +167,11 @@ def _compared(x: np.ndarray, lists: list[np.ndarray], filter_id: int, left: np.n
 
 
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``classes`` (node, copies, v) to links (a, copies_a, b, copies_b) between different classes, each once."""
+    """Links between different classes of ``classes`` (node, copies, v), as rows (a, b, n).
+
+    With ``n`` over 0 node ``a`` has that many linked vectors (``b`` is null);
+    with 0 the row is an edge of a forest over linked nodes.
+    """
     spark = classes.sparkSession
     # a length with few classes has one filter that holds them all
     many = classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > BLOCK).collect()
@@ -218,10 +225,14 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 i, j = _compared(x, lists[s:e], f, left, right, cosine)
                 if low == high:
                     i, j = i[i < j], j[i < j]
-                i, j = i + s, j + s
-                out.append((node[i], copies[i], node[j], copies[j]))
-            cols = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "copies_a", "b", "copies_b"])
+                if not len(i):
+                    continue
+                many = np.bincount(i, copies[j + s], e - s) + np.bincount(j, copies[i + s], e - s)
+                has = np.flatnonzero(many)
+                low, high = forest(node[i + s], node[j + s])
+                out.append((np.concatenate([node[has + s], low]), np.concatenate([has * 0 - 1, high]), np.concatenate([many[has], low * 0])))
+            a, b, n = (np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=n > 0), pa.array(n)], names=["a", "b", "n"])
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -235,7 +246,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield done(rest.combine_chunks())
 
-    return dealt.mapInArrow(compare, "a long, copies_a long, b long, copies_b long")
+    return dealt.mapInArrow(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -249,9 +260,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = rows.where("sound").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     classes = written(classes, "vector-classes")
     found = written(links(classes.select("node", "copies", "v"), cosine), "links")
-    both = found.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).union(found.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-    degree = both.groupBy("node").agg(F.sum("n").alias("n"))
-    named = classes.select("k1", "k2", "node", "copies").join(degree, "node", "left").join(components(found.select("a", "b")), "node", "left")
+    degree = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    named = classes.select("k1", "k2", "node", "copies").join(degree, "node", "left").join(components(found.where("n = 0").select("a", "b")), "node", "left")
     named = named.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     named = written(named, "vector-groups").withColumn("sound", F.lit(True))
     out = rows.select("vec_id", "sound", "k1", "k2").join(named, ["k1", "k2", "sound"], "left")

@@ -79,7 +79,21 @@ def test_keep_first(spark, edge_docs):
     ids = [r.doc_id for r in kept.collect()]
     named = {r.component_id for r in simhash.simhash_groups(edge_docs).collect() if r.component_id is not None}
     assert sorted(i for i in ids if i is not None) == sorted(named)
-    assert ids.count(None) == 2
+    # of the rows without id, the blank one is a copy of named blank ones
+    assert ids.count(None) == 1
+
+
+def test_keep_first_takes_one_row_of_each_group(spark):
+    """Rows that share an id, or have none, are rows of their own: groups decide."""
+    unlike = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    near = unlike[4].replace("e7 ", "e7x ")
+    rows = [(1, unlike[0]), (1, unlike[1]), (2, unlike[2]), (None, unlike[3]), (None, unlike[3]), (9, unlike[4]), (None, unlike[4]), (None, near), (5, unlike[5]), (5, unlike[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = dict(zip([r[1] for r in rows], map(lambda r: simhash.fingerprint(r[1].encode()), rows)))
+    kept = sorted(simhash.keep_first(docs, bits=12).collect(), key=repr)
+    want = [(1, unlike[0]), (1, unlike[1]), (2, unlike[2]), (5, unlike[5]), (9, unlike[4]), (None, unlike[3])]
+    assert int(fps[near] ^ fps[unlike[4]]).bit_count() <= 12
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
 
 
 def test_components(spark):
@@ -153,6 +167,23 @@ def test_filters_recall(dimension, total):
         assert 20 < held < 100  # about BUCKET
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_links_of_a_crowd_are_written_as_counts_and_forests(spark, monkeypatch, block):
+    """What a crowd of near copies leaves grows with its vectors, not with their pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    rows = [(i, 1 + i % 3, (np.ones(24) + 0.05 * rng.standard_normal(24)).tolist()) for i in range(100)]
+    found = embedding_dedup.links(spark.createDataFrame(rows, "node long, copies long, v array<double>")).collect()
+    total = {}
+    for r in found:
+        if r.n:
+            assert r.b is None
+            total[r.a] = total.get(r.a, 0) + r.n
+    copies = sum(r[1] for r in rows)
+    assert total == {i: copies - c for i, c, _ in rows}
+    assert len(found) < 5000 and (block < 100 or len(found) <= 200)
+
+
 def test_embedding_edge_cases(spark):
     inf = float("inf")
     vectors = [None, [], [0.0, 0.0], [1.0, None], [1.0, inf], [1.0, float("nan")], [1.0, 2.0], [2.0, 4.0], [1.0, 2.0], [3.0], [1e300, 2e300]]
