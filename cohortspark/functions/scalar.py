@@ -39,11 +39,6 @@ def decode_latin1_bytes(x: str | Column) -> Column:
     return F.decode(_c(x), "ISO-8859-1")
 
 
-def zero_if_null(x: str | Column) -> Column:
-    """F14."""
-    return F.coalesce(_c(x), F.lit(0))
-
-
 def as_text(x: str | Column) -> Column:
     """value → text for export (typed columns are kept inside the plans)."""
     return _c(x).cast("string")
@@ -54,11 +49,6 @@ def parse_timestamp(x: str | Column, fmt: str | None = None) -> Column:
     return F.to_timestamp_ntz(_c(x), F.lit(fmt)) if fmt else F.to_timestamp_ntz(_c(x))
 
 
-def round_half_even(x: str | Column, scale: int = 0) -> Column:
-    """F16."""
-    return F.bround(_c(x), scale)
-
-
 def in_list_text_to_codes(text: str) -> list[int]:
     """Parse an SQL in-list text such as ``(11,12,14)`` back to codes."""
     inner = text.strip().removeprefix("(").removesuffix(")")

@@ -35,18 +35,15 @@ def icu_movements(movements: DataFrame, units: DataFrame) -> DataFrame:
 def window_readings(readings: DataFrame, movements: DataFrame, window: timedelta = DEFAULT_WINDOW) -> DataFrame:
     """J3 + P2: readings taken in ``[entry, entry + window]`` of a movement of the same stay.
 
-    Returns ``dt_deb`` (entry date) followed by the reading columns, stay id as
-    text. Both ends are included; a reading inside two movements yields two
+    Returns ``dt_deb`` (entry date) followed by all columns of the readings in
+    their order, stay id as text; columns that a plan does not use later are
+    not read. Both ends are included; a reading inside two movements yields two
     rows, as the SQL join does.
     """
     win = F.lit(window)
-    r = readings.select(
-        F.col("id_nda").cast("string").alias("id_nda"),
-        "id_measure_type",
-        "dt_insert",
-        "value_numeric",
-        "dt_cancel",
-    ).withColumn("_day", F.to_date("dt_insert"))
+    cols = [c for c in readings.columns if c != "dt_deb"]
+    r = readings.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "id_nda" else F.col(f"`{c}`") for c in cols])
+    r = r.withColumn("_day", F.to_date("dt_insert"))
     m = movements.select(F.col("id_nda").cast("string").alias("_m_nda"), F.col("dt_deb_mouv_ufr").alias("_entry"))
     m = m.withColumn(
         "_day", F.explode(F.sequence(F.to_date("_entry"), F.to_date(F.col("_entry") + win)))
@@ -54,14 +51,7 @@ def window_readings(readings: DataFrame, movements: DataFrame, window: timedelta
     joined = r.join(m, (r.id_nda == m._m_nda) & (r._day == m._day)).where(
         (F.col("dt_insert") >= F.col("_entry")) & (F.col("dt_insert") <= F.col("_entry") + win)
     )
-    return joined.select(
-        F.to_date("_entry").alias("dt_deb"),
-        "id_nda",
-        "id_measure_type",
-        "dt_insert",
-        "value_numeric",
-        "dt_cancel",
-    )
+    return joined.select(F.to_date("_entry").alias("dt_deb"), *[r[f"`{c}`"] for c in cols])
 
 
 def unstaged_window_readings(

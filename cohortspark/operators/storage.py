@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.session import ensure_checkpoint_dir, materialise
+from cohortspark.session import ensure_checkpoint_dir, made_table, materialise
 
 SLOT_ROWS = 5_000_000
 SLOT = "slot"
@@ -61,6 +61,8 @@ def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     root = ensure_checkpoint_dir(spark).rstrip("/")
     full = f"cohortspark_{name}_{uuid.uuid4().hex}"
+    path = f"{root}/cohortspark-tables/{full}"
+    made_table(path, full)
     writer = (df if dealt else df.repartition(buckets, *keys)).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
-    writer.option("path", f"{root}/cohortspark-tables/{full}").saveAsTable(full)
+    writer.option("path", path).saveAsTable(full)
     return spark.table(full)

@@ -144,6 +144,24 @@ def resample(
     )
 
 
+def grid_times(
+    spark: SparkSession,
+    readings: DataFrame,
+    ranges: DataFrame,
+    vois: Sequence[str],
+    nb_pts: int = DEFAULT_NB_PTS,
+) -> DataFrame:
+    """The time of every grid point, ``t`` = the start of its bin: (id_nda, j1, voi, i, t).
+
+    One row a case until the last step, which lays out the points row by row.
+    """
+    routed = route_to_voi(spark, readings.select(*CASE, "id_measure_type", "dt_insert"), vois)
+    bases = wave_bases(routed, case_steps(ranges, nb_pts), vois)
+    waves = bases.select(*CASE, "step_us", F.explode("waves").alias("w"))
+    points = waves.select(*CASE, "step_us", "w.voi", "w.origin", "w.b0", F.explode(F.sequence(F.lit(0), F.lit(nb_pts - 1))).alias("i"))
+    return points.select(*CASE, "voi", "i", F.timestamp_add("MICROSECOND", (F.col("b0") + F.col("i")) * F.col("step_us"), F.col("origin")).alias("t"))
+
+
 def fill_column(
     y: str = "y_mean", order: str = "i", part: Sequence[str] = (*CASE, "voi"), gap_limit: int = DEFAULT_GAP_LIMIT
 ) -> Column:

@@ -21,6 +21,7 @@ from cohortspark.operators import folds as FO
 from cohortspark.operators import metrics as M
 from cohortspark.operators import models as MO
 from cohortspark.operators import neighbours as NB
+from cohortspark.operators.ordering import positions
 from cohortspark.operators import profile as P
 from cohortspark.operators import scores as SC
 from cohortspark.operators import spd as SPD
@@ -159,6 +160,15 @@ def q_counter_matrix(spark, sf_dir):
     return P.counter_matrix(plan(spark, sf_dir).profile(), CODES)
 
 
+@register("case_type_counts", CSQL.with_("staged") + (
+    "select id_nda, dt_deb, id_measure_type, count(*) as counter from staged "
+    f"where dt_cancel = '' and id_measure_type in {K.codes_in_list_text(CODES)} group by id_nda, dt_deb, id_measure_type"
+))
+def q_case_type_counts(spark, sf_dir):
+    """A2 in its long form."""
+    return P.case_type_counts(plan(spark, sf_dir).staged(), CODES)
+
+
 @register("first_last_matrix", CSQL.with_("profile") + (
     f"select id_nda, dt_deb, {_key_sql()} as id_ndaj1, "
     + ", ".join(f"first_{c}, last_{c}" for c in CODES)
@@ -1377,3 +1387,124 @@ def q_unstaged_stay_type_counts(spark, sf_dir):
 def q_demographic_duplicates(spark, sf_dir):
     """P13 report: stays whose demographics would multiply their cases."""
     return C.demographic_duplicates(C.case_demographics(plan(spark, sf_dir).patient_info()))
+
+
+# --------------------------------------------------------------------------
+# Tables and scalar functions
+
+LOOKUP_EVERY = 7
+
+
+@register("case_lookup", CSQL.with_("profile") + (
+    f"select id_nda, dt_deb, {_key_sql()} as id_ndaj1, " + ", ".join(f"nullif(n_{c}, 0) as n_{c}" for c in CODES)
+    + f" from profile where {_key_sql()} = (select min({_key_sql()}) from profile)"
+))
+def q_case_lookup(spark, sf_dir):
+    """The row of one case, its text key bound as a value (here the first key)."""
+    m = P.counter_matrix(plan(spark, sf_dir, "profile").profile(), CODES)
+    first = m.agg(F.min("id_ndaj1")).first()[0]
+    return C.case_lookup(m, first or "", F.col("id_ndaj1"))
+
+
+@register("distinct_types", CSQL.with_("staged") + "select distinct id_measure_type from staged where dt_cancel = ''")
+def q_distinct_types(spark, sf_dir):
+    """The distinct measure types of the valid staged readings."""
+    return P.valid_readings(plan(spark, sf_dir).staged()).select("id_measure_type").distinct()
+
+
+@register("frequent_type_stays", CSQL.with_("staged", {"uj": _UNSTAGED_SQL}) + (
+    "select count(distinct id_nda) as n_stays from uj where id_measure_type in "
+    f"(select id_measure_type from uj group by id_measure_type having count(*) > {FREQUENT_MIN_COUNT})"
+))
+def q_frequent_type_stays(spark, sf_dir):
+    """J4 + A4: stays that have a reading of a type found frequent, in one plan."""
+    u = _unstaged(spark, sf_dir)
+    per_stay = u.groupBy("id_nda", "id_measure_type").agg(F.count(F.lit(1)).alias("n"))  # the readings are joined and reduced once
+    types = per_stay.groupBy("id_measure_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_stays"))
+    frequent = types.where(F.col("n") > FREQUENT_MIN_COUNT).select("id_measure_type")
+    return per_stay.join(frequent, "id_measure_type", "left_semi").agg(F.count_distinct("id_nda").alias("n_stays"))
+
+
+@register("wave_plot_filled", _WAVE_WITH + (
+    "select f.id_nda, f.j1, f.voi, case f.voi " + " ".join(f"when '{v}' then '{K.voi_label(v)}'" for v in VOIS)
+    + f" end as label, b.origin + to_microseconds(cast((b.b0 + f.i) * b.step_us as bigint)) as t, {d6('f.y')} as value "
+    "from filled f join bases b on f.id_nda = b.id_nda and f.j1 = b.j1 and f.voi = b.voi"
+))
+def q_wave_plot_filled(spark, sf_dir):
+    """T17 after filling: the filled points of each wave with their time."""
+    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    filled = W.resample_and_interpolate(spark, readings, ranges, VOIS, NB_PTS, GAP, hot=hot)
+    times = W.grid_times(spark, readings, ranges, VOIS, NB_PTS)
+    timed = filled.select("id_nda", "j1", "voi", "i", "y").join(times, ["id_nda", "j1", "voi", "i"])
+    out = W.plot_points(timed, "y", "t")
+    return out.select("id_nda", "j1", "voi", "label", "t", r6("value").alias("value"))
+
+
+@register("saved_cohort", CSQL.with_("cohort") + (
+    f"select {_COHORT_COLS}, {d6(secs('dt_min', 'dt_max'))} as stay_len_s from cohort where {_key_sql('id_nda', 'j1')} in "
+    f"(select k from (select {_key_sql('id_nda', 'j1')} as k, row_number() over (order by {_key_sql('id_nda', 'j1')}) as n from "
+    f"(select distinct id_nda, j1 from cohort)) where n % {LOOKUP_EVERY} = 0)"
+))
+def q_saved_cohort(spark, sf_dir):
+    """The cohort saved with age, read back, and a block of case ids handed over as a view."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortspark-tables/cohort-{uuid.uuid4().hex}"
+    p = plan(spark, sf_dir)
+    IO.save_cohort(p.cohort(), path, VOIS, with_age=True)
+    saved = IO.scan(spark, path)
+    cases = saved.select("id_nda", "j1", P.case_key("id_nda", "j1").alias("id_case")).distinct()
+    view = f"case_ids_{uuid.uuid4().hex}"
+    numbered = positions(cases, ["id_case"])
+    IO.case_view(numbered.where((F.col("pos") + 1) % LOOKUP_EVERY == 0).select("id_nda", "j1"), view)
+    block = IO.run_sql(spark, f"select c.* from {{saved}} c left semi join {view} v on c.id_nda = v.id_nda and c.j1 = v.j1", saved=saved)
+    return _cohort_out(block)
+
+
+@register("stored_tables", CSQL.with_("staged") + (
+    "select * from (values ('created', true, 1), ('kept', true, 1), ('appended to', true, 2), ('replaced', true, 1), ('dropped', false, 0)) t(step, there, times), "
+    "(select count(*) as n from staged where dt_cancel = '') s"
+).replace("select * from (values", "select step, there, times * n as n_rows from (values"))
+def q_stored_tables(spark, sf_dir):
+    """A table made from a query, kept by create-if-absent, appended to, replaced, and dropped; its rows after each step."""
+    rows = P.valid_readings(plan(spark, sf_dir).staged())
+    name = f"cohortspark_valid_{uuid.uuid4().hex}"
+    steps = []
+
+    def said(step: str) -> None:
+        there = IO.table_exists(spark, name)
+        steps.append((step, there, IO.scan(spark, name).count() if there else 0))
+
+    IO.create_table_as(rows, name)
+    said("created")
+    IO.create_if_absent(spark, name, rows.limit(0))
+    said("kept")
+    IO.create_table_as(rows, name, mode="append")
+    said("appended to")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortspark-tables/valid-{uuid.uuid4().hex}"
+    IO.write_parquet(IO.scan(spark, name).limit(0), path, mode="errorifexists")
+    IO.write_parquet(rows, path)
+    IO.create_table_as(IO.scan(spark, path), name, mode="overwrite")
+    said("replaced")
+    IO.drop_table(spark, name)
+    IO.drop_table(spark, name)  # a missing table is no error
+    said("dropped")
+    return spark.createDataFrame(steps, "step string, there boolean, n_rows long")
+
+
+@register("scalar_functions", f"with r as ({DUCK['readings']}) " + (
+    "select id_nda, strptime(strftime(dt_insert, '%d/%m/%Y %H:%M:%S'), '%d/%m/%Y %H:%M:%S') as t, "
+    "cast(round(value_numeric * 100) as bigint)::varchar as hundredths, "
+    f"id_measure_type in {K.codes_in_list_text(CODES)} as listed, 'Fréquence' as label from r"
+))
+def q_scalar_functions(spark, sf_dir):
+    """Text to time, codes from a list text, Latin-1 bytes to text, value to text."""
+    from cohortspark.functions import scalar as FX
+
+    r = SI.readings(spark, sf_dir)
+    listed = FX.in_list_text_to_codes(K.codes_in_list_text(CODES))
+    return r.select(
+        "id_nda",
+        FX.parse_timestamp(F.date_format("dt_insert", "dd/MM/yyyy HH:mm:ss"), "dd/MM/yyyy HH:mm:ss").alias("t"),
+        FX.as_text(F.round(F.col("value_numeric") * 100).cast("long")).alias("hundredths"),
+        F.col("id_measure_type").isin(listed).alias("listed"),
+        FX.decode_latin1(F.encode(F.lit("Fréquence"), "ISO-8859-1")).alias("label"),
+    )

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_open: list[list[tuple[str, str | None]]] = []  # what the open ``intermediate_tables`` blocks have seen, the innermost last
+
+
+def made_table(path: str, name: str | None = None) -> None:
+    """Note an intermediate table (its folder, and its name in the catalog if it has one) for removal."""
+    if _open:
+        _open[-1].append((path, name))
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables that the library wrote in it on its way to results.
+
+    Results that still read them must have been written or collected by then.
+    Outside such a block the tables stay in the checkpoint folder, which is the
+    caller's to empty, because lazy results may read them at any later time.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path, name in _open.pop():
+            if name is not None:
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
@@ -75,5 +105,6 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/cohortspark-tables/{name}-{uuid.uuid4().hex}"
+    made_table(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

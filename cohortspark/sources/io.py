@@ -136,8 +136,3 @@ def preview(df: DataFrame, order: Sequence[str | Column], n: int = 10, last: boo
     if last:
         cols = [c.desc() for c in cols]
     return df.orderBy(*cols).limit(n)
-
-
-def checkpoint_frame(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (never a local checkpoint)."""
-    return df.checkpoint(eager=eager)

@@ -70,3 +70,22 @@ def test_tables_and_saved_outputs(spark):
                                "id_nda string, j1 date, series array<array<double>>, dead boolean")
     IO.save_dataset(ds, base + "/dataset")  # S12
     assert IO.scan(spark, base + "/dataset").first().series == [[1.0, None], [2.0, 3.0]]
+
+
+def test_intermediate_tables_are_removed(spark):
+    import os
+
+    from cohortspark.operators import storage as ST
+    from cohortspark.session import ensure_checkpoint_dir, intermediate_tables, materialise
+
+    folder = f"{ensure_checkpoint_dir(spark)}/cohortspark-tables"
+    kept = materialise(spark.range(3).toDF("id"), "kept")
+    before = set(os.listdir(folder))
+    with intermediate_tables(spark):
+        first = materialise(spark.range(5).toDF("id"), "gone")
+        with intermediate_tables(spark):
+            inner = ST.bucketed(first, "gone", ["id"], 2)
+            name = inner.inputFiles()[0].split("/")[-2]
+            assert inner.count() == 5 and spark.catalog.tableExists(name)
+        assert not spark.catalog.tableExists(name) and first.count() == 5
+    assert set(os.listdir(folder)) == before and kept.count() == 3
