@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.session import ensure_checkpoint_dir
+from cohortspark.session import ensure_checkpoint_dir, made_table
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -20,6 +20,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
+    made_table(path)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

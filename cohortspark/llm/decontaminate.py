@@ -226,8 +226,13 @@ FOUND = pa.schema(
 )
 
 
+FEW_BAD = 1_000_000  # contaminated documents whose keys go to every task (16 bytes each); with more, texts are shuffled to them
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, without a word inside a benchmark window."""
     bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    bad = written(bad, "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= FEW_BAD else bad
     k1, k2 = _keys(docs)
     return docs.join(bad, (k1 == bad["_k1"]) & (k2 == bad["_k2"]), "left_anti")

@@ -140,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, s: Sett
     shards = max(1, math.ceil(min(total, s.max_rows) / s.shard_rows))
     # at most about max_rows rows of two numbers: a bounded broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(known), "doc_id").where(F.col("_text").isNotNull())
-    rows = rows.select("_text", "_y", F.xxhash64("doc_id", F.lit(7)).alias("_o")).withColumn("_shard", F.pmod("_o", F.lit(shards)))
-    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_o", "_text")
+    rows = rows.select("_text", "_y", F.xxhash64("doc_id", F.lit(7)).alias("_o")).withColumn("_shard", F.pmod("_o", F.lit(shards)).cast("int"))
+    # dealt by number, not by the number's hash: one shard a task
+    rows = rows.repartitionById(shards, "_shard").sortWithinPartitions("_shard", "_o", "_text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, shard, learner, held, size = Features(s), None, Learner(s), [], 0

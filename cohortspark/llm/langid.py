@@ -3,11 +3,13 @@
 Texts become hashed character n-gram counts, weighted by how rare each n-gram
 is and scaled to length one. For every language spherical k-means clusters a
 bounded sample of its labelled texts; a text takes the language of the nearest
-centroid, and is rejected if even that is farther than ``farthest``.
+centroid, and is rejected if it is farther from it than ``QUANTILE`` of the
+texts that the centroid was fitted on, by more than a ``MARGIN``.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a
 text that shares no n-gram with any centroid takes the first language and is
-rejected; every row is predicted, repeated or not; without labelled texts all
+rejected; of equal cosines the first centroid's language is taken (by name);
+very long texts are counted whole; every row is predicted, repeated or not; without labelled texts all
 rows are ``und``; other columns play no part.
 """
 
@@ -30,7 +32,7 @@ ORDERS = (1, 2, 3)
 HELD_OUT = (4, 2)
 CENTROIDS, ROUNDS = 4, 8
 PER_LANGUAGE = 1_500  # texts a language's centroids are fitted on, about
-FARTHEST = 0.95  # one minus cosine
+QUANTILE, MARGIN = 0.99, 0.02  # share of a centroid's own texts within its distance (one minus cosine); room beyond it
 MODEL_BYTES = 256_000_000  # bound of the broadcast: languages x centroids x 2**BITS x 4 bytes
 BROADCAST_ROWS = 100_000
 CHUNK = 1 << 20  # characters counted at once
@@ -72,6 +74,7 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
+    farthest: np.ndarray  # distance of each centroid beyond which a text is rejected
 
     def nearest(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine, whether it is too far from every centroid."""
@@ -81,11 +84,11 @@ class Model:
         cosine = self.centroids @ vector
         best = int(cosine.argmax())
         score = float(min(1.0, max(0.0, cosine[best])))
-        return self.languages[best], score, 1 - score > FARTHEST
+        return self.languages[best], score, bool(1 - score > self.farthest[best])
 
 
 def clustered(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Spherical k-means from rows spread over the order given; only centroids with members are returned."""
+    """Spherical k-means from rows spread over the order given; only centroids with members are kept in a round."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
@@ -128,15 +131,20 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Mod
         # most texts are one of a cluster each; the order of the hash spreads the starts
         x = unit(x[np.argsort(group["o"].to_numpy(), kind="stable")] * idf)
         c = clustered(x, CENTROIDS, ROUNDS)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [v.tobytes() for v in c]})
+        cosine = x @ c.T
+        own = cosine.argmax(axis=1)
+        # a centroid that ends without a text of its own accepts what its language's others do
+        of = [1 - cosine[own == j, j] if (own == j).any() else 1 - cosine.max(axis=1) for j in range(len(c))]
+        farthest = [float(np.quantile(d, QUANTILE)) + MARGIN for d in of]
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [v.tobytes() for v in c], "farthest": farthest})
 
     languages = some.select("lang").distinct().count()
     if languages * CENTROIDS * 2**BITS * 4 > MODEL_BYTES:
         raise ValueError(f"{languages} languages are too many for a broadcast model")
     # a group has about per_language rows, each of the length of a vector at most
-    found = some.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary").orderBy("lang", "centroid").collect()
+    found = some.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, farthest double").orderBy("lang", "centroid").collect()
     vecs = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else np.zeros((0, 2**BITS), np.float32)
-    return Model([r["lang"] for r in found], vecs, idf)
+    return Model([r["lang"] for r in found], vecs, idf, np.array([r["farthest"] for r in found]))
 
 
 def language(docs: DataFrame, model: Model) -> DataFrame:

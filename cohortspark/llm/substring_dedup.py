@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import partitions, shared_path, utf8, written
+from cohortspark.session import made_table
 
 WINDOW, SEED = 13, 4  # words of a window; the first length is the last half of it of at least so many words
 SLICE_BYTES = 32 << 20  # of text in a slice, about
@@ -319,7 +320,9 @@ def _dealt(classes: DataFrame, count: int) -> DataFrame:
     placed = placed.join(F.broadcast(labels), "bucket", "left").withColumn("slice", F.coalesce("slice", "bucket")).drop("bucket")
     writer = placed.write.format("parquet").bucketBy(count, "slice").option("compression", "zstd")
     name = f"cohortspark_texts_{uuid.uuid4().hex}"
-    writer.option("path", shared_path(spark, "texts")).saveAsTable(name)
+    path = shared_path(spark, "texts")
+    made_table(path, name)
+    writer.option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -1,7 +1,10 @@
+import math
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cohortspark.llm import ftrl, langid, quality, toxicity
@@ -88,3 +91,58 @@ def test_ngram_counts_across_chunks(monkeypatch):
     whole = langid.counts(text)
     monkeypatch.setattr(langid, "CHUNK", 17)
     assert (langid.counts(text) == whole).all()
+
+
+def test_languages_equal_a_plain_nearest_centroid(spark, corpus):
+    """Prediction, score and rejection restated from the fitted centroids."""
+    docs = corpus("documents")
+    model = langid.fit(docs, F.lit(True))
+    for r in langid.language(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        tf = np.log1p(langid.counts(r.text)) * model.idf
+        cosine = [float(tf @ c / np.linalg.norm(tf) / np.linalg.norm(c)) for c in model.centroids]
+        best = int(np.argmax(cosine))
+        assert r.lang_pred == model.languages[best] and r.score == pytest.approx(cosine[best], abs=1e-4)
+        if abs(1 - cosine[best] - model.farthest[best]) > 1e-4:
+            assert r.rejected == (1 - cosine[best] > model.farthest[best])
+
+
+@pytest.mark.parametrize("left_out", ["fr", "de", "es", "en"])
+def test_texts_of_an_unlearnt_language_are_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    model = langid.fit(docs, F.col("lang") != left_out)
+    assert left_out not in model.languages
+    got = langid.language(docs, model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    far = got["lang"] == left_out
+    assert got[far]["rejected"].mean() > 0.8 and got[~far]["rejected"].mean() < 0.05
+
+
+def plain_features(text, s):
+    """Feature index → value, word by word: n-grams, skip-grams, a mark for a word said twice, and the constant."""
+    mix, full = 0x9E3779B97F4A7C15, 1 << 64
+    h = [xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+    raw = list(h)
+    raw += [2 for a, b in zip(h, h[1:]) if a == b]
+    raw += [(a * mix + b) % full for a, b in zip(h, h[1:])]  # both settings use n-grams of up to two words
+    for gap in range(1, s.skips + 1):
+        raw += [(a * mix + b + gap) % full for a, b in zip(h, h[gap + 1 :])]
+    times = {}
+    for x in raw:
+        k = (x * mix % full) >> (64 - s.bits)
+        times[k] = times.get(k, 0) + 1
+    size = math.sqrt(sum(t * t for t in times.values())) or 1.0
+    out = {k: t / size if s.counts else 1.0 for k, t in times.items()}
+    out[1 << s.bits] = 1.0
+    return out
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_equal_a_plain_product(spark, corpus, module):
+    """A text's score: the logistic of the sum over its features, with the trained weights, and the bias."""
+    docs, labels = corpus("documents"), corpus("labels")
+    weights = module.train(docs, labels)
+    w = dict(zip(weights[0].tolist(), weights[1].tolist()))
+    scores = module.quality_scores if module is quality else module.toxicity_scores
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in scores(docs, weights).collect():
+        total = sum(v * w.get(i, 0.0) for i, v in plain_features(texts[r.doc_id], module.SETTINGS).items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -35, 35))), abs=1e-6)
