@@ -12,8 +12,10 @@
    forest, never all pairs: the result needs classes only.
 5. Connected components of the forests give the groups.
 
-A shard that the tree cannot split (many fingerprints around one point) is
-dealt into several tasks that each hold a part and see all its queries.
+A task holds bounded numbers of both: a shard that the tree cannot split (many
+fingerprints around one point) is dealt into pieces, and one that many are sent
+to into blocks of queries; each piece meets each block in a task of its own. The
+numbers of pieces and blocks follow from the sample's way through the tree.
 
 Edge cases: null, empty and blank texts have the fingerprint zero and are
 linked like any other; texts of fewer words than a shingle hash their whole
@@ -39,6 +41,7 @@ from cohortspark.llm.components import components, forest
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 SHARD = 65_536  # fingerprints that live in one shard, about
 SAMPLE = 20_000  # fingerprints the tree is built on
+ASKED = 8  # queries of a task, about, for each of the members of a shard
 BLOCK = 1 << 17  # pairs compared at once
 CHUNK = 1 << 16  # shingle hashes counted at once
 
@@ -95,8 +98,12 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, total: int, shard: int = SHARD, bits: int = MOST_BITS):
         self.bits, self.leaves = bits, 0
-        self.pieces: list[int] = []  # tasks a leaf is dealt to
-        self.root = self._grow(sample, total / max(1, len(sample)), shard)
+        self.pieces: list[int] = []  # parts a leaf's members are dealt into
+        each = total / max(1, len(sample))
+        self.root = self._grow(sample, each, shard)
+        self.blocks = [1] * self.leaves  # parts a leaf's queries are dealt into
+        for leaf, at, _ in self.route(sample):
+            self.blocks[leaf] = max(1, int(np.ceil(len(at) * each / (ASKED * shard))))
 
     def _grow(self, x: np.ndarray, each: float, shard: int):
         split = _vantage(x) if len(x) * each > shard and len(x) > 1 else None
@@ -169,20 +176,24 @@ def similar(classes: DataFrame, bits: int = MOST_BITS, shard: int = SHARD, sampl
         for b in batches:
             x = b.column(0).to_numpy().view(np.uint64)
             for leaf, at, home in t.route(x):
-                n = t.pieces[leaf]
-                # one that lives here goes to one piece as a member, and to all of them as a query
-                member = (x[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n
-                for piece in range(n):
-                    cols = [np.full(len(at), leaf), np.full(len(at), piece), x[at].view(np.int64), home & (member == piece)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["leaf", "piece", "fp", "home"])
+                pieces, blocks = t.pieces[leaf], t.blocks[leaf]
+                mixed = x[at] * np.uint64(0x9E3779B97F4A7C15)
+                own = (mixed >> np.uint64(40)).astype(np.int64) % pieces
+                block = (mixed >> np.uint64(16) & np.uint64(0xFFFFFF)).astype(np.int64) % blocks
+                for task in range(pieces * blocks):
+                    # a member of a piece meets every block, a query of a block every piece
+                    member, asks = home & (own == task // blocks), block == task % blocks
+                    here = np.flatnonzero(member | asks)
+                    cols = [np.full(len(here), leaf), np.full(len(here), task), x[at[here]].view(np.int64), member[here], asks[here]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["leaf", "task", "fp", "home", "asks"])
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        q = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        a, b = links(q[rows["home"].to_numpy(bool)], q, bits)
+        x = rows["fp"].to_numpy(np.int64).view(np.uint64)
+        a, b = links(x[rows["home"].to_numpy(bool)], x[rows["asks"].to_numpy(bool)], bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    sent = classes.select("fp").mapInArrow(send, "leaf long, piece long, fp long, home boolean")
-    return components(sent.groupBy("leaf", "piece").applyInPandas(search, "a long, b long"))
+    sent = classes.select("fp").mapInArrow(send, "leaf long, task long, fp long, home boolean, asks boolean")
+    return components(sent.groupBy("leaf", "task").applyInPandas(search, "a long, b long"))
 
 
 def _grouped(fps: DataFrame, first: Column, bits: int) -> DataFrame:

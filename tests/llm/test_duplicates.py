@@ -58,7 +58,9 @@ def test_chunks_do_not_change_a_fingerprint(monkeypatch):
     assert simhash.fingerprint(text) == whole == slow_fingerprint(text.decode())
 
 
-def test_tree_finds_every_pair(spark):
+@pytest.mark.parametrize("asked", [8, 0.2])
+def test_tree_finds_every_pair(spark, monkeypatch, asked):
+    monkeypatch.setattr(simhash, "ASKED", asked)
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 1500).astype(np.uint64)
     bit = np.uint64(1) << np.arange(60, dtype=np.uint64)
@@ -68,6 +70,8 @@ def test_tree_finds_every_pair(spark):
     a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
     other = a != b
     nodes, roots = forest(x[a[other]].view(np.int64), x[b[other]].view(np.int64))
+    if asked < 1:
+        assert max(simhash.Tree(x, len(x), 64).blocks) > 1
     for shard in (64, 100_000):
         got = {r.node: r.component for r in simhash.similar(df, 3, shard, 400).collect()}
         assert got == dict(zip(nodes.tolist(), roots.tolist()))
