@@ -47,35 +47,49 @@ BROADCAST_ROWS = 1_000_000  # of the table of counts per task and length, about
 PIECES = "part int, nth long, doc_id long, piece int, start long, length int, ids binary"
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``n`` tokens; only the first may be short of ``capacity``."""
-    first = n % capacity or capacity
-    return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
-
-
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cached_units: int = CACHED_UNITS) -> DataFrame:
     """Pieces of every document, written once: task, rank among the task's pieces of that length, ids."""
     path = path or vocabulary()
     end = END_ID.to_bytes(4, "little")
-    code = lambda text: encoder(path, cached_units).ids(text)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
+        part, seen, code = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path, cached_units).ids
         for some in slices(batches):
-            rows = []
-            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                ids = code(text or "") + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((part, seen[n], doc_id, k, start, n, ids[4 * start : 4 * (start + n)]))
-                    seen[n] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+            coded = [code(t or "") for t in some.column(1).to_pylist()]
+            ids = end.join(coded) + end
+            tokens = np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1
+            of, piece, start, length = cuts(tokens, capacity)
+            order = np.argsort(length, kind="stable")
+            sizes = length[order]
+            nth = np.empty(len(length), np.int64)
+            nth[order] = seen[sizes] + np.arange(len(sizes)) - np.searchsorted(sizes, sizes)
+            seen += np.bincount(length, minlength=capacity + 1)
+            ends = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            cols = [pa.array(np.full(len(of), part, np.int32)), pa.array(nth), some.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(start), pa.array(length.astype(np.int32)), packed], names=NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(rows.mapInArrow(make, PIECES), "pieces")
+    return written(rows.mapInArrow(make, PIECES), "pieces", "snappy")
 
 
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
-TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def cut(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of one document of ``n`` tokens; only the first may be short of ``capacity``."""
+    _, _, start, length = cuts(np.array([n]), capacity)
+    return list(zip(start.tolist(), length.tolist()))
+
+
+def cuts(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of so many tokens, one after another: (document, number, start, length) of each piece; only first ones may be short."""
+    many = -(-tokens // capacity)
+    of = np.repeat(np.arange(len(tokens)), many)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    first = tokens - (many - 1) * capacity
+    start = np.where(piece == 0, 0, first[of] + (piece - 1) * capacity)
+    return of, piece, start, np.where(piece == 0, first[of], capacity)
 
 
 def grouped(lengths: list[int], counts: list[int], groups: int) -> list[list[int]]:

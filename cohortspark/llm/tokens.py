@@ -41,17 +41,24 @@ class _BlankUnit(Exception):
 
 
 class _Units(dict):
-    """Ids of the units between single spaces, each encoded with the space before it; a new one is encoded when it is met."""
+    """Ids of the units between single spaces, each encoded with the space before it; a new one is encoded when it is met.
+
+    Half full, the entries become the elder ones, from which those that are met
+    again come back; the others go when the next half is full.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.elder = encoder, {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.encoder.cached_units:
-            self.clear()
-        ids = self.encoder.unit(unit)
+        ids = self.elder.get(unit)
+        if ids is None:
+            ids = self.encoder.unit(unit)
         if len(unit) <= CACHED_CHARS:
+            if 2 * len(self) >= self.encoder.cached_units:
+                self.elder = dict(self)
+                self.clear()
             self[unit] = ids
         return ids
 

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from cohortspark.llm import packing, token_store
 from cohortspark.llm.common import shared_path
-from cohortspark.llm.tokens import encoder, vocabulary
+from cohortspark.llm.tokens import Encoder, encoder, vocabulary
 
 PARTS = [" ", "  ", "\n", "\r", "\t", " ", "\x1c", "\x85", "　", "a", "B", "é", "ß", "µ", "1", ".", ",", "!", "'s", "'", "<|endoftext|>", "<", "|", "漢", "🙂", "́", "²", "word", "×", "-", "​"]
 
@@ -118,3 +118,29 @@ def check_pack(docs, plain):
 def test_pack(corpus, edge_docs, no_docs, plain):
     for docs in (corpus("documents"), edge_docs, no_docs):
         check_pack(docs, plain)
+
+
+def test_cuts_of_documents():
+    for capacity in (1, 3, 8):
+        sizes = [1, 2, 3, 8, 7, 9, 16, 17, 1, 24]
+        of, piece, start, length = packing.cuts(np.array(sizes), capacity)
+        at = 0
+        for d, n in enumerate(sizes):
+            first = n % capacity or capacity
+            want = [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
+            got = list(zip(start[at : at + len(want)].tolist(), length[at : at + len(want)].tolist()))
+            assert got == want == packing.cut(n, capacity) and (of[at : at + len(want)] == d).all()
+            assert piece[at : at + len(want)].tolist() == list(range(len(want)))
+            at += len(want)
+        assert at == len(of)
+
+
+@pytest.mark.parametrize("cached", [2, 10, 1000])
+def test_a_small_cache_changes_no_id(corpus, cached):
+    """Units come back from the elder entries or are encoded anew: the ids are those of the whole text."""
+    e = Encoder(vocabulary(), cached)
+    for r in corpus("documents").limit(60).collect():
+        text = (r.text or "")[:3000]
+        whole = np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert e.ids(text) == whole
+        assert len(e._units) <= max(1, cached // 2 + 1) and len(e._units.elder) <= max(1, cached // 2 + 1)
