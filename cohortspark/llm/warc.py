@@ -16,7 +16,9 @@ inside a member, and the candidate continues the one before. Where they came
 up before the member's first bytes can be decoded (in its Huffman header), the
 candidate is held until those that follow decide. Should either happen just
 where a range ends, the loose pieces of neighbouring ranges are put together
-in a second, tiny step.
+in a second, tiny step. Bytes that belong to no whole record (a member that
+does not decode, is cut off, or has lost its magic) are returned as rows of the
+type ``damaged`` with their number as size, so nothing vanishes unseen.
 
 Edge cases: a null html is an empty payload; a null url or page_id leaves its
 header out; rows without a page_id are written as responses and never referred
@@ -33,7 +35,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,10 +164,21 @@ def _parsed(raw: bytes) -> dict | None:
         "record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
         "page_id": page_of(fields.get("warc-record-id")), "refers_to_page": page_of(fields.get("warc-refers-to")),
         "payload": None if kind == "revisit" else payload, "payload_bytes": size,
-        "payload_digest": stated if kind == "revisit" else digest(payload), "stated_digest": stated,
+        "payload_digest": stated if kind == "revisit" else digest(payload), "stated_digest": stated, "behind": len(press.unused_data),
     }
 
 
+def _rows(parsed: dict | None, raw: bytes) -> list[dict]:
+    """Rows of the bytes of a member: its record, and what is damaged."""
+    if parsed is None:
+        return [{"record_type": DAMAGED, "payload_bytes": len(raw)}] if raw else []
+    behind = parsed.pop("behind")
+    return [parsed, {"record_type": DAMAGED, "payload_bytes": behind}] if behind else [parsed]
+
+
+DAMAGED = "damaged"
+
+
 RECORD = (
     "record_id string, record_type string, url string, refers_to string, page_id long, refers_to_page long, payload binary, "
     "payload_bytes long, payload_digest string, stated_digest string"
@@ -197,8 +209,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             if begins:
                 yield from rest()
                 here, held, opens, at, pending = (file, start), [], False, 0, []
-            if begins and start == 0:
-                continue  # what stands before the first magic
+            if begins and start == 0:  # what stands before the first magic: nothing, in a sound file
+                if raw:
+                    yield file, start, -1, False, raw
+                continue
             pending.append(MAGIC + raw)
             while pending:
                 found, n = _judged(pending)
@@ -221,38 +235,41 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("chunk"))
 
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool]]:
+        """Members, and whether another one follows in their range, so that they cannot go on in the next."""
+        before = None
+        for now in _members(batches):
+            if before is not None:
+                yield before, now[3] is True and before[:2] == now[:2]
+            before = now
+        if before is not None:
+            yield before, False
+
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # only the last member of a range, or what is undecided there, can go on in the next one; only the first piece may be such a rest
-        def rows():
-            before = None
-            for now in _members(batches):
-                if before is not None and (not before[3] or (now[3] is None or before[:2] != now[:2]) and _parsed(before[4]) is None):
-                    yield before
-                before = now
-            if before is not None and (not before[3] or _parsed(before[4]) is None):
-                yield before
-
-        for row in rows():
-            yield pa.RecordBatch.from_pydict(dict(zip(("file", "range", "at", "opens", "raw"), ([v] for v in row))))
+        for row, alone in settled(batches):
+            if not row[3] or not alone and _parsed(row[4]) is None:
+                yield pa.RecordBatch.from_pydict(dict(zip(("file", "range", "at", "opens", "raw"), ([v] for v in row))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, _, _, opens, raw in _members(batches):
+        for (_, _, _, opens, raw), alone in settled(batches):
             row = _parsed(raw) if opens else None
-            if row is not None:
-                held.append(row)
-                size += row["payload_bytes"]
+            if row is not None or opens and alone:
+                held += _rows(row, raw)
+                size += len(raw) if row is None else row["payload_bytes"]
                 if len(held) >= 256 or size > 8_000_000:
                     yield pa.RecordBatch.from_pylist(held, schema=RECORDS)
                     held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=RECORDS)
 
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        """Put the loose pieces of a file together in order; what is no whole record then is damaged and left out."""
-        rows = rows.sort_values(["range", "at"])
-        opens, raws = [None if pd.isna(x) else bool(x) for x in rows["opens"]], list(rows["raw"])
+    def joined(rows: pa.Table) -> pa.Table:
+        """Put the loose pieces of a file together in order; what is no whole record then is damaged."""
+        rows = rows.sort_by([("range", "ascending"), ("at", "ascending")])
+        opens, raws = rows.column("opens").to_pylist(), rows.column("raw").to_pylist()
         held: list[list[bytes]] = []
+        lost = b""  # before any member
         at = 0
         while at < len(raws):
             found, n = MEMBER if opens[at] else INSIDE, 1
@@ -267,12 +284,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 n = 1
                 if held:
                     held[-1].append(raws[at])
+                else:
+                    lost += raws[at]
             at += n
-        found = [r for r in (_parsed(b"".join(x)) for x in held) if r is not None]
-        return pd.DataFrame(found, columns=[f.name for f in RECORDS]).astype({"page_id": "Int64", "refers_to_page": "Int64"})
+        found = _rows(None, lost) + [r for x in map(b"".join, held) for r in _rows(_parsed(x), x)]
+        return pa.Table.from_pylist(found, schema=RECORDS)
 
     out = lines.mapInArrow(whole, RECORD)
     pieces = written(lines.mapInArrow(loose, LOOSE), "loose-pieces")
     if pieces.limit(1).count():
-        out = out.unionByName(pieces.groupBy("file").applyInPandas(joined, RECORD))
+        out = out.unionByName(pieces.groupBy("file").applyInArrow(joined, RECORD))
     return out

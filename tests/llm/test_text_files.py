@@ -242,3 +242,30 @@ def test_cut_conversations_have_the_ids_of_whole_ones(spark, corpus, turns, char
         assert cut[conv][0] == text and cut[conv][1] == whole.ids and cut[conv][2] == mask.tolist() and cut[conv][3] == len(said)
         assert cut[conv][4] == [(s["role"], s["first"], s["last"]) for s in spans]
     check_chat(df)
+
+
+@pytest.mark.parametrize("size", ["128m", "700", "150"])
+def test_damaged_records_are_returned(spark, size):
+    """A member that does not decode, one that lost its magic, one cut off, and foreign bytes in front: no row is silently missing."""
+    members = [warc.member(k, "u", bytes(np.random.default_rng(k).integers(97, 123, 400, dtype=np.uint8)), None) for k in range(8)]
+    broken = list(members)
+    broken[2] = broken[2][:40] + bytes(x ^ 0x55 for x in broken[2][40:120]) + broken[2][120:]
+    broken[4] = b"xx" + broken[4][2:]
+    path = shared_path(spark, "test-damage").removeprefix("file:")
+    os.makedirs(path)
+    for name, data in (("a", b"".join(broken)), ("b", members[0] + members[1][:200]), ("c", b"no archive at all"), ("d", b"junk" + members[5])):
+        with open(f"{path}/{name}.warc", "wb") as f:
+            f.write(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = warc.read_archive(spark, path).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sound = sorted(r.page_id for r in got if r.record_type != warc.DAMAGED)
+    assert sound == [0, 0, 1, 3, 5, 5, 6, 7]
+    bad = [r for r in got if r.record_type == warc.DAMAGED]
+    assert all(r.page_id is None and r.payload is None for r in bad)
+    assert sum(r.payload_bytes for r in bad) == len(broken[2]) + len(broken[4]) + 200 + len(b"no archive at all") + len(b"junk")
