@@ -655,6 +655,57 @@ def q_wave_plot_points(spark, sf_dir):
     return W.plot_points(routed, "value_numeric", "dt_insert")
 
 
+# The same line with loose thresholds: most cases are selected, waves are short and full of gaps.
+
+BROAD = dict(min_measures=0, age_min=10, stay_hours=6.0)
+BSQL = CohortSQL(CS.TEST_VOIS, CS.TEST_WINDOW, BROAD["min_measures"], BROAD["age_min"], BROAD["stay_hours"])
+
+
+def _broad_plan(spark, sf_dir, *store: str) -> CS.CohortPlan:
+    return CS.CohortPlan.from_test_tables(spark, sf_dir, store=store, **BROAD)
+
+
+def _broad_waves(spark, sf_dir, method: str):
+    p = _broad_plan(spark, sf_dir, "staged", "cohort", "useful")
+    f = W.resample_and_interpolate(spark, p.wave_readings(), p.cohort(), VOIS, NB_PTS, GAP, method=method, hot=p.hot_stays())
+    # nine digits: at six, means of readings in hundredths over gaps of 64 points stand exactly between two roundings
+    return f.select("id_nda", "j1", "voi", "i", F.round("y", 9).alias("y"))
+
+
+@register("stay_filter_broad", BSQL.with_("cohort") + f"select {_COHORT_COLS}, {d6(secs('dt_min', 'dt_max'))} as stay_len_s from cohort")
+def q_stay_filter_broad(spark, sf_dir):
+    return _cohort_out(_broad_plan(spark, sf_dir).cohort())
+
+
+@register("dt_ranges_broad", BSQL.with_("useful", {
+    "rng": "select s.id_nda, s.dt_deb as j1, min(s.dt_insert) as dt_min, max(s.dt_insert) as dt_max from useful s group by s.id_nda, s.dt_deb"
+}) + "select t1.id_nda, t1.j1, t1.dt_min, t1.dt_max, t2.dt_deces from rng t1 join cohort t2 on t1.id_nda = t2.id_nda and t1.j1 = t2.j1")
+def q_dt_ranges_broad(spark, sf_dir):
+    p = _broad_plan(spark, sf_dir, "staged", "cohort")
+    return p.case_ranges().join(p.cohort().select("id_nda", "j1", "dt_deces"), ["id_nda", "j1"]).select("id_nda", "j1", "dt_min", "dt_max", "dt_deces")
+
+
+@register("row_mean_median_broad", BSQL.with_("cohort", {"rl": _RMM_LONG}) + (
+    "select id_nda, dt_deb, round_even(avg(x), 0) as mean_nb_pts, round_even(median(x), 0) as median_nb_pts "
+    "from (select distinct id_nda, j1 as dt_deb from cohort) k join rl using (id_nda, dt_deb) group by id_nda, dt_deb"
+))
+def q_row_mean_median_broad(spark, sf_dir):
+    p = _broad_plan(spark, sf_dir, "profile")
+    cases = p.cohort().select("id_nda", F.col("j1").alias("dt_deb")).distinct()
+    m = P.counter_matrix(p.profile(), CODES).join(cases, ["id_nda", "dt_deb"], "left_semi")
+    return P.row_mean_median(m, [f"n_{c}" for c in CODES], ["id_nda", "dt_deb"])
+
+
+@register("wave_fill_broad", BSQL.with_("useful", _WAVE_CTES) + "select id_nda, j1, voi, i, round(cast(y as double), 9) as y from filled")
+def q_wave_fill_broad(spark, sf_dir):
+    return _broad_waves(spark, sf_dir, "time")
+
+
+@register("wave_cubic_broad", BSQL.with_("useful", {**_WAVE_CTES, **_CUBIC_CTES}).replace("with ", "with recursive ", 1) + "select id_nda, j1, voi, i, round(cast(y as double), 9) as y from cubic")
+def q_wave_cubic_broad(spark, sf_dir):
+    return _broad_waves(spark, sf_dir, "cubic")
+
+
 # --------------------------------------------------------------------------
 # Score forms
 
