@@ -10,8 +10,8 @@ follows, cannot enter its result any more. So nothing is missed.
 Anchors are taken in blocks of bounded size, which go to all tasks; each task
 sorts and walks the lists of its own part of the candidates, and starts from
 what a bounded sample of candidates has found. The tasks' few best are merged
-by score. A block takes three passes: the sample, the positives, the
-negatives.
+by score. A block takes two passes over all candidates, one for its positives
+and one for its negatives, each after one over the sample.
 
 Scores are inner products of whole numbers and exact: in double precision
 where no sum can reach 2**53, else in 64-bit integers.
