@@ -53,6 +53,13 @@ class CohortPlan:
     slot_rows: int = ST.SLOT_ROWS
     _cache: dict = field(default_factory=dict, repr=False)
 
+    def __post_init__(self) -> None:
+        unknown = set(self.store) - {"staged", "useful", "profile", "cohort"}
+        if unknown:
+            raise ValueError(f"cannot store {sorted(unknown)}: only staged, useful, profile and cohort")
+        if "useful" in self.store and "staged" not in self.store:
+            raise ValueError("useful readings are stored from the stored staged ones: store both")
+
     @classmethod
     def from_test_tables(cls, spark: SparkSession, sf_dir: str, **params) -> "CohortPlan":
         defaults = dict(

@@ -76,3 +76,14 @@ def test_stored_readings_join_once_and_stay_in_place(spark):
         assert "cohortspark_useful" in plan and not _exchanges_above_scan(plan, "cohortspark_useful")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_a_plan_can_store(spark):
+    import pytest
+
+    from cohortspark.plans import registry as R
+
+    for store in (("stage",), ("useful",), ("useful", "cohort")):
+        with pytest.raises(ValueError, match="store"):
+            R.plan(spark, "/root/testdata/sf0.001", *store)
+    assert R.plan(spark, "/root/testdata/sf0.001", "staged", "useful").store
