@@ -1,3 +1,3 @@
 """cohortspark: cohort selection, wave normalisation and outcome models on Spark."""
 
-__all__ = ["functions", "operators", "plans", "sources", "streaming"]
+__all__ = ["functions", "operators", "plans", "sources"]
