@@ -71,3 +71,20 @@ def test_hot_stays_are_dealt_over_slots(spark):
     b = W.resample_and_interpolate(spark, plain.wave_readings(), plain.cohort(), vois)
     key = lambda df: sorted((r.id_nda, r.j1, r.voi, r.i, r.n_readings, None if r.y is None else round(r.y, 9)) for r in df.collect())
     assert key(a) == key(b) and len(key(a)) > 0
+
+
+def test_hot_stays_stay_in_their_buckets(spark):
+    """With slots too, the joins of the stored readings move only the cases."""
+    from test_plans import _exchanges_above_scan
+
+    from cohortspark.operators import waves as W
+    from cohortspark.plans import cohort_selection as CS
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = CS.CohortPlan.from_test_tables(spark, "/root/testdata/sf0.01", store=("staged", "cohort", "useful"), slot_rows=20)
+        grid = W.resample(spark, p.wave_readings(), p.cohort(), list(CS.TEST_VOIS), hot=p.hot_stays())
+        plan = grid._jdf.queryExecution().executedPlan().toString()
+        assert "slot" in plan and "cohortspark_useful" in plan and not _exchanges_above_scan(plan, "cohortspark_useful")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
