@@ -477,8 +477,9 @@ _WAVE_CTES = {
 _WAVE_WITH = CSQL.with_("useful", _WAVE_CTES)
 
 
-def _wave_inputs(spark, sf_dir):
-    p = plan(spark, sf_dir, "staged", "cohort", "useful")
+def _wave_inputs(spark, sf_dir, *more: str):
+    """Stored inputs; one that builds waves several times stores the useful readings too."""
+    p = plan(spark, sf_dir, "staged", "cohort", *more)
     return p.hot_stays(), p.wave_readings(), p.cohort()
 
 
@@ -629,7 +630,7 @@ def q_rejected_cases(spark, sf_dir):
 ))
 def q_dataset_blocks(spark, sf_dir):
     """The dataset written block by block: all blocks but one, then the missing one alone, read back."""
-    hot, readings, ranges = _wave_inputs(spark, sf_dir)
+    hot, readings, ranges = _wave_inputs(spark, sf_dir, "useful")
     blocks = W.id_blocks(ranges.select("id_nda", "j1").distinct(), ID_BLOCKS)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortspark-tables/dataset-{uuid.uuid4().hex}"
 
