@@ -1131,7 +1131,8 @@ def q_model_roc(spark, sf_dir):
 
 def _cov_dataset(spark, sf_dir):
     s = FE.add_covariance(FE.scale_points(_series(spark, sf_dir)), "scaled", "cov", 0, ALPHA)
-    return MO.materialise(FO.stratified_split(s.select("case_id", "dead", "cov"), "dead", "case_id", K_SPLIT))
+    stored = MO.materialise(s.select("case_id", "dead", "cov"))  # the split's ranges are sampled: a pass of its own
+    return MO.materialise(FO.stratified_split(stored, "dead", "case_id", K_SPLIT))
 
 
 @register("tangent_features")

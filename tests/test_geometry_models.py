@@ -118,6 +118,24 @@ def test_neighbours_of_few_equal_and_broken_rows(spark):
     assert NB.nearest_neighbours(df.limit(0), df, "cov", "case_id", "dead", 2).count() == 0
 
 
+def test_copies_of_a_matrix_are_not_compared_with_each_other(spark):
+    rng = np.random.default_rng(8)
+    mats = random_spd(rng, 420, 3)
+    mats[20:] = mats[3]
+    labels = rng.random(420) < 0.5
+    df, report = frame(spark, mats, labels).repartition(3), {}
+    got = NB.nearest_neighbours(df, df.where("case_id < 4 or case_id >= 380"), "cov", "case_id", "dead", 3, 5, report=report)
+    found = {}
+    for r in got.orderBy("case_id", "rank").collect():
+        found.setdefault(r.case_id, []).append(r.neighbour)
+    assert all(found[q] == [3, 20, 21, 22, 23] for q in range(380, 420)) and found[3] == [20, 21, 22, 23, 24]
+    for q in (0, 1, 2):
+        want = sorted((round(plain_distance(mats[q], mats[x]), 9), x) for x in range(420) if x != q)[:5]
+        assert found[q] == [x for _, x in want]
+    # each copy asks the first copies only, not all 400; before: most of all pairs
+    assert report["compared"] < 0.1 * report["pairs"]
+
+
 # ---------------------------------------------------------------------------
 # L1 machine
 
