@@ -81,8 +81,17 @@ def form_rows(forms: DataFrame) -> DataFrame:
     return form_values(forms).join(d, "id_form").select("id_form", "id_nda", "dt_eff", "champ_formulaire", "value_field")
 
 
-def form_long(forms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Field rows keyed by ``id_form_ndaj1``."""
+def form_long(
+    forms: DataFrame | None, rows: DataFrame | None = None, matrix: DataFrame | None = None, fields: Sequence[str] = ()
+) -> DataFrame:
+    """Field rows keyed by ``id_form_ndaj1``.
+
+    Where the strict matrix of the forms is stored, its texts of ``fields`` are
+    the same rows (a strict matrix holds one row a field and form, but no nulls).
+    """
+    if matrix is not None:
+        texts = F.array(*[F.struct(F.lit(f).alias("champ_formulaire"), F.col(f"`{f}`").alias("value_field")) for f in fields])
+        return matrix.select("id_form_ndaj1", F.explode(texts).alias("_t")).select("id_form_ndaj1", "_t.*").where("value_field is not null")
     j = form_rows(forms) if rows is None else rows
     return j.select(
         form_key(F.col("id_nda"), F.col("dt_eff"), F.col("id_form")).alias("id_form_ndaj1"),

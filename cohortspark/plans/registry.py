@@ -1050,8 +1050,9 @@ FORM_FEATURES = [f for f in FIELDS if f != SI.FORM_SCORE_FIELD]
 
 def _form_dataset(spark, sf_dir):
     """Label-encoded form fields with the death target, split 2/3 train, 1/3 validation."""
-    forms, mat, pmap, outcome = _score_inputs(spark, sf_dir)
-    catalogue = SC.catalogue_from_values(SC.form_long(forms))
+    _, mat, _, outcome = _score_inputs(spark, sf_dir)
+    outcome = materialise(outcome, "form-outcome")  # the codes and the target read it
+    catalogue = SC.catalogue_from_values(SC.form_long(None, matrix=mat, fields=FIELDS))
     enc = SC.label_encode(outcome, "id_form_ndaj1", FORM_FEATURES, catalogue)
     target = outcome.select("id_form_ndaj1", F.col("dt_deces").isNotNull().alias("dead"))
     data = enc.join(target, "id_form_ndaj1")

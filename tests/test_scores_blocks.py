@@ -31,6 +31,38 @@ def test_strict_pivot_raises_on_duplicates(spark):
     assert SC.form_duplicates(SC.form_long(twice)).collect()[0].n == 2
 
 
+def test_long_form_of_a_stored_matrix_gives_the_same_catalogue(spark):
+    import datetime as dt
+
+    day, fields = dt.date(2024, 1, 1), ["int_esc_age", "int_esc_uree", "int_igs2"]
+    rows = [(f, "7", name, v, None, day) for f in (1, 2, 3) for name, v in zip(fields, (f"a{f % 2}", None if f == 2 else "b", str(f)))]
+    forms = spark.createDataFrame([*rows, (4, None, "int_esc_age", "only here", day, day)], FORMS)
+    matrix = SC.form_matrix(forms, fields, strict=True)
+    long = SC.form_long(None, matrix=matrix, fields=fields)
+    want = {tuple(r) for r in SC.form_long(forms).where("value_field is not null").collect()}
+    assert {tuple(r) for r in long.collect()} == want and len(want) == 9 and long.count() == 9
+    codes = lambda x: {tuple(r) for r in SC.catalogue_codes(SC.catalogue_from_values(x)).collect()}
+    assert codes(long) == codes(SC.form_long(forms)) and ("int_esc_age", "only here", 2) in codes(long)
+
+
+def test_model_data_compute_the_forms_once(spark, monkeypatch, tmp_path):
+    """Before, the catalogue computed the forms' rows a second time and the target the outcome a second time."""
+    import datetime as dt
+
+    from cohortspark.plans import registry as R
+
+    day = dt.date(2024, 1, 1)
+    rows = [(i, str(i), f, str((i * k) % 5), day, day) for i in range(12) for k, f in enumerate(R.FIELDS, 1)]
+    monkeypatch.setattr(R.SI, "forms", lambda *_: spark.createDataFrame(rows, FORMS))
+    monkeypatch.setattr(R.SI, "movements", lambda *_: spark.createDataFrame([(str(i), i) for i in range(12)], "id_nda string, ids_pat long"))
+    monkeypatch.setattr(R.SI, "patients", lambda *_: spark.createDataFrame([(i, day if i % 2 else None) for i in range(12)], "ids_pat long, dt_deces date"))
+    calls = []
+    form_rows = SC.form_rows
+    monkeypatch.setattr(SC, "form_rows", lambda forms: calls.append(1) or form_rows(forms))
+    train, valid = R._form_dataset(spark, "")
+    assert train.count() + valid.count() == 12 and len(calls) == 1
+
+
 CATALOGUE = [("AGE", 1, "<40"), ("AGE", 2, "40-59"), ("AGE", 3, ">=60"), ("AGE", 4, "<40"), ("UREE", 1, "0"), ("UREE", 2, None), ("PAO2/FIO2", 1, "x")]
 
 
