@@ -1,6 +1,6 @@
 """Classifiers, validation and matrix-geometry models.
 
-Standard classifiers are Spark ML estimators. Matrix-geometry models (mean
+Standard classifiers are Spark ML estimators, but the forest (``forest.py``). Matrix-geometry models (mean
 of SPD matrices, tangent space, minimum distance to class mean) run as
 distributed iterations: each iteration maps every matrix with vectorised
 numpy inside an Arrow-batched pandas UDF and reduces to a [VOI × VOI]
@@ -25,7 +25,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as M
+from cohortspark.operators.forest import RandomForest
 from cohortspark.operators.spd import NotSettled
 from cohortspark.session import materialise as _materialise
 
@@ -80,9 +80,9 @@ def decision_tree(min_leaf: int = 50, depth: int = MAX_DEPTH) -> DecisionTreeCla
     return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_leaf, seed=42)
 
 
-def random_forest(trees: int = 200, min_leaf: int = 50, depth: int = MAX_DEPTH) -> RandomForestClassifier:
+def random_forest(trees: int = 200, min_leaf: int = 50, depth: int = MAX_DEPTH) -> RandomForest:
     """Trees of at most ``depth`` levels of splits."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=42)
+    return RandomForest(trees, min_leaf, depth, seed=42, features=FEATURES, label=LABEL)
 
 
 def boosting(rounds: int = 200, min_leaf: int = 50, depth: int = 3) -> GBTClassifier:
