@@ -277,15 +277,28 @@ KEY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("most", "<i8")])
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
-    """Of one range of codes: to each slice those that stand there twice, or in another packet."""
+    """Of one range of codes: to each slice those that stand there twice, or in another packet.
+
+    All packets are sorted together once: there are as many as slices, so work
+    on all of the range's codes for each packet would grow with the square.
+    """
     packets = [np.frombuffer(x, "<u4") for x in rows.column("packed").to_pylist()]
-    values, times = np.unique(np.concatenate(packets), return_counts=True)
-    many = values[times > 1]
-    high = np.uint64(rows.column("range")[0].as_py()) << np.uint64(32)
-    found = [np.unique(p[np.isin(p, many)]).astype("<u8") | high for p in packets]
-    kept = [k for k, f in enumerate(found) if len(f)]
+    every, held = np.concatenate(packets), np.array([len(p) for p in packets])
+    order = np.sort(every.astype(np.uint64) << np.uint64(32) | np.arange(len(every), dtype=np.uint64))
+    place = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same = order[1:] >> np.uint64(32) == order[:-1] >> np.uint64(32)
+    there = np.zeros(len(every), bool)
+    there[place[:-1]] = same
+    there[place[1:]] |= same
+    packet = np.repeat(np.arange(len(packets)), held)[place]
+    there[place[1:][same & (packet[1:] == packet[:-1])]] = False  # once to each
+    kept = np.flatnonzero(there)
+    found = every[kept].astype("<u8") | np.uint64(rows.column("range")[0].as_py()) << np.uint64(32)
+    ends = np.searchsorted(kept, held.cumsum())
+    starts = np.concatenate([[0], ends[:-1]])
+    some = np.flatnonzero(ends > starts)
     return pa.table(
-        {"slice": rows.column("slice").take(pa.array(kept, pa.int64())), "packed": pa.array([found[k].tobytes() for k in kept], pa.binary())}
+        {"slice": rows.column("slice").take(pa.array(some, pa.int64())), "packed": pa.array([found[starts[k] : ends[k]].tobytes() for k in some], pa.binary())}
     )
 
 
